@@ -1,0 +1,62 @@
+"""End-to-end fit and apply: tables -> features -> matrix -> model -> scores.
+
+One code path serves training and holdout tables: everything learned
+(shipping threshold, response-time mean, one-hot layout, model) is fitted on
+the training tables and reused unchanged.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from orderlens.ml.matrix import MatrixModel, apply_matrix, fit_matrix, split
+from orderlens.ml.models import fit_model
+from orderlens.plans.base import KEY, LABEL, build_base
+from orderlens.plans.state import FeatureState, fit_feature_state
+from orderlens.session import checkpoint_root, materialize
+
+
+@dataclass
+class FittedPipeline:
+    state: FeatureState
+    matrix: MatrixModel
+    model: object
+    kind: str
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage before a table is read many times (model fits, metrics).
+
+    With a shared checkpoint folder the table is written there; without one
+    (a session that names none) it is persisted, which Spark recomputes from
+    lineage if an executor is lost.
+    """
+    if checkpoint_root(df.sparkSession, required=False):
+        return materialize(df, name)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def fit_pipeline(tables: dict[str, DataFrame], kind: str = "gbt", validation: bool = False,
+                 **params) -> FittedPipeline:
+    """Fit state, formula and model on the labelled tables.
+
+    With ``validation`` the model is fitted on the hash-split training part
+    only (the 80/20 split of the reference); otherwise on all rows.
+    """
+    state = fit_feature_state(tables)
+    base = stage(build_base(tables, state), "base")
+    if validation:
+        base = split(base, KEY).filter(F.col("split") == "train").drop("split")
+    matrix = fit_matrix(base, LABEL, exclude=[KEY])
+    train = stage(apply_matrix(matrix, base).select(KEY, "features", "label"), "train_matrix")
+    return FittedPipeline(state, matrix, fit_model(kind, train, **params), kind)
+
+
+def score_tables(fitted: FittedPipeline, tables: dict[str, DataFrame]) -> DataFrame:
+    """Holdout (or any) tables scored with the fitted state and model."""
+    base = build_base(tables, fitted.state)
+    return fitted.model.transform(apply_matrix(fitted.matrix, base))
