@@ -56,14 +56,10 @@ def _base(spark, sf, complete_only=True, with_reviews=True):
 
 
 def _matrix_split(spark, sf):
-    """Base table -> split -> formula fitted on the training part."""
-    base = split(_base(spark, sf), KEY).persist(StorageLevel.MEMORY_AND_DISK)
-    train = base.filter(F.col("split") == "train").drop("split")
-    valid = base.filter(F.col("split") == "validation").drop("split")
-    matrix = fit_matrix(train, LABEL, exclude=[KEY])
-    tr = apply_matrix(matrix, train).persist(StorageLevel.MEMORY_AND_DISK)
-    va = apply_matrix(matrix, valid)
-    return matrix, tr, va
+    """Staged base table -> hash split -> formula fitted on the training part."""
+    from orderlens.pipeline import fit_base, fit_matrix_split
+    _, base = fit_base(_tables(spark, sf))
+    return fit_matrix_split(base)
 
 
 def _scored(spark, sf, kind, **params):

@@ -15,20 +15,41 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _walk(window: DataFrame, need: int) -> float:
-    rows = window.groupBy("x").agg(F.count(F.lit(1)).alias("n")).orderBy("x").collect()
+    # at most ``max_exact_rows`` (value, count) pairs: sorted on the driver
+    rows = sorted((r["x"], r["n"]) for r in window.groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect())
     seen = 0
-    for r in rows:
-        seen += r["n"]
+    for x, n in rows:
+        seen += n
         if seen >= need:
-            return float(r["x"])
+            return float(x)
     raise AssertionError("rank outside window")
 
 
+def _probe_counts(win: DataFrame, cuts: list[float]) -> list[tuple[int, int]]:
+    """``(rows < cut, rows <= cut)`` for every cut, in one grouped pass.
+
+    Rows are bucketed between consecutive cuts (left-closed); per bucket the
+    row count and the count equal to its lower cut give both numbers.
+    """
+    b = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="x", outputCol="_b",
+                   handleInvalid="keep")
+    per = {int(r["_b"]): (r["n"], r["eq"]) for r in
+           b.transform(win).groupBy("_b").agg(F.count(F.lit(1)).alias("n"),
+                                               F.count_if(F.col("x").isin(cuts)).alias("eq")).collect()}
+    out, below = [], per.get(0, (0, 0))[0]
+    for j in range(1, len(cuts) + 1):
+        n, eq = per.get(j, (0, 0))
+        out.append((below, below + eq))
+        below += n
+    return out
+
+
 def exact_quantile(df: DataFrame, col: str, p: float, max_exact_rows: int = 100_000,
                    probes: int = 64, accuracy: int = 10_000) -> float:
     """Smallest value whose cumulative share of non-null rows is >= ``p``.
@@ -54,13 +75,10 @@ def exact_quantile(df: DataFrame, col: str, p: float, max_exact_rows: int = 100_
             return _walk(win, k - below)
         pct = [i / (probes + 1) for i in range(1, probes + 1)]
         cuts = sorted(set(win.agg(F.percentile_approx("x", pct, accuracy).alias("q")).first()["q"]))
-        counts = win.agg(*(
-            [F.count_if(F.col("x") <= F.lit(c)).alias(f"le{i}") for i, c in enumerate(cuts)]
-            + [F.count_if(F.col("x") < F.lit(c)).alias(f"lt{i}") for i, c in enumerate(cuts)]
-        )).first()
+        counts = _probe_counts(win, cuts)
         prev_le = 0
         for i, c in enumerate(cuts):
-            le, lt = counts[f"le{i}"], counts[f"lt{i}"]
+            lt, le = counts[i]
             if below + le >= k:
                 if below + lt < k:
                     return float(c)

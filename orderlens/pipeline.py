@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from orderlens.ml.matrix import MatrixModel, apply_matrix, fit_matrix, split
 from orderlens.ml.models import fit_model
 from orderlens.plans.base import KEY, LABEL, build_base
+from orderlens.plans.items import item_aggregates
+from orderlens.plans.products import product_features
 from orderlens.plans.state import FeatureState, fit_feature_state
 from orderlens.session import checkpoint_root, materialize
 
@@ -29,15 +31,52 @@ class FittedPipeline:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage before a table is read many times (model fits, metrics).
+    """Compute ``df`` once before it is read many times (fits, metrics).
 
-    With a shared checkpoint folder the table is written there; without one
-    (a session that names none) it is persisted, which Spark recomputes from
-    lineage if an executor is lost.
+    With a shared checkpoint folder the table is written there and read
+    back, which also cuts the lineage: a lost executor costs a re-read, not a
+    recomputation of the joins. A session that names no folder gets a
+    persisted copy instead (recomputed from lineage if lost).
     """
     if checkpoint_root(df.sparkSession, required=False):
         return materialize(df, name)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
+
+def fit_base(tables: dict[str, DataFrame], complete_only: bool = True,
+             rel_err: float = 0.0) -> tuple[FeatureState, DataFrame]:
+    """Fitted state plus the staged training base table.
+
+    The per-order item aggregates are computed once and cached: the quantile
+    passes read their shipping column, and the base-table join reuses them
+    with their ``order_id`` partitioning intact.
+    """
+    aggs = item_aggregates(tables["order_items"], product_features(tables["products"])) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        state = fit_feature_state(tables, rel_err=rel_err, item_aggs=aggs)
+        base = stage(build_base(tables, state, complete_only, item_aggs=aggs), "base")
+    finally:
+        aggs.unpersist()
+    return state, base
+
+
+def fit_matrix_split(base: DataFrame, validation: bool = True):
+    """Split the staged base, fit the formula on the training part, stage
+    both matrices (key, features, label)."""
+    if validation:
+        parts = split(base, KEY)
+        train = parts.filter(F.col("split") == "train").drop("split")
+        valid = parts.filter(F.col("split") == "validation").drop("split")
+    else:
+        train, valid = base, None
+    matrix = fit_matrix(train, LABEL, exclude=[KEY])
+    tr = stage(apply_matrix(matrix, train).select(KEY, "features", "label"), "train_matrix")
+    va = stage(apply_matrix(matrix, valid).select(KEY, "features", "label"), "validation_matrix") \
+        if valid is not None else None
+    return matrix, tr, va
 
 
 def fit_pipeline(tables: dict[str, DataFrame], kind: str = "gbt", validation: bool = False,
@@ -47,12 +86,8 @@ def fit_pipeline(tables: dict[str, DataFrame], kind: str = "gbt", validation: bo
     With ``validation`` the model is fitted on the hash-split training part
     only (the 80/20 split of the reference); otherwise on all rows.
     """
-    state = fit_feature_state(tables)
-    base = stage(build_base(tables, state), "base")
-    if validation:
-        base = split(base, KEY).filter(F.col("split") == "train").drop("split")
-    matrix = fit_matrix(base, LABEL, exclude=[KEY])
-    train = stage(apply_matrix(matrix, base).select(KEY, "features", "label"), "train_matrix")
+    state, base = fit_base(tables)
+    matrix, train, _ = fit_matrix_split(base, validation)
     return FittedPipeline(state, matrix, fit_model(kind, train, **params), kind)
 
 

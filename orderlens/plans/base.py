@@ -56,14 +56,17 @@ def base_table(orders_f: DataFrame, payments_f: DataFrame, items_f: DataFrame,
     return drop_incomplete(out) if complete_only else out
 
 
-def build_base(tables: dict[str, DataFrame], state: FeatureState, complete_only: bool = True) -> DataFrame:
+def build_base(tables: dict[str, DataFrame], state: FeatureState, complete_only: bool = True,
+               item_aggs: DataFrame | None = None) -> DataFrame:
     """Feature builders + base table for one set of tables, with fitted state.
 
     Training tables carry ``order_reviews`` (the label); holdout tables
-    don't, and get the same columns minus the label.
+    don't, and get the same columns minus the label. ``item_aggs`` reuses
+    already computed (cached) per-order item aggregates.
     """
-    product_f = product_features(tables["products"])
-    items_f = item_features(item_aggregates(tables["order_items"], product_f), state.shipping_threshold)
+    if item_aggs is None:
+        item_aggs = item_aggregates(tables["order_items"], product_features(tables["products"]))
+    items_f = item_features(item_aggs, state.shipping_threshold)
     reviews_f = review_features(tables["order_reviews"]) if "order_reviews" in tables else None
     return base_table(order_features(tables["orders"]), payment_features(tables["order_payments"]),
                       items_f, reviews_f, complete_only=complete_only)

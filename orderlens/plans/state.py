@@ -39,15 +39,25 @@ class FeatureState:
 
 
 def fit_feature_state(tables: dict[str, DataFrame], quantile: float = SHIPPING_QUANTILE,
-                      rel_err: float = 0.0) -> FeatureState:
+                      rel_err: float = 0.0, item_aggs: DataFrame | None = None) -> FeatureState:
     """Fit the shipping threshold (and the response-time mean when reviews
-    are present). The item aggregates are cached for the quantile passes."""
-    aggs = item_aggregates(tables["order_items"], product_features(tables["products"]))
-    aggs = aggs.select("total_shipping_cost").persist(StorageLevel.MEMORY_AND_DISK)
+    are present).
+
+    Pass ``item_aggs`` when the caller has already cached the per-order item
+    aggregates; otherwise only their shipping column is cached here for the
+    quantile passes.
+    """
+    own = item_aggs is None
+    if own:
+        item_aggs = item_aggregates(tables["order_items"], product_features(tables["products"]))
+    shipping = item_aggs.select("total_shipping_cost")
+    if own:
+        shipping = shipping.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        thr = fit_shipping_threshold(aggs, quantile, rel_err)
+        thr = fit_shipping_threshold(shipping, quantile, rel_err)
     finally:
-        aggs.unpersist()
+        if own:
+            shipping.unpersist()
     mean = None
     if "order_reviews" in tables:
         observed = latest_reviews(tables["order_reviews"]).select(
