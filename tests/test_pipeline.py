@@ -1,0 +1,144 @@
+"""Base table, fit/apply path, models and plan shape on the driver test tables."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF_MID, SF_SMALL
+from orderlens.ml import evaluation as ev
+from orderlens.ml.matrix import apply_matrix, fit_matrix, split
+from orderlens.ml.models import coefficients, feature_importance, fit_model
+from orderlens.pipeline import fit_base, fit_matrix_split, fit_pipeline, score_tables
+from orderlens.plans.base import BASE_COLUMNS, KEY, LABEL, build_base
+from orderlens.plans.state import FeatureState, fit_feature_state
+from orderlens.sources import driver_views as dv
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return dv.order_tables(spark, SF_MID)
+
+
+@pytest.fixture(scope="module")
+def staged(tables):
+    return fit_base(tables)
+
+
+def test_base_shape(staged):
+    state, base = staged
+    assert base.columns == BASE_COLUMNS + [LABEL] and len(base.columns) == 28
+    n = base.count()
+    assert n > 0 and base.select(KEY).distinct().count() == n
+    assert base.na.drop().count() == n
+    assert state.shipping_threshold > 0 and state.response_time_mean is not None
+
+
+def test_state_roundtrip(spark, staged, tmp_path):
+    state, _ = staged
+    state.save(spark, str(tmp_path / "state"))
+    assert FeatureState.load(spark, str(tmp_path / "state")) == state
+
+
+def test_repartitioned_input_same_output(spark, tables, staged):
+    state, base = staged
+    shuffled = {k: v.repartition(3) for k, v in tables.items()}
+    again = build_base(shuffled, fit_feature_state(shuffled))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, base.collect()))
+
+
+def test_holdout_uses_training_state(spark, tables, staged):
+    state, base = staged
+    holdout = build_base({k: v for k, v in tables.items() if k != "order_reviews"}, state)
+    assert LABEL not in holdout.columns and holdout.columns == BASE_COLUMNS
+    assert holdout.count() >= base.count()
+
+
+def test_split_disjoint_and_complete(staged):
+    _, base = staged
+    parts = split(base, KEY)
+    counts = {r["split"]: r["count"] for r in parts.groupBy("split").count().collect()}
+    assert sum(counts.values()) == base.count()
+    assert 0.7 < counts["train"] / base.count() < 0.9
+    again = {r[KEY]: r["split"] for r in split(base.repartition(5), KEY).collect()}
+    assert again == {r[KEY]: r["split"] for r in parts.collect()}
+
+
+def test_models_deterministic_and_width(spark, tables, staged):
+    _, base = staged
+    matrix, tr, va = fit_matrix_split(base)
+    width = tr.first()["features"].size
+    assert va.first()["features"].size == width
+    m1 = fit_model("gbt", tr, maxIter=5, maxDepth=3)
+    m2 = fit_model("gbt", tr, maxIter=5, maxDepth=3)
+    p1 = m1.transform(va).select(KEY, "probability").collect()
+    p2 = m2.transform(va).select(KEY, "probability").collect()
+    assert p1 == p2
+    rf1 = fit_model("rf", tr, numTrees=5)
+    rf2 = fit_model("rf", tr, numTrees=5)
+    assert rf1.transform(va).select("probability").collect() == rf2.transform(va).select("probability").collect()
+    imp = feature_importance(m1, tr).collect()
+    assert len(imp) == width and imp[0]["score"] >= imp[-1]["score"]
+    lr = fit_model("lr", tr, maxIter=10)
+    co = coefficients(lr, tr).collect()
+    assert co[0]["name"] == "(intercept)" and len(co) == width + 1
+
+
+def test_unseen_level_is_kept(spark, staged):
+    _, base = staged
+    m = fit_matrix(base, LABEL, exclude=[KEY])
+    odd = base.limit(3).withColumn("primary_payment_type", F.lit("crypto"))
+    rows = apply_matrix(m, odd).select("features").collect()
+    assert len(rows) == 3
+
+
+def test_constant_text_column_is_dropped(spark, staged):
+    _, base = staged
+    const = base.withColumn("installment_category", F.lit("Long-Term"))
+    m = fit_matrix(const, LABEL, exclude=[KEY])
+    assert m.constant_columns == ["installment_category"]
+    assert apply_matrix(m, const).count() == const.count()
+
+
+def test_planted_signal_auc(spark):
+    rows = [(i, i % 2, float(i % 2) * 3.0 + (i % 7) / 7.0, "a" if i % 3 else "b") for i in range(600)]
+    df = spark.createDataFrame(rows, "order_id long, y int, x double, t string")
+    m = fit_matrix(df, "y", exclude=["order_id"])
+    mx = apply_matrix(m, df)
+    model = fit_model("lr", mx)
+    s = model.transform(mx).select("label", ev.positive_probability().alias("score"))
+    assert ev.auc(s).first()["auc"] > 0.9
+
+
+def test_lr_intercept_on_constant_features(spark):
+    rows = [(i, 1 if i < 30 else 0, 1.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "order_id long, y int, x double")
+    mx = apply_matrix(fit_matrix(df, "y", exclude=["order_id"]), df)
+    model = fit_model("lr", mx)
+    assert model.intercept == pytest.approx(math.log(0.3 / 0.7), abs=1e-3)
+
+
+def test_fit_and_score_holdout(spark):
+    tables = dv.order_tables(spark, SF_SMALL)
+    fitted = fit_pipeline(tables, kind="gbt", maxIter=3, maxDepth=2)
+    holdout = {k: v for k, v in tables.items() if k != "order_reviews"}
+    scored = score_tables(fitted, holdout)
+    assert scored.select(KEY, "prediction").count() > 0
+
+
+def test_plan_shapes(spark, tables):
+    from orderlens.plans.reviews import latest_reviews
+    plan = latest_reviews(tables["order_reviews"])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    state = FeatureState(shipping_threshold=1000.0)
+    base_plan = build_base(tables, state)._jdf.queryExecution().executedPlan().toString()
+    assert "PythonUDF" not in base_plan and "BatchEvalPython" not in base_plan
+    assert "ArrowEvalPython" not in base_plan
+
+
+def test_entry_contract(spark):
+    import __spark_entry__ as entry
+    qs, sql = entry.queries(), entry.oracle_sql()
+    assert set(sql) <= set(qs)
+    df = entry.entry(spark)
+    assert df.count() > 0 and len(df.columns) == 28
