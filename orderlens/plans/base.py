@@ -27,12 +27,12 @@ def base_table(orders_f: DataFrame, payments_f: DataFrame, items_f: DataFrame,
     """Orders with their payment, item and (training only) review features.
 
     Every feature table except the orders is unique per ``order_id`` by
-    construction (an aggregate or a top-1 window), so exact duplicates of the
-    joined row can only come from duplicate order rows. They are removed on
-    the order side, after hash-partitioning it on ``order_id``; that same
-    partitioning serves the joins, whose other sides are already partitioned
-    on ``order_id`` by their aggregations: one shuffle per input, none for
-    the dedupe and none for the joins.
+    construction (an aggregate or a top-1 window) and arrives hash-partitioned
+    on ``order_id``, so the joins add no shuffle on those sides. Exact
+    duplicates of the joined row can only come from duplicate order rows; they
+    are removed on the narrow order side before the joins, where the dedupe
+    collapses copies map-side, so even a group of copies holding a third of
+    all rows is reduced before its shuffle.
 
     With ``complete_only`` (the reference's final any-null drop) the payment
     join is written as an inner join, which that drop makes it equivalent to.
@@ -44,7 +44,7 @@ def base_table(orders_f: DataFrame, payments_f: DataFrame, items_f: DataFrame,
     if with_year_category:
         orders = orders.withColumn("purchase_year_cat", F.col("purchase_year").cast("string")) \
                        .drop("purchase_year")
-    orders = orders.repartition(KEY).dropDuplicates()
+    orders = orders.dropDuplicates()
     joined = orders
     if reviews_f is not None:
         joined = joined.join(reviews_f.select(KEY, LABEL), KEY, "inner")
