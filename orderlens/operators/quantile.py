@@ -60,11 +60,14 @@ def exact_quantile(df: DataFrame, col: str, p: float, max_exact_rows: int = 100_
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be in [0, 1]")
     x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-    n = x.count()
+    pct = [i / (probes + 1) for i in range(1, probes + 1)]
+    first = x.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", pct, accuracy).alias("q")).first()
+    n = first["n"]
     if n == 0:
         raise ValueError(f"no non-null values in {col!r} to take a quantile of")
     k = min(n, max(1, math.ceil(p * n)))          # 1-based rank wanted
     lo, hi, below, size = None, None, 0, n          # window: lo < x < hi
+    probe_values = first["q"]
     while True:
         win = x
         if lo is not None:
@@ -73,8 +76,9 @@ def exact_quantile(df: DataFrame, col: str, p: float, max_exact_rows: int = 100_
             win = win.where(F.col("x") < F.lit(hi))
         if size <= max_exact_rows:
             return _walk(win, k - below)
-        pct = [i / (probes + 1) for i in range(1, probes + 1)]
-        cuts = sorted(set(win.agg(F.percentile_approx("x", pct, accuracy).alias("q")).first()["q"]))
+        if probe_values is None:
+            probe_values = win.agg(F.percentile_approx("x", pct, accuracy).alias("q")).first()["q"]
+        cuts, probe_values = sorted(set(probe_values)), None
         counts = _probe_counts(win, cuts)
         prev_le = 0
         for i, c in enumerate(cuts):

@@ -40,7 +40,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     if checkpoint_root(df.sparkSession, required=False):
         return materialize(df, name)
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     return out
 
@@ -56,7 +56,7 @@ def fit_base(tables: dict[str, DataFrame], complete_only: bool = True,
     aggs = item_aggregates(tables["order_items"], product_features(tables["products"])) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        state = fit_feature_state(tables, rel_err=rel_err, item_aggs=aggs)
+        state = fit_feature_state(tables, rel_err=rel_err, item_aggs=aggs, response_mean=False)
         base = stage(build_base(tables, state, complete_only, item_aggs=aggs), "base")
     finally:
         aggs.unpersist()

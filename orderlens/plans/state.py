@@ -39,9 +39,11 @@ class FeatureState:
 
 
 def fit_feature_state(tables: dict[str, DataFrame], quantile: float = SHIPPING_QUANTILE,
-                      rel_err: float = 0.0, item_aggs: DataFrame | None = None) -> FeatureState:
-    """Fit the shipping threshold (and the response-time mean when reviews
-    are present).
+                      rel_err: float = 0.0, item_aggs: DataFrame | None = None,
+                      response_mean: bool = True) -> FeatureState:
+    """Fit the shipping threshold (and, with ``response_mean`` and reviews
+    present, the response-time mean used by ``response_times``; the base
+    table does not use it, so the training path skips that job).
 
     Pass ``item_aggs`` when the caller has already cached the per-order item
     aggregates; otherwise only their shipping column is cached here for the
@@ -59,7 +61,7 @@ def fit_feature_state(tables: dict[str, DataFrame], quantile: float = SHIPPING_Q
         if own:
             shipping.unpersist()
     mean = None
-    if "order_reviews" in tables:
+    if response_mean and "order_reviews" in tables:
         observed = latest_reviews(tables["order_reviews"]).select(
             day_span("review_answer_timestamp", "review_creation_date").alias("review_response_time"))
         mean = column_mean(observed, "review_response_time")

@@ -68,8 +68,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage so downstream stages (many model fits, several metrics)
     read a fixed table instead of recomputing the feature joins, and a lost
     executor only costs a re-read of files on shared storage.
+
+    The write is rebalanced: AQE sizes its partitions to the advisory
+    partition size, so a small table becomes one file (one task per model
+    iteration later) and a large one many evenly sized files.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/orderlens/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.hint("rebalance").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
