@@ -68,15 +68,21 @@ def complexity_bucket(max_sequential: str | Column) -> Column:
 
 
 def fixed_sum(c: str | Column, scale: int = 6) -> Column:
-    """Exact sum of decimal quantities, returned as double.
-
-    Each value is scaled to an integer count of ``10**-scale`` units and
-    summed as ``bigint``: exact, hash-aggregate friendly, and independent of
-    partitioning and merge order (a ``double`` sum is not). The final double is
-    the correctly rounded value of the exact decimal sum.
+    """Exact sum of decimal quantities (``scale`` decimals), returned as double.
+
+    Each value splits into its whole part and its fraction in units of
+    ``10**-scale``; both are summed as ``bigint`` (hash-aggregate friendly and
+    independent of partitioning and merge order, which a ``double`` sum is
+    not). Whole parts overflow only past ~9.2e18 in value and fractions only
+    past ~9.2e12 rows per group, so a key holding a third of a very large
+    table still sums exactly. The two sums are combined once per group.
     """
     unit = 10 ** scale
-    return F.sum(F.rint(_col(c) * F.lit(float(unit))).cast("long")) / F.lit(float(unit))
+    x = _col(c)
+    whole = F.floor(x)
+    frac = F.rint((x - whole) * F.lit(float(unit))).cast("long")
+    units = F.sum(whole).cast("decimal(38,0)") * F.lit(unit) + F.sum(frac).cast("decimal(38,0)")
+    return units.cast("double") / F.lit(float(unit))
 
 
 def first_by(value: str | Column, order: str | Column) -> Column:

@@ -119,3 +119,14 @@ def test_csv_na_markers(spark, tmp_path):
     assert t["order_items"].schema == schemas.ORDER_ITEMS
     pq = read_table(spark, str(tmp_path / "items.csv"), None)   # inferred schema path
     assert pq.count() == 2
+
+
+def test_fixed_sum_exact_and_overflow_safe(spark):
+    from orderlens.functions.expressions import fixed_sum
+    big = spark.createDataFrame([("k", 4e12 + 0.25)] * 3 + [("j", 0.1), ("j", 0.2)], "g string, v double")
+    got = {r["g"]: r["s"] for r in big.groupBy("g").agg(fixed_sum("v").alias("s")).collect()}
+    assert got["k"] == 12e12 + 0.75                   # scaled units exceed the bigint range
+    assert got["j"] == 0.3                            # exact decimal sum, not 0.30000000000000004
+    one = spark.createDataFrame([(0.1 * i,) for i in range(1, 101)], "v double")
+    parts = [one.repartition(n).agg(fixed_sum("v")).first()[0] for n in (1, 3, 7)]
+    assert parts[0] == parts[1] == parts[2] == 505.0

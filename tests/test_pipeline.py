@@ -150,3 +150,56 @@ def test_entry_contract(spark):
     assert set(sql) <= set(qs)
     df = entry.entry(spark)
     assert df.count() > 0 and len(df.columns) == 28
+
+
+def test_duplicate_order_rows_collapse(spark):
+    from orderlens.plans.base import base_table
+    from orderlens.plans.items import ITEM_FEATURES
+    from orderlens.plans.orders import ORDER_FEATURES
+    from orderlens.plans.payments import PAYMENT_FEATURES
+    o = spark.createDataFrame([(1, 0, 1, 2, -1, 0, 3, 5, 2018, "Spring")] * 4 +
+                              [(2, 0, 1, 2, 1, 1, 3, 5, 2018, "Spring")],
+                              ", ".join(f"{c} {'string' if c == 'purchase_season' else 'long'}"
+                                        for c in ORDER_FEATURES))
+    p = spark.createDataFrame([(k, 1, "voucher", 0, 1, 10.0, 1, "One-Time", "Simple", 0, 1, 0) for k in (1, 2)],
+                              "order_id long, num_payment_types long, primary_payment_type string, "
+                              "multiple_payment_type_flag int, num_payment_sequential int, total_payment_value double, "
+                              "max_installments int, installment_category string, payment_complexity_category string, "
+                              "in_credit_card int, in_voucher int, in_mobile int")
+    i = spark.createDataFrame([(k, 1, 10.0, 1.0, 1.0, 1.0, 1, 10.0, 0, "Low") for k in (1, 2)],
+                              "order_id long, total_items long, total_price double, total_shipping_cost double, "
+                              "order_weight double, order_size double, num_distinct_products_category long, "
+                              "average_item_price double, high_shipping_cost_flag int, photo_per_order_category string")
+    r = spark.createDataFrame([(1, 5, 1), (2, 2, 0)], "order_id long, review_score int, review_positive_flag int")
+    assert p.columns == PAYMENT_FEATURES and i.columns == ITEM_FEATURES
+    out = base_table(o, p, i, r)
+    assert out.count() == 2 and out.select(KEY).distinct().count() == 2
+
+
+def test_holdout_encoding_is_training_layout(spark, staged):
+    _, base = staged
+    m = fit_matrix(base, LABEL, exclude=[KEY])
+    full = {r[KEY]: r["features"] for r in apply_matrix(m, base).collect()}
+    # a holdout whose category frequencies differ: mostly one payment type
+    rare = base.filter(F.col("primary_payment_type") == "mobile").limit(50) \
+        .unionByName(base.filter(F.col("primary_payment_type") == "voucher").limit(3))
+    for r in apply_matrix(m, rare).collect():
+        assert r["features"] == full[r[KEY]]
+
+
+def test_stream_scores_equal_batch(spark):
+    from orderlens.pipeline import fit_pipeline
+    from orderlens.streaming.scoring import score_stream
+    from orderlens.session import checkpoint_root
+    import uuid
+    tables = dv.order_tables(spark, SF_SMALL)
+    fitted = fit_pipeline(tables, kind="gbt", maxIter=3, maxDepth=2)
+    holdout_tables = {k: v for k, v in tables.items() if k != "order_reviews"}
+    holdout = build_base(holdout_tables, fitted.state)
+    root = f"{checkpoint_root(spark)}/stream-test-{uuid.uuid4().hex}"
+    holdout.write.parquet(f"{root}/in")
+    q = score_stream(spark, fitted, f"{root}/in", holdout.schema, f"{root}/out", f"{root}/ckpt")
+    q.awaitTermination()
+    streamed = {r[KEY]: r["prediction"] for r in spark.read.parquet(f"{root}/out").collect()}
+    batch = {r[KEY]: r["prediction"] for r in score_tables(fitted, holdout_tables).collect()}
+    assert streamed == batch and len(batch) > 0
