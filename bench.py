@@ -18,8 +18,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark import StorageLevel  # noqa: E402
-
 from orderlens.ml import evaluation as ev  # noqa: E402
 from orderlens.ml.models import fit_model  # noqa: E402
 from orderlens.pipeline import fit_base, fit_matrix_split  # noqa: E402
@@ -65,12 +63,11 @@ def main():
 
     def evaluate():
         scored = gbt.transform(va).select("label", ev.positive_probability().alias("score"), "prediction")
-        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-        out = {"accuracy": ev.accuracy(scored).first()["accuracy"], "auc": ev.auc(scored).first()["auc"]}
-        _run(ev.roc_points(scored))
-        _run(ev.gains_curve(scored))
-        _run(ev.confusion_matrix(scored))
-        scored.unpersist()
+        rep = ev.evaluation_report(scored)
+        out = {"accuracy": rep["accuracy"].first()["accuracy"], "auc": rep["auc"].first()["auc"]}
+        _run(rep["roc"])
+        _run(rep["gains"])
+        _run(rep["confusion"])
         return out
 
     quality = timed("gbt_evaluate", evaluate)

@@ -48,19 +48,26 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> D
     ).withColumn("rows", F.col("pos") + F.col("neg"))
 
 
-def _cumulative(df: DataFrame, label: str, score: str) -> DataFrame:
+def curve_table(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """One row per distinct score with running and total positives,
+    negatives and rows in score-descending order (input of E3-E5)."""
     return running_totals(score_counts(df, label, score), "score", ["pos", "neg", "rows"],
                           descending=True)
 
 
-def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def _curve(df, label, score, curve):
+    return curve if curve is not None else curve_table(df, label, score)
+
+
+def roc_points(df: DataFrame | None = None, label: str = "label", score: str = "score",
+               curve: DataFrame | None = None) -> DataFrame:
     """``(threshold, tp, fp, tpr, fpr)`` for every distinct score.
 
     A point says: predicting positive for scores >= threshold gives these
     rates. The curve starts at (0, 0) below the highest threshold and ends at
-    (1, 1) at the lowest.
+    (1, 1) at the lowest. Pass a staged ``curve_table`` to share it.
     """
-    c = _cumulative(df, label, score)
+    c = _curve(df, label, score, curve)
     return c.select(
         F.col("score").alias("threshold"),
         F.col("cum_pos").alias("tp"),
@@ -70,14 +77,15 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> Dat
     )
 
 
-def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def auc(df: DataFrame | None = None, label: str = "label", score: str = "score",
+        curve: DataFrame | None = None) -> DataFrame:
     """Exact area under the ROC curve (ties as diagonal segments).
 
     Sum over distinct scores of ``neg * (tp_above + pos / 2)`` divided by
     ``P * N``, with the numerator summed exactly as an integer (twice the
     area), so the result does not depend on partitioning.
     """
-    c = _cumulative(df, label, score)
+    c = _curve(df, label, score, curve)
     twice = (F.col("neg").cast("decimal(38,0)")
              * (F.lit(2) * (F.col("cum_pos") - F.col("pos")) + F.col("pos")).cast("decimal(38,0)"))
     agg = c.agg(F.sum(twice).alias("num"), F.max("total_pos").alias("p"), F.max("total_neg").alias("n"))
@@ -86,19 +94,50 @@ def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
          / (F.lit(2.0) * F.col("p").cast("double") * F.col("n").cast("double"))).alias("auc"))
 
 
-def gains_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def gains_curve(df: DataFrame | None = None, label: str = "label", score: str = "score",
+                curve: DataFrame | None = None) -> DataFrame:
     """E5: cumulative gains and lift over score-descending rows.
 
     ``fraction`` = share of rows at or above the threshold, ``gain`` = share
     of all positives among them, ``lift`` = gain / fraction.
     """
-    c = _cumulative(df, label, score)
+    c = _curve(df, label, score, curve)
     fraction = F.col("cum_rows") / F.col("total_rows")
     gain = F.col("cum_pos") / F.col("total_pos")
     return c.select(F.col("score").alias("threshold"), fraction.alias("fraction"),
                     gain.alias("gain"), (gain / fraction).alias("lift"))
 
 
+def evaluation_report(scored: DataFrame, label: str = "label", score: str = "score",
+                      prediction: str = "prediction", classes=CLASSES) -> dict[str, DataFrame]:
+    """E1-E5 for one scored table, scoring it once.
+
+    The rows collapse into counts per ``(score, label, prediction)``, which is
+    staged; accuracy, the confusion matrix and the per-score curve (also
+    staged, shared by ROC, AUC and gains) all derive from that table.
+    """
+    from orderlens.pipeline import stage
+    cells = stage(scored.groupBy(F.col(score).alias("score"), F.col(label).alias("label"),
+                                 F.col(prediction).alias("prediction"))
+                        .agg(F.count(F.lit(1)).alias("n")), "score_cells")
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))
+    acc = cells.agg((F.sum(hit) / F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))
+    confusion = (cells.groupBy("label").pivot("prediction", list(classes)).agg(F.sum("n"))
+                 .fillna(0).orderBy("label"))
+    counts = stage(cells.groupBy("score").agg(
+        F.sum(F.when(F.col("label") == 1.0, F.col("n")).otherwise(F.lit(0))).alias("pos"),
+        F.sum(F.when(F.col("label") != 1.0, F.col("n")).otherwise(F.lit(0))).alias("neg"),
+    ).withColumn("rows", F.col("pos") + F.col("neg")), "score_counts")
+    curve = stage(running_totals(counts, "score", ["pos", "neg", "rows"], descending=True), "curve")
+    return {
+        "accuracy": acc,
+        "confusion": confusion,
+        "roc": roc_points(curve=curve),
+        "auc": auc(curve=curve),
+        "gains": gains_curve(curve=curve),
+    }
+
+
 def evaluator_auc(df: DataFrame, label: str = "label", raw: str = "rawPrediction",
                   bins: int = 1000) -> float:
     """The reference's metric: Spark's evaluator (binned when ``bins > 0``)."""

@@ -1,0 +1,37 @@
+"""J1-J3 helpers: equi-joins with a size-checked broadcast of the small side."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest side broadcast on the planner's estimate. Parquet estimates are
+# compressed sizes (in memory a table can be several times larger), so the
+# bound is kept well under executor memory; AQE can still broadcast a side
+# at runtime from its measured shuffle size.
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (no job runs): file sizes scaled by
+    the projected columns for scans, and upper bounds through filters.
+    ``None`` when the estimate is not reachable (e.g. a Connect session)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: no hint
+        return None
+
+
+def join_dimension(fact: DataFrame, dim: DataFrame, on: str | list[str], how: str = "inner",
+                   max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Join a fact table to a dimension table.
+
+    The dimension is broadcast only when its estimated size is under
+    ``max_broadcast_bytes``; beyond that the join is left to the planner
+    (sort-merge, with AQE splitting a hot key's partition), so nothing of
+    unchecked size is shipped to every executor.
+    """
+    size = estimated_bytes(dim)
+    if size is not None and size <= max_broadcast_bytes:
+        dim = F.broadcast(dim)
+    return fact.join(dim, on=on, how=how)

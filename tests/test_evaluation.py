@@ -97,3 +97,15 @@ def test_running_window_is_partitioned_by_range(spark):
     # offsets table (one row per range) passes through a single partition
     assert "hashpartitioning(_range" in plan
     assert plan.count("SinglePartition") <= 1
+
+
+def test_report_matches_single_metrics(spark):
+    pairs = make("ties", 500, 9)
+    df = scored(spark, pairs)
+    rep = ev.evaluation_report(df)
+    assert rep["auc"].first()["auc"] == ev.auc(df).first()["auc"]
+    assert rep["accuracy"].first()["accuracy"] == ev.accuracy(df).first()["accuracy"]
+    assert [tuple(r) for r in rep["confusion"].collect()] == [tuple(r) for r in ev.confusion_matrix(df).collect()]
+    key = lambda r: r["threshold"]
+    assert sorted(rep["roc"].collect(), key=key) == sorted(ev.roc_points(df).collect(), key=key)
+    assert sorted(rep["gains"].collect(), key=key) == sorted(ev.gains_curve(df).collect(), key=key)
