@@ -4,7 +4,8 @@ Prints one JSON line: {"metric", "value" (sum of query seconds), "unit",
 "queries": {name: seconds}, "sf", ...}. Each step is forced with a ``noop``
 write (full execution, nothing collected) or its own action. Steps mirror the
 reference's work: feature tables, base table, formula matrix + cache,
-the three model fits, and the evaluation curves.
+the three model fits, the evaluation curves, and scoring + writing the
+holdout predictions with the training state.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from orderlens.ml import evaluation as ev  # noqa: E402
 from orderlens.ml.models import fit_model  # noqa: E402
-from orderlens.pipeline import fit_base, fit_matrix_split  # noqa: E402
+from orderlens.ml.models import predictions  # noqa: E402
+from orderlens.pipeline import FittedPipeline, fit_base, fit_matrix_split, score_tables  # noqa: E402
 from orderlens.plans.items import item_aggregates  # noqa: E402
 from orderlens.plans.payments import payment_features  # noqa: E402
 from orderlens.plans.products import product_features  # noqa: E402
 from orderlens.plans.reviews import review_features  # noqa: E402
 from orderlens.session import build_session  # noqa: E402
 from orderlens.sources import driver_views as dv  # noqa: E402
+from orderlens.sources.sinks import write_predictions  # noqa: E402
 
 
 def _run(df):
@@ -71,6 +74,13 @@ def main():
         return out
 
     quality = timed("gbt_evaluate", evaluate)
+
+    def holdout():
+        fitted = FittedPipeline(state, matrix, gbt, "gbt")
+        scored = score_tables(fitted, {k: v for k, v in tables.items() if k != "order_reviews"})
+        write_predictions(predictions(scored), f"{scratch}/predictions")
+
+    timed("holdout_score_write", holdout)
     timed("curves_events", lambda: (_run(ev.roc_points(dv.scored_events(spark, sf_dir))),
                                     ev.auc(dv.scored_events(spark, sf_dir)).first()))
     total = round(sum(times.values()), 3)
