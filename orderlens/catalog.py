@@ -377,6 +377,14 @@ def m5_gbt_metrics(spark, sf):
     return acc.unionByName(area).unionByName(binned)
 
 
+def m_compare_models(spark, sf):
+    """README ranking: validation accuracy and exact AUC of GBT, LR and RF."""
+    from orderlens.flow import model_metrics
+    _, tr, va = _matrix_split(spark, sf)
+    models = {k: fit_model(k, tr) for k in ("gbt", "lr", "rf")}
+    return model_metrics(models, va)
+
+
 def m7_cv_gbt(spark, sf):
     _, tr, _ = _matrix_split(spark, sf)
     est = make_estimator("gbt")
@@ -496,6 +504,7 @@ ROWS_ONLY: dict[str, Query] = {
     "m4_rf_scores": m4_rf_scores,
     "m5_gbt_scores": m5_gbt_scores,
     "m5_gbt_metrics": m5_gbt_metrics,
+    "m_compare_models": m_compare_models,
     "m7_cv_gbt": m7_cv_gbt,
     "m9_lr_coefficients": m9_lr_coefficients,
     "m10_feature_importance": m10_feature_importance,

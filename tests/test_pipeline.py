@@ -203,3 +203,20 @@ def test_stream_scores_equal_batch(spark):
     streamed = {r[KEY]: r["prediction"] for r in spark.read.parquet(f"{root}/out").collect()}
     batch = {r[KEY]: r["prediction"] for r in score_tables(fitted, holdout_tables).collect()}
     assert streamed == batch and len(batch) > 0
+
+
+def test_run_flow_small(spark, tmp_path):
+    from orderlens.flow import run_flow
+    tables = dv.order_tables(spark, SF_SMALL)
+    holdout = {k: v for k, v in tables.items() if k != "order_reviews"}
+    res = run_flow(tables, holdout, tune_gbt=True, tune_grid={"maxDepth": [2], "maxIter": [2, 3]},
+                   params={"gbt": {"maxIter": 3, "maxDepth": 2}, "rf": {"numTrees": 3},
+                           "lr": {"maxIter": 5}}, predictions_path=str(tmp_path / "pred"))
+    m = {(r["model"], r["metric"]): r["value"] for r in res.metrics.collect()}
+    assert set(m) == {(k, x) for k in ("gbt", "lr", "rf") for x in ("accuracy", "auc")}
+    assert all(0.0 <= v <= 1.0 for v in m.values())
+    assert set(res.best_params) == {"maxDepth", "maxIter"}
+    assert res.profiles["base_duplicates"].first()[0] == 0
+    written = spark.read.parquet(str(tmp_path / "pred"))
+    assert written.count() == res.predictions.count() > 0
+    assert sum(r["count"] for r in res.prediction_counts.collect()) == written.count()
