@@ -67,6 +67,24 @@ def complexity_bucket(max_sequential: str | Column) -> Column:
     return case_labels([(s == 1, "Simple"), (s.between(2, 3), "Moderate")], "Complex")
 
 
+def fixed_sum_parts(c: str | Column, scale: int = 6) -> tuple[Column, Column]:
+    """The two ``bigint`` partial sums behind ``fixed_sum``: whole parts and
+    fractions in units of ``10**-scale``. Partial sums of groups add up, so a
+    two-level aggregation stays exact."""
+    unit = 10 ** scale
+    x = _col(c)
+    whole = F.floor(x)
+    frac = F.rint((x - whole) * F.lit(float(unit))).cast("long")
+    return F.sum(whole), F.sum(frac)
+
+
+def combine_fixed(whole: Column, frac: Column, scale: int = 6) -> Column:
+    """The double value of ``whole + frac * 10**-scale``, combined exactly."""
+    unit = 10 ** scale
+    units = whole.cast("decimal(38,0)") * F.lit(unit) + frac.cast("decimal(38,0)")
+    return units.cast("double") / F.lit(float(unit))
+
+
 def fixed_sum(c: str | Column, scale: int = 6) -> Column:
     """Exact sum of decimal quantities (``scale`` decimals), returned as double.
 
@@ -77,12 +95,8 @@ def fixed_sum(c: str | Column, scale: int = 6) -> Column:
     past ~9.2e12 rows per group, so a key holding a third of a very large
     table still sums exactly. The two sums are combined once per group.
     """
-    unit = 10 ** scale
-    x = _col(c)
-    whole = F.floor(x)
-    frac = F.rint((x - whole) * F.lit(float(unit))).cast("long")
-    units = F.sum(whole).cast("decimal(38,0)") * F.lit(unit) + F.sum(frac).cast("decimal(38,0)")
-    return units.cast("double") / F.lit(float(unit))
+    whole, frac = fixed_sum_parts(c, scale)
+    return combine_fixed(whole, frac, scale)
 
 
 def first_by(value: str | Column, order: str | Column) -> Column:

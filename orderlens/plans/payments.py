@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.expressions import (complexity_bucket, contains_value, first_by,
-                                             fixed_sum, flag, installment_bucket)
+from orderlens.functions.expressions import (combine_fixed, complexity_bucket, contains_value, first_by,
+                                             fixed_sum_parts, flag, installment_bucket)
 from orderlens.operators.cleaning import filter_positive
 
 # Payment types that get a membership flag, with the flag names.
@@ -26,17 +26,28 @@ PAYMENT_FEATURES = ["order_id", "num_payment_types", "primary_payment_type", "mu
 def payment_aggregates(payments: DataFrame) -> DataFrame:
     """per-order totals of the payments with at least one installment.
 
-    The primary type is the non-null type of the lowest payment sequence
-    number (ties: smaller type), which makes the reference's
-    order-dependent ``first`` deterministic.
+    Two levels: per (order, type) every buffer is numeric, so the first
+    level is a hash aggregation over all payment rows (partial before its
+    shuffle); the second level sees at most one row per type of an order and
+    computes the distinct type count, the membership flags and the primary
+    type (the non-null type of the lowest payment sequence number, ties to the
+    smaller type), which makes the reference's order-dependent ``first``
+    deterministic. Exact sums carry their two ``bigint`` parts across levels.
     """
     kept = filter_positive(payments, "payment_installments")
-    return kept.groupBy("order_id").agg(
-        F.round(fixed_sum("payment_value"), 2).alias("total_payment_value"),
-        F.count_distinct("payment_type").alias("num_payment_types"),
-        F.max("payment_sequential").alias("num_payment_sequential"),
-        F.max("payment_installments").alias("max_installments"),
-        first_by("payment_type", "payment_sequential").alias("primary_payment_type"),
+    whole, frac = fixed_sum_parts("payment_value")
+    per_type = kept.groupBy("order_id", "payment_type").agg(
+        whole.alias("_whole"), frac.alias("_frac"),
+        F.min("payment_sequential").alias("_first_seq"),
+        F.max("payment_sequential").alias("_last_seq"),
+        F.max("payment_installments").alias("_max_inst"),
+    )
+    return per_type.groupBy("order_id").agg(
+        F.round(combine_fixed(F.sum("_whole"), F.sum("_frac")), 2).alias("total_payment_value"),
+        F.count("payment_type").alias("num_payment_types"),
+        F.max("_last_seq").alias("num_payment_sequential"),
+        F.max("_max_inst").alias("max_installments"),
+        first_by("payment_type", "_first_seq").alias("primary_payment_type"),
         *[contains_value("payment_type", v).alias(name) for v, name in PAYMENT_FLAGS.items()],
     )
 

@@ -162,3 +162,14 @@ def test_response_mean_truncates(spark):
     assert rt["d"]["review_response_time"] == int(8 / 3)
     fitted = rows_by(response_times(latest_reviews(df), mean=5.9), "order_id")
     assert fitted["d"]["review_response_time"] == 5
+
+
+def test_primary_type_tie_and_sums_across_levels(spark):
+    rows = [("o1", 2, "voucher", 1, 0.1), ("o1", 2, "credit_card", 1, 0.2),     # tie on lowest seq
+            ("o1", 3, "voucher", 1, 0.3), ("o1", 1, None, 1, 0.4),              # null type at seq 1
+            ("o2", 5, "mobile", 2, 1.005), ("o2", 5, "mobile", 2, 1.0)]
+    out = rows_by(payment_features(spark.createDataFrame(rows, schemas.ORDER_PAYMENTS)), "order_id")
+    assert out["o1"]["primary_payment_type"] == "credit_card"
+    assert out["o1"]["total_payment_value"] == 1.0 and out["o1"]["num_payment_types"] == 2
+    assert out["o1"]["num_payment_sequential"] == 3
+    assert out["o2"]["total_payment_value"] == 2.01 and out["o2"]["num_payment_types"] == 1
