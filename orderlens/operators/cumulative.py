@@ -16,9 +16,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Upper bound on value ranges: the per-range offsets table (one row per range)
+# goes through one task and is broadcast, so it stays small; past
+# ``MAX_RANGES * rows_per_range`` distinct values ranges grow instead.
+MAX_RANGES = 16_384
+
 
 def _range_splits(df: DataFrame, value: str, n_rows: int, rows_per_range: int) -> list[float]:
-    ranges = max(1, min(4096, -(-n_rows // rows_per_range)))
+    ranges = max(1, min(MAX_RANGES, -(-n_rows // rows_per_range)))
     if ranges == 1:
         return []
     probs = [i / ranges for i in range(1, ranges)]
@@ -54,7 +59,7 @@ def running_totals(df: DataFrame, value: str, sums: list[str], descending: bool
     )
     order = F.col(value).desc() if descending else F.col(value).asc()
     within = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    # ``offsets`` has one row per value range (at most 4096): bounded broadcast.
+    # ``offsets`` has one row per value range (at most MAX_RANGES): bounded broadcast.
     out = ranged.join(F.broadcast(offsets), "_range").select(
         *[c for c in df.columns],
         *[(F.sum(c).over(within) + F.col(f"_off_{c}")).alias(f"{prefix}{c}") for c in sums],
