@@ -193,9 +193,9 @@ _CUM = """
 g AS (SELECT score, count(*) FILTER (WHERE label = 1.0) AS pos, count(*) FILTER (WHERE label <> 1.0) AS neg
       FROM v_scored_events GROUP BY score),
 c AS (SELECT score, pos, neg, pos + neg AS rows,
-             sum(pos) OVER (ORDER BY score DESC) AS cum_pos,
-             sum(neg) OVER (ORDER BY score DESC) AS cum_neg,
-             sum(pos + neg) OVER (ORDER BY score DESC) AS cum_rows
+             CAST(sum(pos) OVER (ORDER BY score DESC) AS BIGINT) AS cum_pos,
+             CAST(sum(neg) OVER (ORDER BY score DESC) AS BIGINT) AS cum_neg,
+             CAST(sum(pos + neg) OVER (ORDER BY score DESC) AS BIGINT) AS cum_rows
       FROM g),
 t AS (SELECT sum(pos) AS total_pos, sum(neg) AS total_neg, sum(pos + neg) AS total_rows FROM g)
 """
