@@ -22,7 +22,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from orderlens.ml import evaluation as ev  # noqa: E402
 from orderlens.ml.models import fit_model  # noqa: E402
 from orderlens.ml.models import predictions  # noqa: E402
-from orderlens.pipeline import FittedPipeline, fit_base, fit_matrix_split, score_tables  # noqa: E402
+from orderlens.fitting import FittedScorer, fit_base, fit_matrix_split, score_tables  # noqa: E402
 from orderlens.plans.items import item_aggregates  # noqa: E402
 from orderlens.plans.payments import payment_features  # noqa: E402
 from orderlens.plans.products import product_features  # noqa: E402
@@ -76,7 +76,7 @@ def main():
     quality = timed("gbt_evaluate", evaluate)
 
     def holdout():
-        fitted = FittedPipeline(state, matrix, gbt, "gbt")
+        fitted = FittedScorer(state, matrix, gbt, "gbt")
         scored = score_tables(fitted, {k: v for k, v in tables.items() if k != "order_reviews"})
         write_predictions(predictions(scored), f"{scratch}/predictions")
 

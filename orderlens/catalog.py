@@ -57,7 +57,7 @@ def _base(spark, sf, complete_only=True, with_reviews=True):
 
 def _matrix_split(spark, sf):
     """Staged base table -> hash split -> formula fitted on the training part."""
-    from orderlens.pipeline import fit_base, fit_matrix_split
+    from orderlens.fitting import fit_base, fit_matrix_split
     _, base = fit_base(_tables(spark, sf))
     return fit_matrix_split(base)
 
@@ -411,9 +411,9 @@ def m12_prediction_counts(spark, sf):
 
 def m12_holdout_predictions(spark, sf):
     """Train on the labelled tables, score the holdout base with the same state."""
-    from orderlens.pipeline import fit_pipeline, score_tables
+    from orderlens.fitting import fit_scorer, score_tables
     tables = _tables(spark, sf)
-    fitted = fit_pipeline(tables, kind="gbt")
+    fitted = fit_scorer(tables, kind="gbt")
     holdout = {k: v for k, v in tables.items() if k != "order_reviews"}
     return predictions(score_tables(fitted, holdout))
 

@@ -23,7 +23,7 @@ from orderlens.session import checkpoint_root, materialize
 
 
 @dataclass
-class FittedPipeline:
+class FittedScorer:
     state: FeatureState
     matrix: MatrixModel
     model: object
@@ -79,8 +79,8 @@ def fit_matrix_split(base: DataFrame, validation: bool = True):
     return matrix, tr, va
 
 
-def fit_pipeline(tables: dict[str, DataFrame], kind: str = "gbt", validation: bool = False,
-                 **params) -> FittedPipeline:
+def fit_scorer(tables: dict[str, DataFrame], kind: str = "gbt", validation: bool = False,
+                 **params) -> FittedScorer:
     """Fit state, formula and model on the labelled tables.
 
     With ``validation`` the model is fitted on the hash-split training part
@@ -88,10 +88,10 @@ def fit_pipeline(tables: dict[str, DataFrame], kind: str = "gbt", validation: bo
     """
     state, base = fit_base(tables)
     matrix, train, _ = fit_matrix_split(base, validation)
-    return FittedPipeline(state, matrix, fit_model(kind, train, **params), kind)
+    return FittedScorer(state, matrix, fit_model(kind, train, **params), kind)
 
 
-def score_tables(fitted: FittedPipeline, tables: dict[str, DataFrame]) -> DataFrame:
+def score_tables(fitted: FittedScorer, tables: dict[str, DataFrame]) -> DataFrame:
     """Holdout (or any) tables scored with the fitted state and model."""
     base = build_base(tables, fitted.state)
     return fitted.model.transform(apply_matrix(fitted.matrix, base))

@@ -9,12 +9,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.fitting import FittedScorer, fit_base, fit_matrix_split, score_tables
 from orderlens.ml import evaluation as ev
 from orderlens.ml.models import (coefficients, feature_importance, fit_model, make_estimator,
                                  prediction_counts, predictions)
 from orderlens.ml.tuning import GBT_GRID, best_params, grid, tune
 from orderlens.operators.quality import duplicate_count, null_counts, null_counts_long
-from orderlens.pipeline import FittedPipeline, fit_base, fit_matrix_split, score_tables
 from orderlens.plans.base import KEY
 from orderlens.sources.sinks import write_predictions
 
@@ -91,7 +91,7 @@ def run_flow(train_tables: dict[str, DataFrame], holdout_tables: dict[str, DataF
         report=ev.evaluation_report(scored), profiles=profiles, best_params=tuned,
     )
     if holdout_tables is not None:
-        fitted = FittedPipeline(state, matrix, best, "gbt" if "gbt" in models else kinds[0])
+        fitted = FittedScorer(state, matrix, best, "gbt" if "gbt" in models else kinds[0])
         holdout_scored = score_tables(fitted, holdout_tables)
         result.predictions = predictions(holdout_scored)
         result.prediction_counts = prediction_counts(holdout_scored)

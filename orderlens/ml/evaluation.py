@@ -116,7 +116,7 @@ def evaluation_report(scored: DataFrame, label: str = "label", score: str = "sco
     staged; accuracy, the confusion matrix and the per-score curve (also
     staged, shared by ROC, AUC and gains) all derive from that table.
     """
-    from orderlens.pipeline import stage
+    from orderlens.fitting import stage
     cells = stage(scored.groupBy(F.col(score).alias("score"), F.col(label).alias("label"),
                                  F.col(prediction).alias("prediction"))
                         .agg(F.count(F.lit(1)).alias("n")), "score_cells")

@@ -46,13 +46,13 @@ def _work_root(spark: SparkSession) -> str:
 def score_batch_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on the labelled tables, land the holdout base rows as files, run
     the stream to completion and return the scored rows."""
-    from orderlens.pipeline import fit_pipeline
+    from orderlens.fitting import fit_scorer
     from orderlens.plans.base import build_base
     from orderlens.sources.driver_views import order_tables
 
     root = f"{_work_root(spark).rstrip('/')}/orderlens/stream-{uuid.uuid4().hex}"
     tables = order_tables(spark, sf_dir)
-    fitted = fit_pipeline(tables, kind="gbt")
+    fitted = fit_scorer(tables, kind="gbt")
     holdout = build_base({k: v for k, v in tables.items() if k != "order_reviews"}, fitted.state)
     holdout.write.mode("overwrite").parquet(f"{root}/in")
     q = score_stream(spark, fitted, f"{root}/in", holdout.schema, f"{root}/out", f"{root}/ckpt")

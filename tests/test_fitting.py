@@ -9,7 +9,7 @@ from conftest import SF_MID, SF_SMALL
 from orderlens.ml import evaluation as ev
 from orderlens.ml.matrix import apply_matrix, fit_matrix, split
 from orderlens.ml.models import coefficients, feature_importance, fit_model
-from orderlens.pipeline import fit_base, fit_matrix_split, fit_pipeline, score_tables
+from orderlens.fitting import fit_base, fit_matrix_split, fit_scorer, score_tables
 from orderlens.plans.base import BASE_COLUMNS, KEY, LABEL, build_base
 from orderlens.plans.state import FeatureState, fit_feature_state
 from orderlens.sources import driver_views as dv
@@ -128,7 +128,7 @@ def test_lr_intercept_on_constant_features(spark):
 
 def test_fit_and_score_holdout(spark):
     tables = dv.order_tables(spark, SF_SMALL)
-    fitted = fit_pipeline(tables, kind="gbt", maxIter=3, maxDepth=2)
+    fitted = fit_scorer(tables, kind="gbt", maxIter=3, maxDepth=2)
     holdout = {k: v for k, v in tables.items() if k != "order_reviews"}
     scored = score_tables(fitted, holdout)
     assert scored.select(KEY, "prediction").count() > 0
@@ -188,12 +188,12 @@ def test_holdout_encoding_is_training_layout(spark, staged):
 
 
 def test_stream_scores_equal_batch(spark):
-    from orderlens.pipeline import fit_pipeline
+    from orderlens.fitting import fit_scorer
     from orderlens.streaming.scoring import score_stream
     from orderlens.session import checkpoint_root
     import uuid
     tables = dv.order_tables(spark, SF_SMALL)
-    fitted = fit_pipeline(tables, kind="gbt", maxIter=3, maxDepth=2)
+    fitted = fit_scorer(tables, kind="gbt", maxIter=3, maxDepth=2)
     holdout_tables = {k: v for k, v in tables.items() if k != "order_reviews"}
     holdout = build_base(holdout_tables, fitted.state)
     root = f"{checkpoint_root(spark)}/stream-test-{uuid.uuid4().hex}"
