@@ -17,7 +17,11 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   checkpoint_dir: str | None = None,
                   app_name: str = "orderlens", extra: dict | None = None) -> SparkSession:
-    """Session for tests and the bench. Production code receives its session."""
+    """Session for tests and the bench. Production code receives its session.
+
+    ``checkpoint_dir`` is a fallback used only when the session's
+    configuration names no ``spark.checkpoint.dir``.
+    """
     builder = (
         SparkSession.builder.master(master).appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -30,20 +34,22 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
     )
-    if checkpoint_dir:
-        builder = builder.config(_CHECKPOINT_KEY, checkpoint_dir)
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if checkpoint_dir and not checkpoint_root(spark, required=False):
-        spark.sparkContext.setCheckpointDir(checkpoint_dir)
+    if checkpoint_dir:
+        # only where the cluster names no folder (spark.checkpoint.dir)
+        ensure_checkpoint_dir(spark, checkpoint_dir)
     return spark
 
 
 def checkpoint_root(spark: SparkSession, required: bool = True) -> str | None:
     """The shared folder named by the cluster for lineage cuts."""
-    root = spark.sparkContext.getCheckpointDir()
+    try:
+        root = spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - no SparkContext (Connect session): conf only
+        root = None
     if not root:
         root = spark.conf.get(_CHECKPOINT_KEY, None)
     if not root and required:

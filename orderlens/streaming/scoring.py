@@ -36,7 +36,8 @@ def _work_root(spark: SparkSession) -> str:
     root = checkpoint_root(spark, required=False)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder for the stream state")
     import tempfile
     from orderlens.session import ensure_checkpoint_dir
