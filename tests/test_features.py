@@ -3,7 +3,6 @@
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from orderlens import schemas
 from orderlens.plans.items import item_aggregates, item_features
