@@ -81,8 +81,13 @@ def main():
         write_predictions(predictions(scored), f"{scratch}/predictions")
 
     timed("holdout_score_write", holdout)
-    timed("curves_events", lambda: (_run(ev.roc_points(dv.scored_events(spark, sf_dir))),
-                                    ev.auc(dv.scored_events(spark, sf_dir)).first()))
+    def events_report():
+        rep = ev.evaluation_report(dv.scored_events(spark, sf_dir))
+        rep["auc"].first()
+        _run(rep["roc"])
+        _run(rep["gains"])
+
+    timed("curves_events", events_report)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec", "queries": times,
                       "sf": sf, "cpus": cpus, "validation": {k: round(v, 4) for k, v in quality.items()}}))

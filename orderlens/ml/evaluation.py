@@ -72,8 +72,8 @@ def roc_points(df: DataFrame | None = None, label: str = "label", score: str = "
         F.col("score").alias("threshold"),
         F.col("cum_pos").alias("tp"),
         F.col("cum_neg").alias("fp"),
-        (F.col("cum_pos") / F.col("total_pos")).alias("tpr"),
-        (F.col("cum_neg") / F.col("total_neg")).alias("fpr"),
+        F.try_divide(F.col("cum_pos"), F.col("total_pos")).alias("tpr"),
+        F.try_divide(F.col("cum_neg"), F.col("total_neg")).alias("fpr"),
     )
 
 
@@ -83,15 +83,16 @@ def auc(df: DataFrame | None = None, label: str = "label", score: str = "score",
 
     Sum over distinct scores of ``neg * (tp_above + pos / 2)`` divided by
     ``P * N``, with the numerator summed exactly as an integer (twice the
-    area), so the result does not depend on partitioning.
+    area), so the result does not depend on partitioning. Null when one
+    class is absent (the area is undefined).
     """
     c = _curve(df, label, score, curve)
     twice = (F.col("neg").cast("decimal(38,0)")
              * (F.lit(2) * (F.col("cum_pos") - F.col("pos")) + F.col("pos")).cast("decimal(38,0)"))
     agg = c.agg(F.sum(twice).alias("num"), F.max("total_pos").alias("p"), F.max("total_neg").alias("n"))
     return agg.select(
-        (F.col("num").cast("double")
-         / (F.lit(2.0) * F.col("p").cast("double") * F.col("n").cast("double"))).alias("auc"))
+        F.try_divide(F.col("num").cast("double"),
+                     F.lit(2.0) * F.col("p").cast("double") * F.col("n").cast("double")).alias("auc"))
 
 
 def gains_curve(df: DataFrame | None = None, label: str = "label", score: str = "score",
@@ -103,7 +104,7 @@ def gains_curve(df: DataFrame | None = None, label: str = "label", score: str =
     """
     c = _curve(df, label, score, curve)
     fraction = F.col("cum_rows") / F.col("total_rows")
-    gain = F.col("cum_pos") / F.col("total_pos")
+    gain = F.try_divide(F.col("cum_pos"), F.col("total_pos"))
     return c.select(F.col("score").alias("threshold"), fraction.alias("fraction"),
                     gain.alias("gain"), (gain / fraction).alias("lift"))
 

@@ -109,3 +109,12 @@ def test_report_matches_single_metrics(spark):
     key = lambda r: r["threshold"]
     assert sorted(rep["roc"].collect(), key=key) == sorted(ev.roc_points(df).collect(), key=key)
     assert sorted(rep["gains"].collect(), key=key) == sorted(ev.gains_curve(df).collect(), key=key)
+
+
+def test_single_class_metrics_are_null_not_errors(spark):
+    df = scored(spark, [(1.0, 0.2), (1.0, 0.7), (1.0, 0.7)])
+    assert ev.auc(df).first()["auc"] is None
+    roc = ev.roc_points(df).collect()
+    assert all(r["fpr"] is None for r in roc) and max(r["tpr"] for r in roc) == 1.0
+    gains = ev.gains_curve(scored(spark, [(0.0, 0.1), (0.0, 0.3)])).collect()
+    assert all(r["gain"] is None for r in gains)
