@@ -220,3 +220,19 @@ def test_run_flow_small(spark, tmp_path):
     written = spark.read.parquet(str(tmp_path / "pred"))
     assert written.count() == res.predictions.count() > 0
     assert sum(r["count"] for r in res.prediction_counts.collect()) == written.count()
+
+
+def test_cli_on_csv_exports(spark, tmp_path):
+    """End to end from CSV text (with NA markers) through the command line."""
+    from orderlens.__main__ import main
+    tables = dv.order_tables(spark, SF_SMALL)
+    for folder, names in (("train", list(tables)), ("holdout", [n for n in tables if n != "order_reviews"])):
+        for n in names:
+            tables[n].write.option("header", True).option("nullValue", "NA").csv(str(tmp_path / folder / f"{n}.csv"))
+    summary = main(["--train", str(tmp_path / "train"), "--holdout", str(tmp_path / "holdout"),
+                    "--out", str(tmp_path / "out")], spark=spark)
+    assert set(summary["metrics"]) == {f"{k}.{m}" for k in ("gbt", "lr", "rf") for m in ("accuracy", "auc")}
+    staged = fit_base(tables)[0]
+    assert summary["shipping_threshold"] == staged.shipping_threshold
+    pred = spark.read.parquet(str(tmp_path / "out" / "predictions"))
+    assert pred.count() > 0 and pred.columns == [KEY, "prediction"]
