@@ -2,7 +2,7 @@
 
 Derives skewed tables from the driver's tables (a third of the line items,
 payments and reviews remapped to one order, a third of the items to one
-product), runs the headline feature jobs, and reads the event log written to a
+product, a third of the order rows copies of one order), runs the headline feature jobs, and reads the event log written to a
 scratch folder: per stage, the task count and the largest task's share of the
 stage's input/shuffle records. Writes SKEW.md.
 
@@ -45,8 +45,12 @@ def derive(spark, sf, out):
     spark.read.parquet(f"{sf}/events.parquet") \
         .withColumn("event_id", F.when(F.col("event_id") % 3 == 0, F.lit(2 * HOT_ORDER).cast("long"))
                     .otherwise(F.col("event_id"))).repartition(16).write.parquet(f"{out}/events.parquet")
-    for name in ("part", "orders"):
-        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{out}/{name}.parquet")
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    copy = orders.filter(F.col("o_orderkey") == HOT_ORDER).first()
+    hot = F.col("o_orderkey") % 3 == 0          # a third of the order rows: copies of one order
+    orders.select([F.when(hot, F.lit(copy[c])).otherwise(F.col(c)).cast(orders.schema[c].dataType).alias(c)
+                   for c in orders.columns]).repartition(16).write.parquet(f"{out}/orders.parquet")
+    spark.read.parquet(f"{sf}/part.parquet").write.parquet(f"{out}/part.parquet")
 
 
 def main():
@@ -112,8 +116,8 @@ def main():
         rows.append((desc, sid, len(recs), total, max(recs), max(recs) / total))
     out = ["# Hot keys: largest task per stage", "",
            "Generated by `scripts/skew_check.py` from Spark's event log. Input: the driver's sf0.1 tables with",
-           "a third of line items, payments and reviews remapped to one order and a third of items to one",
-           "product, written as 16 files each. Broadcast joins off; AQE on, with skew and advisory sizes",
+           "a third of line items, payments and reviews remapped to one order, a third of items to one",
+           "product and a third of the order rows turned into copies of one order, written as 16 files each. Broadcast joins off; AQE on, with skew and advisory sizes",
            "lowered to 256 KB so that it acts on this small data as it would on large partitions.",
            "`records` = input plus shuffle records read by the stage's tasks.", "",
            "Reading: no multi-task stage gives its largest task more than about one task's fair share,",
