@@ -417,6 +417,20 @@ def m12_holdout_predictions(spark, sf):
     return predictions(score_tables(fitted, holdout))
 
 
+def s3_write_predictions(spark, sf):
+    """Score the holdout base and write ``(order_id, prediction)``; return what was written."""
+    import uuid
+    from orderlens.fitting import fit_scorer, score_tables
+    from orderlens.session import work_root
+    from orderlens.sources.sinks import write_predictions
+    tables = _tables(spark, sf)
+    fitted = fit_scorer(tables, kind="gbt")
+    holdout = {k: v for k, v in tables.items() if k != "order_reviews"}
+    path = f"{work_root(spark).rstrip('/')}/orderlens/predictions-{uuid.uuid4().hex}"
+    write_predictions(predictions(score_tables(fitted, holdout)), path)
+    return spark.read.parquet(path)
+
+
 def r1_interactions(spark, sf):
     base = split(_base(spark, sf), KEY)
     train = base.filter(F.col("split") == "train").drop("split")
@@ -509,6 +523,7 @@ ROWS_ONLY: dict[str, Query] = {
     "m10_feature_importance": m10_feature_importance,
     "m12_prediction_counts": m12_prediction_counts,
     "m12_holdout_predictions": m12_holdout_predictions,
+    "s3_write_predictions": s3_write_predictions,
     "r1_interactions": r1_interactions,
     "r3_stacking": r3_stacking,
     "r5_stream_scores": r5_stream_scores,

@@ -68,6 +68,21 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return root
 
 
+def work_root(spark: SparkSession) -> str:
+    """Folder for job outputs that must outlive a task (stream state, sinks).
+
+    The cluster's checkpoint folder; a local-mode session without one gets a
+    fresh temporary folder (tests only, never on a cluster).
+    """
+    root = checkpoint_root(spark, required=False)
+    if root:
+        return root
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+    import tempfile
+    return ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="orderlens-ckpt-"))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from orderlens.ml.evaluation import positive_probability
 from orderlens.ml.matrix import apply_matrix
 from orderlens.plans.base import KEY
+from orderlens.session import work_root
 
 
 def score_stream(spark: SparkSession, fitted, source_dir: str, schema: T.StructType,
@@ -31,19 +32,6 @@ def score_stream(spark: SparkSession, fitted, source_dir: str, schema: T.StructT
     return writer.start(out_dir)
 
 
-def _work_root(spark: SparkSession) -> str:
-    from orderlens.session import checkpoint_root
-    root = checkpoint_root(spark, required=False)
-    if root:
-        return root
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder for the stream state")
-    import tempfile
-    from orderlens.session import ensure_checkpoint_dir
-    return ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="orderlens-ckpt-"))
-
-
 def score_batch_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on the labelled tables, land the holdout base rows as files, run
     the stream to completion and return the scored rows."""
@@ -51,7 +39,7 @@ def score_batch_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orderlens.plans.base import build_base
     from orderlens.sources.driver_views import order_tables
 
-    root = f"{_work_root(spark).rstrip('/')}/orderlens/stream-{uuid.uuid4().hex}"
+    root = f"{work_root(spark).rstrip('/')}/orderlens/stream-{uuid.uuid4().hex}"
     tables = order_tables(spark, sf_dir)
     fitted = fit_scorer(tables, kind="gbt")
     holdout = build_base({k: v for k, v in tables.items() if k != "order_reviews"}, fitted.state)
