@@ -47,7 +47,16 @@ def running_totals(df: DataFrame, value: str, sums: list[str], descending: bool
         if descending:
             ranged = ranged.withColumn("_range", F.lit(float(len(splits))) - F.col("_range"))
     else:
-        ranged = df.withColumn("_range", F.lit(0.0))
+        # one range (at most ``rows_per_range`` rows): both sums come from
+        # windows over it, no offsets table and no join
+        order = F.col(value).desc() if descending else F.col(value).asc()
+        one = Window.partitionBy("_range")
+        running = one.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("_range", F.lit(0)).select(
+            *df.columns,
+            *[F.sum(c).over(running).alias(f"{prefix}{c}") for c in sums],
+            *[F.sum(c).over(one).alias(f"total_{c}") for c in sums],
+        )
     # One row per range: its running offsets and the grand totals.
     per_range = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_r_{c}") for c in sums])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

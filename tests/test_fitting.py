@@ -236,3 +236,12 @@ def test_cli_on_csv_exports(spark, tmp_path):
     assert summary["shipping_threshold"] == staged.shipping_threshold
     pred = spark.read.parquet(str(tmp_path / "out" / "predictions"))
     assert pred.count() > 0 and pred.columns == [KEY, "prediction"]
+
+
+def test_no_cross_join_or_python_udf_in_any_sql_query(spark):
+    """Every SQL-checked query: no cartesian / nested-loop join, no Python UDF."""
+    from orderlens.catalog import SQL_CHECKED
+    for name, fn in SQL_CHECKED.items():
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+            assert node not in plan, (name, node)
