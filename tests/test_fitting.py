@@ -245,3 +245,20 @@ def test_no_cross_join_or_python_udf_in_any_sql_query(spark):
         plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
             assert node not in plan, (name, node)
+
+
+def test_stacking_and_class_weights(spark, staged):
+    from orderlens.ml.extras import apply_stack, class_weights, fit_stack
+    _, base = staged
+    _, tr, va = fit_matrix_split(base)
+    stack = fit_stack(tr, kinds=("gbt", "lr"), folds=2)
+    assert stack.meta.coefficients.size == 2                # one weight per base learner
+    out = apply_stack(stack, va).select(KEY, "prediction").collect()
+    assert len(out) == va.count() and {r["prediction"] for r in out} <= {0.0, 1.0}
+    again = apply_stack(fit_stack(tr, kinds=("gbt", "lr"), folds=2), va).select(KEY, "prediction").collect()
+    assert sorted(out) == sorted(again)                     # seeded and hash-folded: repeatable
+    w = class_weights(base, LABEL)
+    per = {r[LABEL]: r["weight"] for r in w.select(LABEL, "weight").distinct().collect()}
+    counts = {r[LABEL]: r["count"] for r in base.groupBy(LABEL).count().collect()}
+    total = sum(counts.values())
+    assert all(abs(per[k] - total / (2 * n)) < 1e-12 for k, n in counts.items())
