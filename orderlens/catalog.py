@@ -89,6 +89,14 @@ def p1_describe_order_features(spark, sf):
                              "delivery_delay", "delivery_days", "purchase_month"], digits=6)
 
 
+def p1_describe_products(spark, sf):
+    return q.describe_table(dv.products_view(spark, sf), digits=6)
+
+
+def p2_null_counts_orders(spark, sf):
+    return q.null_counts(dv.orders_view(spark, sf))
+
+
 def p2_null_counts_products(spark, sf):
     return q.null_counts(dv.products_view(spark, sf))
 
@@ -456,6 +464,8 @@ SQL_CHECKED: dict[str, Query] = {
     "s1_read_orders": s1_read_orders,
     "s4_preview_orders": s4_preview_orders,
     "p1_describe_order_features": p1_describe_order_features,
+    "p1_describe_products": p1_describe_products,
+    "p2_null_counts_orders": p2_null_counts_orders,
     "p2_null_counts_products": p2_null_counts_products,
     "p3_null_counts_long_base": p3_null_counts_long_base,
     "p4_value_counts_photos": p4_value_counts_photos,

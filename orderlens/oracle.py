@@ -208,6 +208,17 @@ _DESCRIBE = " UNION ALL ".join(
        round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS stddev, min(CAST({c} AS DOUBLE)) AS min,
        max(CAST({c} AS DOUBLE)) AS max FROM f_orders""" for c in _DESCRIBE_COLS)
 
+_PRODUCT_NUMERIC = ["product_id", "product_photos_qty", "product_weight_g", "product_length_cm",
+                    "product_height_cm", "product_width_cm"]
+
+_DESCRIBE_PRODUCTS = " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg(CAST({c} AS DOUBLE)), 6) AS mean,
+       round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS stddev, min(CAST({c} AS DOUBLE)) AS min,
+       max(CAST({c} AS DOUBLE)) AS max FROM v_products""" for c in _PRODUCT_NUMERIC)
+
+_ORDER_COLS = ["order_id", "order_status", "order_purchase_timestamp", "order_approved_at",
+               "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date"]
+
 _NULL_LONG = " UNION ALL ".join(
     f"SELECT count(*) FILTER (WHERE {c} IS NULL) AS null_count, '{c}' AS column_name FROM f_base_left"
     for c in [x.strip() for x in BASE_COLS.split(",")] + ["review_positive_flag"])
@@ -226,6 +237,9 @@ ORACLE: dict[str, str] = {
     "s1_read_orders": _with("SELECT * FROM v_orders"),
     "s4_preview_orders": _with("SELECT * FROM v_orders ORDER BY order_id LIMIT 5"),
     "p1_describe_order_features": _with(_DESCRIBE),
+    "p1_describe_products": _with(_DESCRIBE_PRODUCTS),
+    "p2_null_counts_orders": _with("SELECT " + ", ".join(
+        f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in _ORDER_COLS) + " FROM v_orders"),
     "p2_null_counts_products": _with("""
         SELECT count(*) FILTER (WHERE product_id IS NULL) AS product_id,
                count(*) FILTER (WHERE product_category_name IS NULL) AS product_category_name,
