@@ -93,10 +93,34 @@ def p1_describe_products(spark, sf):
     return q.describe_table(dv.products_view(spark, sf), digits=6)
 
 
+def p1_describe_items(spark, sf):
+    return q.describe_table(dv.order_items_view(spark, sf), digits=6)
+
+
+def p1_describe_payments(spark, sf):
+    return q.describe_table(dv.order_payments_view(spark, sf), digits=6)
+
+
+def p1_describe_reviews(spark, sf):
+    return q.describe_table(dv.order_reviews_view(spark, sf), digits=6)
+
+
 def p2_null_counts_orders(spark, sf):
     return q.null_counts(dv.orders_view(spark, sf))
 
 
+def p2_null_counts_items(spark, sf):
+    return q.null_counts(dv.order_items_view(spark, sf))
+
+
+def p2_null_counts_payments(spark, sf):
+    return q.null_counts(dv.order_payments_view(spark, sf))
+
+
+def p2_null_counts_reviews(spark, sf):
+    return q.null_counts(dv.order_reviews_view(spark, sf))
+
+
 def p2_null_counts_products(spark, sf):
     return q.null_counts(dv.products_view(spark, sf))
 
@@ -465,7 +489,13 @@ SQL_CHECKED: dict[str, Query] = {
     "s4_preview_orders": s4_preview_orders,
     "p1_describe_order_features": p1_describe_order_features,
     "p1_describe_products": p1_describe_products,
+    "p1_describe_items": p1_describe_items,
+    "p1_describe_payments": p1_describe_payments,
+    "p1_describe_reviews": p1_describe_reviews,
     "p2_null_counts_orders": p2_null_counts_orders,
+    "p2_null_counts_items": p2_null_counts_items,
+    "p2_null_counts_payments": p2_null_counts_payments,
+    "p2_null_counts_reviews": p2_null_counts_reviews,
     "p2_null_counts_products": p2_null_counts_products,
     "p3_null_counts_long_base": p3_null_counts_long_base,
     "p4_value_counts_photos": p4_value_counts_photos,

@@ -208,16 +208,35 @@ _DESCRIBE = " UNION ALL ".join(
        round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS stddev, min(CAST({c} AS DOUBLE)) AS min,
        max(CAST({c} AS DOUBLE)) AS max FROM f_orders""" for c in _DESCRIBE_COLS)
 
-_PRODUCT_NUMERIC = ["product_id", "product_photos_qty", "product_weight_g", "product_length_cm",
-                    "product_height_cm", "product_width_cm"]
+# Columns of the order-table views: (all columns, numeric columns).
+_VIEW_COLUMNS = {
+    "v_products": (["product_id", "product_category_name", "product_photos_qty", "product_weight_g",
+                    "product_length_cm", "product_height_cm", "product_width_cm"],
+                   ["product_id", "product_photos_qty", "product_weight_g", "product_length_cm",
+                    "product_height_cm", "product_width_cm"]),
+    "v_orders": (["order_id", "order_status", "order_purchase_timestamp", "order_approved_at",
+                  "order_delivered_carrier_date", "order_delivered_customer_date",
+                  "order_estimated_delivery_date"], ["order_id"]),
+    "v_items": (["order_id", "order_item_id", "product_id", "price", "shipping_cost"],
+                ["order_id", "order_item_id", "product_id", "price", "shipping_cost"]),
+    "v_payments": (["order_id", "payment_sequential", "payment_type", "payment_installments", "payment_value"],
+                   ["order_id", "payment_sequential", "payment_installments", "payment_value"]),
+    "v_reviews": (["order_id", "review_score", "review_creation_date", "review_answer_timestamp"],
+                  ["order_id", "review_score"]),
+}
 
-_DESCRIBE_PRODUCTS = " UNION ALL ".join(
-    f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg(CAST({c} AS DOUBLE)), 6) AS mean,
-       round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS stddev, min(CAST({c} AS DOUBLE)) AS min,
-       max(CAST({c} AS DOUBLE)) AS max FROM v_products""" for c in _PRODUCT_NUMERIC)
 
-_ORDER_COLS = ["order_id", "order_status", "order_purchase_timestamp", "order_approved_at",
-               "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date"]
+def _describe_sql(view: str) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg(CAST({c} AS DOUBLE)), 6) AS mean,
+           round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS stddev, min(CAST({c} AS DOUBLE)) AS min,
+           max(CAST({c} AS DOUBLE)) AS max FROM {view}""" for c in _VIEW_COLUMNS[view][1])
+
+
+def _null_counts_sql(view: str) -> str:
+    return "SELECT " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}"
+                                 for c in _VIEW_COLUMNS[view][0]) + f" FROM {view}"
+
 
 _NULL_LONG = " UNION ALL ".join(
     f"SELECT count(*) FILTER (WHERE {c} IS NULL) AS null_count, '{c}' AS column_name FROM f_base_left"
@@ -237,9 +256,14 @@ ORACLE: dict[str, str] = {
     "s1_read_orders": _with("SELECT * FROM v_orders"),
     "s4_preview_orders": _with("SELECT * FROM v_orders ORDER BY order_id LIMIT 5"),
     "p1_describe_order_features": _with(_DESCRIBE),
-    "p1_describe_products": _with(_DESCRIBE_PRODUCTS),
-    "p2_null_counts_orders": _with("SELECT " + ", ".join(
-        f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in _ORDER_COLS) + " FROM v_orders"),
+    "p1_describe_products": _with(_describe_sql("v_products")),
+    "p1_describe_items": _with(_describe_sql("v_items")),
+    "p1_describe_payments": _with(_describe_sql("v_payments")),
+    "p1_describe_reviews": _with(_describe_sql("v_reviews")),
+    "p2_null_counts_orders": _with(_null_counts_sql("v_orders")),
+    "p2_null_counts_items": _with(_null_counts_sql("v_items")),
+    "p2_null_counts_payments": _with(_null_counts_sql("v_payments")),
+    "p2_null_counts_reviews": _with(_null_counts_sql("v_reviews")),
     "p2_null_counts_products": _with("""
         SELECT count(*) FILTER (WHERE product_id IS NULL) AS product_id,
                count(*) FILTER (WHERE product_category_name IS NULL) AS product_category_name,
