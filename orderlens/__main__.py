@@ -1,11 +1,14 @@
 """Run the whole analysis on folders of CSV files.
 
-    python -m orderlens --train DIR [--holdout DIR] --out DIR [--tune]
+    python -m orderlens --train DIR [--holdout DIR] --out DIR [--tune] [--save-model DIR]
+    python -m orderlens --score DIR --model DIR --out DIR
 
 ``DIR`` holds ``products.csv``, ``orders.csv``, ``order_items.csv``,
 ``order_payments.csv`` and (training only) ``order_reviews.csv`` (a file or a
 folder of part files each). Results are written as Parquet under ``--out``:
 metrics, importance, coefficients, confusion, roc, gains and predictions.
+``--save-model`` keeps the fitted state, formula and model; ``--score`` applies
+a saved model to new tables without refitting anything.
 """
 
 from __future__ import annotations
@@ -16,8 +19,11 @@ import os
 
 from pyspark.sql import SparkSession
 
+from orderlens.fitting import FittedScorer, score_tables
 from orderlens.flow import run_flow
+from orderlens.ml.models import predictions
 from orderlens.schemas import TABLES
+from orderlens.sources.sinks import write_predictions
 from orderlens.sources.tables import load_sources
 
 
@@ -34,12 +40,26 @@ def _paths(folder: str, labelled: bool) -> dict[str, str]:
 
 def main(argv=None, spark: SparkSession | None = None) -> dict:
     ap = argparse.ArgumentParser(prog="orderlens")
-    ap.add_argument("--train", required=True)
+    ap.add_argument("--train")
     ap.add_argument("--holdout")
     ap.add_argument("--out", required=True)
     ap.add_argument("--tune", action="store_true", help="cross-validate the boosted-tree grid first")
+    ap.add_argument("--save-model", help="folder for the fitted state, formula and model")
+    ap.add_argument("--score", help="tables to score with --model (no fitting)")
+    ap.add_argument("--model", help="folder written by --save-model")
     args = ap.parse_args(argv)
     spark = spark or SparkSession.builder.appName("orderlens").getOrCreate()
+    if args.score:
+        if not args.model:
+            ap.error("--score needs --model")
+        scorer = FittedScorer.load(spark, args.model)
+        scored = score_tables(scorer, load_sources(spark, _paths(args.score, False)))
+        write_predictions(predictions(scored), os.path.join(args.out, "predictions"))
+        summary = {"scored": args.score, "model": args.model, "kind": scorer.kind}
+        print(json.dumps(summary))
+        return summary
+    if not args.train:
+        ap.error("--train or --score is required")
     train = load_sources(spark, _paths(args.train, True))
     holdout = load_sources(spark, _paths(args.holdout, False)) if args.holdout else None
     res = run_flow(train, holdout, tune_gbt=args.tune,
@@ -49,6 +69,8 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
     for name, df in outputs.items():
         if df is not None:
             df.write.mode("overwrite").parquet(os.path.join(args.out, name))
+    if args.save_model:
+        res.scorer.save(args.save_model)
     summary = {"shipping_threshold": res.state.shipping_threshold, "best_params": res.best_params,
                "metrics": {f"{r['model']}.{r['metric']}": r["value"] for r in res.metrics.collect()}}
     print(json.dumps(summary))

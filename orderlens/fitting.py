@@ -7,10 +7,11 @@ the training tables and reused unchanged.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.ml.matrix import MatrixModel, apply_matrix, fit_matrix, split
@@ -29,6 +30,29 @@ class FittedScorer:
     model: object
     kind: str
 
+    def save(self, path: str) -> None:
+        """Write state, formula and model under ``path`` (Spark ML writers)."""
+        spark = SparkSession.getActiveSession()
+        self.state.save(spark, f"{path}/state")
+        self.matrix.model.write().overwrite().save(f"{path}/formula")
+        self.model.write().overwrite().save(f"{path}/model")
+        meta = {"kind": self.kind, "formula": self.matrix.formula,
+                "constant_columns": self.matrix.constant_columns}
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
+             .write.mode("overwrite").text(f"{path}/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "FittedScorer":
+        from pyspark.ml.classification import (GBTClassificationModel, LogisticRegressionModel,
+                                               RandomForestClassificationModel)
+        from pyspark.ml.feature import RFormulaModel
+        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        model_cls = {"gbt": GBTClassificationModel, "lr": LogisticRegressionModel,
+                     "rf": RandomForestClassificationModel}[meta["kind"]]
+        matrix = MatrixModel(meta["formula"], RFormulaModel.load(f"{path}/formula"), meta["constant_columns"])
+        return cls(FeatureState.load(spark, f"{path}/state"), matrix, model_cls.load(f"{path}/model"),
+                   meta["kind"])
+
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Compute ``df`` once before it is read many times (fits, metrics).

@@ -34,6 +34,7 @@ class FlowResult:
     best_params: dict | None = None
     predictions: DataFrame | None = None
     prediction_counts: DataFrame | None = None
+    scorer: FittedScorer | None = None
 
 
 def model_metrics(models: dict, valid: DataFrame, binned_auc: bool = False) -> DataFrame:
@@ -90,8 +91,9 @@ def run_flow(train_tables: dict[str, DataFrame], holdout_tables: dict[str, DataF
         coefficients=coefficients(models["lr"], train) if "lr" in models else None,
         report=ev.evaluation_report(scored), profiles=profiles, best_params=tuned,
     )
+    fitted = FittedScorer(state, matrix, best, "gbt" if "gbt" in models else kinds[0])
+    result.scorer = fitted
     if holdout_tables is not None:
-        fitted = FittedScorer(state, matrix, best, "gbt" if "gbt" in models else kinds[0])
         holdout_scored = score_tables(fitted, holdout_tables)
         result.predictions = predictions(holdout_scored)
         result.prediction_counts = prediction_counts(holdout_scored)

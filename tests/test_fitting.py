@@ -230,7 +230,12 @@ def test_cli_on_csv_exports(spark, tmp_path):
         for n in names:
             tables[n].write.option("header", True).option("nullValue", "NA").csv(str(tmp_path / folder / f"{n}.csv"))
     summary = main(["--train", str(tmp_path / "train"), "--holdout", str(tmp_path / "holdout"),
-                    "--out", str(tmp_path / "out")], spark=spark)
+                    "--out", str(tmp_path / "out"), "--save-model", str(tmp_path / "model")], spark=spark)
+    main(["--score", str(tmp_path / "holdout"), "--model", str(tmp_path / "model"),
+          "--out", str(tmp_path / "rescored")], spark=spark)
+    rescored = spark.read.parquet(str(tmp_path / "rescored" / "predictions"))
+    first = spark.read.parquet(str(tmp_path / "out" / "predictions"))
+    assert sorted(rescored.collect()) == sorted(first.collect())
     assert set(summary["metrics"]) == {f"{k}.{m}" for k in ("gbt", "lr", "rf") for m in ("accuracy", "auc")}
     staged = fit_base(tables)[0]
     assert summary["shipping_threshold"] == staged.shipping_threshold
@@ -262,3 +267,16 @@ def test_stacking_and_class_weights(spark, staged):
     counts = {r[LABEL]: r["count"] for r in base.groupBy(LABEL).count().collect()}
     total = sum(counts.values())
     assert all(abs(per[k] - total / (2 * n)) < 1e-12 for k, n in counts.items())
+
+
+def test_scorer_save_and_load(spark, tmp_path):
+    from orderlens.fitting import FittedScorer
+    tables = dv.order_tables(spark, SF_SMALL)
+    fitted = fit_scorer(tables, kind="gbt", maxIter=3, maxDepth=2)
+    fitted.save(str(tmp_path / "scorer"))
+    again = FittedScorer.load(spark, str(tmp_path / "scorer"))
+    assert again.state == fitted.state and again.matrix.formula == fitted.matrix.formula
+    holdout = {k: v for k, v in tables.items() if k != "order_reviews"}
+    a = sorted(score_tables(fitted, holdout).select(KEY, "probability").collect())
+    b = sorted(score_tables(again, holdout).select(KEY, "probability").collect())
+    assert a == b and len(a) > 0
