@@ -118,3 +118,13 @@ def test_single_class_metrics_are_null_not_errors(spark):
     assert all(r["fpr"] is None for r in roc) and max(r["tpr"] for r in roc) == 1.0
     gains = ev.gains_curve(scored(spark, [(0.0, 0.1), (0.0, 0.3)])).collect()
     assert all(r["gain"] is None for r in gains)
+
+
+def test_curve_independent_of_range_count(spark):
+    from orderlens.operators.cumulative import running_totals
+    from orderlens.sources.driver_views import scored_events
+    counts = ev.score_counts(scored_events(spark, "/root/testdata/sf0.001"))
+    one = running_totals(counts, "score", ["pos", "neg"], rows_per_range=10**9)
+    many = running_totals(counts, "score", ["pos", "neg"], rows_per_range=37)
+    key = lambda r: r["score"]
+    assert sorted(one.collect(), key=key) == sorted(many.collect(), key=key)
