@@ -358,6 +358,10 @@ def r6_outcome_by_delay(spark, sf):
     return outcome_by(_base(spark, sf), "late_delivery_flag")
 
 
+def r6_outcome_by_delay_days(spark, sf):
+    return outcome_by(_base(spark, sf), "delivery_delay")
+
+
 def r6_outcome_by_shipping(spark, sf):
     return outcome_by(_base(spark, sf), "high_shipping_cost_flag")
 
@@ -548,6 +552,7 @@ SQL_CHECKED: dict[str, Query] = {
     "r2_cap_outliers": r2_cap_outliers,
     "r4_class_weights": r4_class_weights,
     "r6_outcome_by_delay": r6_outcome_by_delay,
+    "r6_outcome_by_delay_days": r6_outcome_by_delay_days,
     "r6_outcome_by_shipping": r6_outcome_by_shipping,
     "r6_outcome_by_items": r6_outcome_by_items,
     "r6_outcome_by_voucher": r6_outcome_by_voucher,

@@ -406,6 +406,7 @@ ORACLE: dict[str, str] = {
         w AS (SELECT review_positive_flag, (SELECT sum(n) FROM k) / ((SELECT count(*) FROM k) * n) AS weight FROM k)
         SELECT order_id, review_positive_flag, weight FROM f_base JOIN w USING (review_positive_flag)"""),
     "r6_outcome_by_delay": _outcome("late_delivery_flag"),
+    "r6_outcome_by_delay_days": _outcome("delivery_delay"),
     "r6_outcome_by_shipping": _outcome("high_shipping_cost_flag"),
     "r6_outcome_by_items": _outcome("total_items"),
     "r6_outcome_by_voucher": _outcome("in_voucher"),
