@@ -130,3 +130,16 @@ def test_fixed_sum_exact_and_overflow_safe(spark):
     one = spark.createDataFrame([(0.1 * i,) for i in range(1, 101)], "v double")
     parts = [one.repartition(n).agg(fixed_sum("v")).first()[0] for n in (1, 3, 7)]
     assert parts[0] == parts[1] == parts[2] == 505.0
+
+
+def test_describe_matches_spark_describe(spark):
+    from orderlens.sources.driver_views import products_view
+    df = products_view(spark, "/root/testdata/sf0.001")
+    cols = q.numeric_columns(df)
+    ours = {r["column_name"]: r for r in q.describe_table(df, cols).collect()}
+    theirs = {r["summary"]: r for r in df.describe(*cols).collect()}
+    for c in cols:
+        assert ours[c]["count"] == int(theirs["count"][c])
+        assert ours[c]["mean"] == pytest.approx(float(theirs["mean"][c]), rel=1e-12)
+        assert ours[c]["stddev"] == pytest.approx(float(theirs["stddev"][c]), rel=1e-12)
+        assert ours[c]["min"] == float(theirs["min"][c]) and ours[c]["max"] == float(theirs["max"][c])
