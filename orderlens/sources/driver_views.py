@@ -6,7 +6,11 @@ CASE rules so that every null rule of the feature builders is exercised.
 Keys stay ``bigint``: the builders are agnostic to the key type, and 8-byte
 keys hash and compare faster than text ids.
 
-The oracle SQL (``orderlens.oracle_sql``) defines the same views in DuckDB.
+The CASE rules (e.g. a null category when ``p_partkey % 17 = 0``) only set values
+to null or map a status; no rule filters or drops a row, so every query built
+on these views reads the whole tables.
+
+The oracle SQL (``orderlens.oracle``) defines the same views in DuckDB.
 """
 
 from __future__ import annotations
