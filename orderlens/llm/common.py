@@ -49,8 +49,9 @@ def crc_mod(col: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def star_edges(rows: DataFrame, name: str) -> DataFrame:
-    """Edges (a, b) that tie all ``node`` values of one ``key`` to the key's smallest node.
+def star_edges(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) that tie all ``node`` values of one ``key`` to the key's smallest node, and the keys with more than
+    two rows.
 
     ``rows`` has columns ``key`` and ``node``. Per key one aggregated row (map-side combined, so a hot
     key collapses before the shuffle); the members of keys with more than two nodes are looked up again.
@@ -61,7 +62,7 @@ def star_edges(rows: DataFrame, name: str) -> DataFrame:
     pairs = groups.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     big = rows.join(groups.where("n > 2").select("key", "lo"), "key") \
         .where("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
-    return pairs.unionByName(big).distinct()
+    return pairs.unionByName(big).distinct(), groups.where("n > 2").select("key")
 
 
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:

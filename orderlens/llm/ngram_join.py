@@ -182,7 +182,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: floa
     classes = stage(classes, "ngram-classes")
     keys = classes.select(F.col("id").alias("node"), F.posexplode("bands").alias("band", "hash")) \
         .select(F.xxhash64("band", "hash").alias("key"), "node")
-    groups = components(star_edges(keys, "ngram-buckets"), "ngram-candidates")
+    groups = components(star_edges(keys, "ngram-buckets")[0], "ngram-candidates")
     found = stage(_verify(docs, classes, groups, threshold, n, block, id_col, text_col), "ngram-links")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("docs"), F.sum("c").alias("n_classes"))
     roots = components(found.where("kind = 1").select("a", "b"), "ngram-groups")
