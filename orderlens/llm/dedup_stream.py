@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import stage, stage_path
 
-_STATE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state; without space reserved in advance for the logs of each of many small stores.
+_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+          "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def sha256(text: Column) -> Column:
@@ -44,8 +45,9 @@ def stream_state(spark: SparkSession, path: str, digest: Callable[[Column], Colu
     """
     home = stage_path(spark, "dedup-stream")
     schema = spark.read.parquet(path).schema
-    before = spark.conf.get(_STATE, None)
-    spark.conf.set(_STATE, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(_glob(path))
         state = _located(rows, digest, id_col, text_col).groupBy("digest").agg(
@@ -56,10 +58,8 @@ def stream_state(spark: SparkSession, path: str, digest: Callable[[Column], Colu
                  .start())
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(_STATE)
-        else:
-            spark.conf.set(_STATE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     kind = "digest string, n long, keep struct<doc_id:long,file:string,row:long>, batch long"
     try:
         updates = spark.read.schema(kind).parquet(f"{home}/updates")
