@@ -89,7 +89,7 @@ def repeat_words(d: DataFrame) -> DataFrame:
     return d.withColumn("n_repeat_words", F.when(F.col("_s").isNull(), 0).otherwise(F.size(covered)).cast("long")).drop("_h", "_s", "_at")
 
 
-def quality_rules(docs: DataFrame, refs: list[dict] | None = None, max_distance: float = 0.45, min_words: int = 50,
+def quality_rules(docs: DataFrame, refs: list[dict] | None = None, max_distance: float = 0.2, min_words: int = 50,
                   id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: base counts, its distance to the nearest language reference and the verdict.
 
