@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
@@ -226,12 +226,13 @@ def sample(docs: DataFrame, labels: DataFrame, positive: int = 600, negative: in
     ``max_chars`` characters, by hash order. A document labelled more than once counts as toxic if any label says so."""
     y = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")) \
         .where(F.col("y").isNotNull() & (crc_mod("i", 4) != 2)).groupBy("i").agg(F.max("y").alias("y"))
-    room = 2 * F.when(F.col("y") == 1, positive).otherwise(negative)       # some are too long or not in the table
-    y = y.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i", F.lit(21)), "i"))).where(F.col("r") <= room)
+    y = y.withColumn("h", F.xxhash64("i", F.lit(21)))
+    # twice as many as wanted, as some are too long or not in the table; a top-k per label, so no label is sorted in one task
+    y = y.where("y = 1").orderBy("h", "i").limit(2 * positive).union(y.where("y = 0").orderBy("h", "i").limit(2 * negative))
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("text")).where(F.length("text").between(1, max_chars))
     rows = d.join(F.broadcast(y), "i").dropDuplicates(["i"]).collect()     # y has 2 x (positive + negative) rows at most
     out, left = [], {1: positive, 0: negative}
-    for r in sorted(rows, key=lambda r: (r["y"], r["r"])):
+    for r in sorted(rows, key=lambda r: (r["y"], r["h"], r["i"])):
         if left[r["y"]]:
             left[r["y"]] -= 1
             out.append((r["text"], r["y"]))
