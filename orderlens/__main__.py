@@ -16,6 +16,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import re
 
 from pyspark.sql import SparkSession
 
@@ -31,9 +32,9 @@ def _paths(folder: str, labelled: bool) -> dict[str, str]:
     names = [n for n in TABLES if labelled or n != "order_reviews"]
     out = {}
     for n in names:
-        path = os.path.join(folder, f"{n}.csv")
-        if not os.path.exists(path) and not path.startswith(("s3", "gs", "abfs", "hdfs")):
-            raise FileNotFoundError(path)
+        path = f"{folder.rstrip('/')}/{n}.csv"
+        if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) and not os.path.exists(path):
+            raise FileNotFoundError(path)          # paths with a scheme are left to the reader
         out[n] = path
     return out
 

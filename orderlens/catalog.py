@@ -20,10 +20,11 @@ from orderlens.ml.tuning import best_params, grid, tune
 from orderlens.operators import cleaning as cl
 from orderlens.operators import quality as q
 from orderlens.operators.cumulative import running_totals
+from orderlens.operators.quantile import quantile_row
 from orderlens.operators.ranking import top_k
 from orderlens.plans.base import KEY, LABEL, base_table, build_base
 from orderlens.plans.insights import outcome_by, season_delivery_summary
-from orderlens.plans.items import fit_shipping_threshold, item_aggregates, item_features
+from orderlens.plans.items import SHIPPING_QUANTILE, fit_shipping_threshold, item_aggregates, item_features
 from orderlens.plans.orders import delivery_intervals, order_features
 from orderlens.plans.payments import payment_aggregates, payment_features
 from orderlens.plans.products import product_features
@@ -73,8 +74,38 @@ def _curve_input(scored):
 
 # ---------------------------------------------------------------- sources / sinks
 
+def _read_back_csv(spark, sf, name):
+    """The view written as CSV (columns reversed, one more column) and read by its header names."""
+    import uuid
+
+    from orderlens.session import work_root
+    from orderlens.sources.tables import NA, read_table
+    path = f"{work_root(spark).rstrip('/')}/orderlens/csv-{name}-{uuid.uuid4().hex}"
+    view = _tables(spark, sf)[name]
+    micros = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    view.select(F.lit("x").alias("further"), *reversed(view.columns)) \
+        .write.options(header="true", nullValue=NA, timestampFormat=micros, timestampNTZFormat=micros).csv(path)
+    return read_table(spark, path, view.schema)
+
+
 def s1_read_orders(spark, sf):
-    return dv.orders_view(spark, sf)
+    return _read_back_csv(spark, sf, "orders")
+
+
+def s2_read_items(spark, sf):
+    return _read_back_csv(spark, sf, "order_items")
+
+
+def s2_read_payments(spark, sf):
+    return _read_back_csv(spark, sf, "order_payments")
+
+
+def s2_read_products(spark, sf):
+    return _read_back_csv(spark, sf, "products")
+
+
+def s2_read_reviews(spark, sf):
+    return _read_back_csv(spark, sf, "order_reviews")
 
 
 def s4_preview_orders(spark, sf):
@@ -220,8 +251,8 @@ def f7_item_aggregates(spark, sf):
 
 
 def f9_shipping_threshold(spark, sf):
-    thr = fit_shipping_threshold(f7_item_aggregates(spark, sf))
-    return spark.range(1).select(F.lit(thr).alias("shipping_threshold"))
+    return quantile_row(f7_item_aggregates(spark, sf), "total_shipping_cost", [SHIPPING_QUANTILE]) \
+        .select(F.col("q0").alias("shipping_threshold"))
 
 
 def f10_item_features(spark, sf):
@@ -492,6 +523,10 @@ def r5_stream_scores(spark, sf):
 SQL_CHECKED: dict[str, Query] = {
     "x_season_delivery": x_season_delivery,
     "s1_read_orders": s1_read_orders,
+    "s2_read_items": s2_read_items,
+    "s2_read_payments": s2_read_payments,
+    "s2_read_products": s2_read_products,
+    "s2_read_reviews": s2_read_reviews,
     "s4_preview_orders": s4_preview_orders,
     "p1_describe_order_features": p1_describe_order_features,
     "p1_describe_products": p1_describe_products,

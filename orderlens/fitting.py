@@ -20,7 +20,7 @@ from orderlens.plans.base import KEY, LABEL, build_base
 from orderlens.plans.items import item_aggregates
 from orderlens.plans.products import product_features
 from orderlens.plans.state import FeatureState, fit_feature_state
-from orderlens.session import checkpoint_root, materialize
+from orderlens.session import stage
 
 
 @dataclass
@@ -54,21 +54,6 @@ class FittedScorer:
                    meta["kind"])
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Compute ``df`` once before it is read many times (fits, metrics).
-
-    With a shared checkpoint folder the table is written there and read
-    back, which also cuts the lineage: a lost executor costs a re-read, not a
-    recomputation of the joins. A session that names no folder gets a
-    persisted copy instead (recomputed from lineage if lost).
-    """
-    if checkpoint_root(df.sparkSession, required=False):
-        return materialize(df, name)
-    out = df.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
-
-
 def fit_base(tables: dict[str, DataFrame], complete_only: bool = True,
              rel_err: float = 0.0) -> tuple[FeatureState, DataFrame]:
     """Fitted state plus the staged training base table.

@@ -49,22 +49,35 @@ def day_span(end: str | Column, start: str | Column) -> Column:
     return F.datediff(_col(end), _col(start))
 
 
+# Upper edges (inclusive) and labels of the buckets; the last label takes the rest and nulls.
+PHOTO_BUCKETS = ((2, 5), ("Low", "Medium", "High"))
+INSTALLMENT_BUCKETS = ((1, 3), ("One-Time", "Short-Term", "Long-Term"))
+COMPLEXITY_BUCKETS = ((1, 3), ("Simple", "Moderate", "Complex"))
+
+
+def bucketize(c: str | Column, edges: Sequence[float], labels: Sequence[str], least: float | None = None) -> Column:
+    """The label of the first edge that the value does not exceed, else (null too) the last label.
+
+    Values below ``least`` also get the last label.
+    """
+    if len(labels) != len(edges) + 1:
+        raise ValueError("one label per edge and one for the rest")
+    x = _col(c)
+    known = F.lit(True) if least is None else x >= least
+    return case_labels([(known & (x <= edge), label) for edge, label in zip(edges, labels)], labels[-1])
+
+
 def photo_bucket(avg_photos: str | Column) -> Column:
-    """<= 2 Low, (2, 5] Medium, otherwise (including null) High."""
-    a = _col(avg_photos)
-    return case_labels([(a <= 2, "Low"), ((a > 2) & (a <= 5), "Medium")], "High")
+    return bucketize(avg_photos, *PHOTO_BUCKETS)
 
 
 def installment_bucket(max_installments: str | Column) -> Column:
-    """1 One-Time, 2-3 Short-Term, otherwise Long-Term."""
-    m = _col(max_installments)
-    return case_labels([(m == 1, "One-Time"), ((m > 1) & (m <= 3), "Short-Term")], "Long-Term")
+    """Counts start at 1: anything lower is no known plan."""
+    return bucketize(max_installments, *INSTALLMENT_BUCKETS, least=1)
 
 
 def complexity_bucket(max_sequential: str | Column) -> Column:
-    """1 Simple, 2-3 Moderate, otherwise Complex."""
-    s = _col(max_sequential)
-    return case_labels([(s == 1, "Simple"), (s.between(2, 3), "Moderate")], "Complex")
+    return bucketize(max_sequential, *COMPLEXITY_BUCKETS, least=1)
 
 
 def fixed_sum_parts(c: str | Column, scale: int = 6) -> tuple[Column, Column]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.operators.cumulative import running_totals
+from orderlens.session import stage
 
 # Fixed value: the two classes of the binary label.
 CLASSES = (0.0, 1.0)
@@ -23,21 +24,36 @@ def positive_probability(col: str = "probability") -> Column:
     return vector_to_array(F.col(col))[1]
 
 
+def _hits(label, prediction, n) -> Column:
+    """Rows whose prediction is their label; a row without either is a miss."""
+    return F.sum(F.when(F.col(label) == F.col(prediction), n).otherwise(F.lit(0)))
+
+
 def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Share of rows with ``prediction == label`` (and the row count)."""
-    return df.agg(F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"),
+    """Share of rows with ``prediction == label`` (and the row count).
+    A null label or prediction counts as a miss."""
+    return df.agg((_hits(label, prediction, F.lit(1)) / F.count(F.lit(1))).alias("accuracy"),
                   F.count(F.lit(1)).alias("n"))
 
 
+def _confusion(cells: DataFrame, label: str, prediction: str, n: Column, classes) -> DataFrame:
+    """One row per label, one column per class, from weighted cells; a prediction that is
+    none of the classes (null too) fails the query instead of vanishing."""
+    known = F.coalesce(F.col(prediction).isin(*classes), F.lit(False))
+    checked = F.when(known, n).otherwise(F.raise_error(F.lit("prediction outside the given classes")).cast("long"))
+    columns = [F.sum(F.when(F.col(prediction) == c, checked).when(known, F.lit(0)).otherwise(checked)).alias(str(c))
+               for c in classes]
+    return cells.groupBy(label).agg(*columns).orderBy(label)
+
+
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction",
                      classes=CLASSES) -> DataFrame:
     """Label rows x prediction columns of counts; absent cells are 0.
 
-    The prediction classes are passed to ``pivot`` so no extra job looks
-    them up and a class that is never predicted still gets its column.
+    One aggregation with a column per given class, so a class that is never
+    predicted still gets its column; the cells sum to the number of rows.
     """
-    return (df.groupBy(label).pivot(prediction, list(classes)).count()
-              .fillna(0).orderBy(label))
+    return _confusion(df, label, prediction, F.lit(1).cast("long"), classes)
 
 
 def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -64,11 +80,15 @@ def roc_points(df: DataFrame | None = None, label: str = "label", score: str = "
     """``(threshold, tp, fp, tpr, fpr)`` for every distinct score.
 
     A point says: predicting positive for scores >= threshold gives these
-    rates. The curve starts at (0, 0) below the highest threshold and ends at
-    (1, 1) at the lowest. Pass a staged ``curve_table`` to share it.
+    rates. The curve starts at (0, 0) with a null threshold (nothing is
+    predicted positive) and ends at (1, 1) at the lowest score; a table
+    without rows has no points. Pass a staged ``curve_table`` to share it.
     """
     c = _curve(df, label, score, curve)
-    return c.select(
+    start = c.groupBy("total_pos", "total_neg").agg(F.lit(0).cast("long").alias("cum_pos"), F.lit(0).cast("long").alias("cum_neg")) \
+        .withColumn("score", F.lit(None).cast(c.schema["score"].dataType))
+    points = c.select("score", "cum_pos", "cum_neg", "total_pos", "total_neg").unionByName(start)
+    return points.select(
         F.col("score").alias("threshold"),
         F.col("cum_pos").alias("tp"),
         F.col("cum_neg").alias("fp"),
@@ -117,14 +137,11 @@ def evaluation_report(scored: DataFrame, label: str = "label", score: str = "sco
     staged; accuracy, the confusion matrix and the per-score curve (also
     staged, shared by ROC, AUC and gains) all derive from that table.
     """
-    from orderlens.fitting import stage
     cells = stage(scored.groupBy(F.col(score).alias("score"), F.col(label).alias("label"),
                                  F.col(prediction).alias("prediction"))
                         .agg(F.count(F.lit(1)).alias("n")), "score_cells")
-    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))
-    acc = cells.agg((F.sum(hit) / F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))
-    confusion = (cells.groupBy("label").pivot("prediction", list(classes)).agg(F.sum("n"))
-                 .fillna(0).orderBy("label"))
+    acc = cells.agg((_hits("label", "prediction", F.col("n")) / F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))
+    confusion = _confusion(cells, "label", "prediction", F.col("n"), classes)
     counts = stage(cells.groupBy("score").agg(
         F.sum(F.when(F.col("label") == 1.0, F.col("n")).otherwise(F.lit(0))).alias("pos"),
         F.sum(F.when(F.col("label") != 1.0, F.col("n")).otherwise(F.lit(0))).alias("neg"),

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from orderlens.ml.evaluation import positive_probability
 from orderlens.ml.matrix import fold_column
 from orderlens.ml.models import MODEL_SEED, fit_model
-from orderlens.operators.quantile import exact_quantile
+from orderlens.operators.quantile import exact_quantiles
 
 
 # ------------------------------------------------------------------ R2
 
 def fit_caps(df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0.99) -> dict[str, tuple[float, float]]:
     """Exact ``lo``/``hi`` quantiles per column (fitted state)."""
-    return {c: (exact_quantile(df, c, lo), exact_quantile(df, c, hi)) for c in cols}
+    return {c: tuple(exact_quantiles(df, c, [lo, hi])) for c in cols}
 
 
 def cap_outliers(df: DataFrame, caps: dict[str, tuple[float, float]]) -> DataFrame:

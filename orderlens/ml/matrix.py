@@ -75,20 +75,20 @@ def hash_bucket(key: str | Column, seed: int = SPLIT_SEED, buckets: int = 100) -
 
 def split(df: DataFrame, key: str, weights=(0.8, 0.2), seed: int = SPLIT_SEED,
           names=("train", "validation")) -> DataFrame:
-    """M2: add ``split`` naming the part of each row (weights in percent steps)."""
+    """M2: add ``split`` naming the part of each row, by the hash of its key.
+
+    Weights hold to one part in a million; the hash's percent decides first,
+    its next digits within a percent.
+    """
     if len(weights) != len(names):
         raise ValueError("one name per weight")
-    total = float(sum(weights))
-    bucket = hash_bucket(key, seed)
-    edges, acc = [], 0.0
-    for w in weights[:-1]:
-        acc += w / total
-        edges.append(round(acc * 100))
-    expr = None
-    for edge, name in zip(edges, names):
-        expr = F.when(bucket < edge, F.lit(name)) if expr is None else expr.when(bucket < edge, F.lit(name))
-    expr = expr.otherwise(F.lit(names[-1])) if expr is not None else F.lit(names[-1])
-    return df.withColumn("split", expr)
+    fine = hash_bucket(key, seed) * 10_000 + hash_bucket(key, seed, 1_000_000) / 100
+    part, acc = None, 0.0
+    for w, name in zip(weights[:-1], names):
+        acc += w / float(sum(weights))
+        test = fine < round(acc * 1_000_000)
+        part = F.when(test, F.lit(name)) if part is None else part.when(test, F.lit(name))
+    return df.withColumn("split", F.lit(names[-1]) if part is None else part.otherwise(F.lit(names[-1])))
 
 
 def fold_column(key: str, folds: int, seed: int = SPLIT_SEED) -> Column:

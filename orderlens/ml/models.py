@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.sql import DataFrame
@@ -48,14 +50,15 @@ def prediction_counts(scored: DataFrame) -> DataFrame:
     return scored.groupBy("prediction").agg(F.count(F.lit(1)).alias("count")).orderBy("prediction")
 
 
-def feature_names(matrix_df: DataFrame, features: str = "features") -> list[tuple[int, str]]:
-    """``(index, name)`` of every vector slot, from the ML attribute metadata."""
+def feature_names(matrix_df: DataFrame, size: int, features: str = "features") -> list[str]:
+    """The names of the vector's ``size`` slots, ``f<index>`` where the column's metadata has none."""
     meta = matrix_df.schema[features].metadata.get("ml_attr", {})
-    attrs = meta.get("attrs", {})
-    slots = [(a["idx"], a["name"]) for group in attrs.values() for a in group]
-    size = meta.get("num_attrs", len(slots))
-    named = dict(slots)
-    return [(i, named.get(i, f"f{i}")) for i in range(size)]
+    if meta.get("num_attrs", size) != size:
+        raise ValueError(f"the model has {size} features, the matrix {meta['num_attrs']}")
+    names = [f"f{k}" for k in range(size)]
+    for attribute in chain.from_iterable(meta.get("attrs", {}).values()):
+        names[attribute["idx"]] = attribute["name"]
+    return names
 
 
 def feature_importance(model, matrix_df: DataFrame, features: str = "features") -> DataFrame:
@@ -64,19 +67,16 @@ def feature_importance(model, matrix_df: DataFrame, features: str = "features")
     The vector has one slot per feature (tens of values), so it is read on
     the driver like any model parameter.
     """
-    imp = model.featureImportances.toArray()
-    rows = [(int(i), name, float(imp[i])) for i, name in feature_names(matrix_df, features)
-            if i < len(imp)]
-    spark = matrix_df.sparkSession
-    return spark.createDataFrame(rows, "idx int, name string, score double") \
-                .orderBy(F.col("score").desc(), F.col("idx"))
+    scores = [float(x) for x in model.featureImportances.toArray()]
+    named = zip(range(len(scores)), feature_names(matrix_df, len(scores), features), scores)
+    return matrix_df.sparkSession.createDataFrame(list(named), "idx int, name string, score double") \
+        .orderBy(F.desc("score"), "idx")
 
 
 def coefficients(model, matrix_df: DataFrame, features: str = "features") -> DataFrame:
     """M9: ``(name, coefficient)`` of a logistic regression, intercept first."""
     coef = model.coefficientMatrix.toArray()[0]
     rows = [("(intercept)", -1, float(model.interceptVector[0]))]
-    rows += [(name, int(i), float(coef[i])) for i, name in feature_names(matrix_df, features)
-             if i < len(coef)]
+    rows += [(name, i, float(coef[i])) for i, name in enumerate(feature_names(matrix_df, len(coef), features))]
     spark = matrix_df.sparkSession
     return spark.createDataFrame(rows, "name string, idx int, coefficient double").orderBy("idx")

@@ -2,33 +2,19 @@
 
 ``Window.orderBy(v)`` with no partition key moves every row into one task.
 Instead the rows (one per distinct value, so a value repeated by a third of
-the table is already one row) are cut into value ranges whose boundaries
-are approximate quantiles of the values. Per-range totals form a table with
-one row per range; their running totals are the offsets. Inside each range
-a partitioned window adds the running total of its own rows to the offset.
-The range is a function of the value only, so a recomputed task lands in
-the same range with the same result.
+the table is already one row) are dealt into value ranges by Spark's range
+partitioning, which orders any sortable type, nulls, NaN and infinities
+included, as a sort would. The range numbers are written down once (a lost
+executor re-reads them), per-range totals give the offsets, and inside each
+range a partitioned window adds the running total of its own rows.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Upper bound on value ranges: the per-range offsets table (one row per range)
-# goes through one task and is broadcast, so it stays small; past
-# ``MAX_RANGES * rows_per_range`` distinct values ranges grow instead.
-MAX_RANGES = 16_384
-
-
-def _range_splits(df: DataFrame, value: str, n_rows: int, rows_per_range: int) -> list[float]:
-    ranges = max(1, min(MAX_RANGES, -(-n_rows // rows_per_range)))
-    if ranges == 1:
-        return []
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = df.approxQuantile(value, probs, 1.0 / (4 * ranges))
-    return sorted(set(c for c in cuts if c == c))          # drop NaN, dedupe
+from orderlens.session import stage
 
 
 def running_totals(df: DataFrame, value: str, sums: list[str], descending: bool = True,
@@ -36,28 +22,18 @@ def running_totals(df: DataFrame, value: str, sums: list[str], descending: bool
     """Add ``cum_<c>`` = sum of ``c`` over rows with value at or before this one.
 
     ``df`` must hold one row per distinct ``value`` (aggregate first). Also
-    adds ``total_<c>`` = the sum of ``c`` over all rows.
+    adds ``total_<c>`` = the sum of ``c`` over all rows. A null value comes
+    last in descending and first in ascending order, NaN is the largest
+    number. There are as many ranges as the session has shuffle partitions,
+    and more when a range would hold over ``rows_per_range`` rows; only the
+    offsets table, one row per range, passes through one task.
     """
-    n_rows = df.count()
-    splits = _range_splits(df, value, n_rows, rows_per_range)
-    if splits:
-        bucketizer = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol=value,
-                                outputCol="_range", handleInvalid="keep")
-        ranged = bucketizer.transform(df.withColumn(value, F.col(value).cast("double")))
-        if descending:
-            ranged = ranged.withColumn("_range", F.lit(float(len(splits))) - F.col("_range"))
-    else:
-        # one range (at most ``rows_per_range`` rows): both sums come from
-        # windows over it, no offsets table and no join
-        order = F.col(value).desc() if descending else F.col(value).asc()
-        one = Window.partitionBy("_range")
-        running = one.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn("_range", F.lit(0)).select(
-            *df.columns,
-            *[F.sum(c).over(running).alias(f"{prefix}{c}") for c in sums],
-            *[F.sum(c).over(one).alias(f"total_{c}") for c in sums],
-        )
-    # One row per range: its running offsets and the grand totals.
+    spark = df.sparkSession
+    rows = stage(df, "range_rows")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // rows_per_range))
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    ranged = stage(rows.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()),
+                   "ranges", rebalance=False)
     per_range = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_r_{c}") for c in sums])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -66,12 +42,9 @@ def running_totals(df: DataFrame, value: str, sums: list[str], descending: bool
         *[F.coalesce(F.sum(f"_r_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums],
         *[F.sum(f"_r_{c}").over(everything).alias(f"total_{c}") for c in sums],
     )
-    order = F.col(value).desc() if descending else F.col(value).asc()
     within = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    # ``offsets`` has one row per value range (at most MAX_RANGES): bounded broadcast.
-    out = ranged.join(F.broadcast(offsets), "_range").select(
-        *[c for c in df.columns],
+    return ranged.join(offsets, "_range").select(
+        *df.columns,
         *[(F.sum(c).over(within) + F.col(f"_off_{c}")).alias(f"{prefix}{c}") for c in sums],
         *[F.col(f"total_{c}") for c in sums],
     )
-    return out

@@ -1,93 +1,45 @@
-"""Quantiles of a column without gathering its values in one place.
+"""Exact quantiles of a column without gathering its values in one place.
 
-``approxQuantile(col, [p], 0.0)`` is exact but keeps every distinct value in
-its summaries, so on a large table the final merge holds the whole column.
-``exact_quantile`` instead narrows a value window over a few passes: each pass
-takes approximate quantiles inside the window (bounded-memory sketches) as
-probe values, counts rows at and below each probe in one partial aggregation,
-and keeps only the gap between two probes that holds the wanted rank. Probe
-values themselves leave the window, so a value repeated by a third of all rows
-is settled by its counts, not by narrowing. When the window is small its
-distinct values and counts are read and walked.
+The column is read once and counted per distinct value (partially before the
+shuffle, so a value repeated by a third of all rows is one row per task). The
+running count in value order then names the one value that holds the wanted
+rank. The work and the result do not depend on the size of the table, and
+NaN and infinities are ordinary values (NaN is the largest).
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _walk(window: DataFrame, need: int) -> float:
-    # at most ``max_exact_rows`` (value, count) pairs: sorted on the driver
-    rows = sorted((r["x"], r["n"]) for r in window.groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect())
-    seen = 0
-    for x, n in rows:
-        seen += n
-        if seen >= need:
-            return float(x)
-    raise AssertionError("rank outside window")
+from orderlens.operators.cumulative import running_totals
 
 
-def _probe_counts(win: DataFrame, cuts: list[float]) -> list[tuple[int, int]]:
-    """``(rows < cut, rows <= cut)`` for every cut, in one grouped pass.
+def quantile_row(df: DataFrame, col: str, ps: list[float], rows_per_range: int = 1_000_000) -> DataFrame:
+    """One row ``q0, q1, ...``: for each ``p`` the smallest value whose cumulative
+    share of non-null rows is >= ``p`` (null without any value)."""
+    if not all(0.0 <= p <= 1.0 for p in ps):
+        raise ValueError("p must be in [0, 1]")
+    counts = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull()) \
+        .groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    curve = running_totals(counts, "x", ["n"], descending=False, rows_per_range=rows_per_range)
 
-    Rows are bucketed between consecutive cuts (left-closed); per bucket the
-    row count and the count equal to its lower cut give both numbers.
-    """
-    b = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="x", outputCol="_b",
-                   handleInvalid="keep")
-    per = {int(r["_b"]): (r["n"], r["eq"]) for r in
-           b.transform(win).groupBy("_b").agg(F.count(F.lit(1)).alias("n"),
-                                               F.count_if(F.col("x").isin(cuts)).alias("eq")).collect()}
-    out, below = [], per.get(0, (0, 0))[0]
-    for j in range(1, len(cuts) + 1):
-        n, eq = per.get(j, (0, 0))
-        out.append((below, below + eq))
-        below += n
-    return out
+    def at(p: float):
+        rank = F.least(F.greatest(F.ceil(F.lit(float(p)) * F.col("total_n")), F.lit(1)), F.col("total_n"))
+        here = (F.col("cum_n") >= rank) & (F.col("cum_n") - F.col("n") < rank)
+        return F.max(F.when(here, F.col("x")))
 
+    return curve.agg(*[at(p).alias(f"q{i}") for i, p in enumerate(ps)])
 
-def exact_quantile(df: DataFrame, col: str, p: float, max_exact_rows: int = 100_000,
-                   probes: int = 64, accuracy: int = 10_000) -> float:
-    """Smallest value whose cumulative share of non-null rows is >= ``p``.
 
-    Equals ``percentile_disc(p)`` / ``approxQuantile(col, [p], 0.0)``. Cache
-    ``df`` first when it is expensive: each pass reads the column once.
-    """
-    if not 0.0 <= p <= 1.0:
-        raise ValueError("p must be in [0, 1]")
-    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-    pct = [i / (probes + 1) for i in range(1, probes + 1)]
-    first = x.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", pct, accuracy).alias("q")).first()
-    n = first["n"]
-    if n == 0:
+def exact_quantiles(df: DataFrame, col: str, ps: list[float], rows_per_range: int = 1_000_000) -> list[float]:
+    """``quantile_row`` as numbers; equals ``percentile_disc(p)`` and ``approxQuantile(col, [p], 0.0)``."""
+    row = quantile_row(df, col, ps, rows_per_range).first()
+    if any(q is None for q in row):
         raise ValueError(f"no non-null values in {col!r} to take a quantile of")
-    k = min(n, max(1, math.ceil(p * n)))          # 1-based rank wanted
-    lo, hi, below, size = None, None, 0, n          # window: lo < x < hi
-    probe_values = first["q"]
-    while True:
-        win = x
-        if lo is not None:
-            win = win.where(F.col("x") > F.lit(lo))
-        if hi is not None:
-            win = win.where(F.col("x") < F.lit(hi))
-        if size <= max_exact_rows:
-            return _walk(win, k - below)
-        if probe_values is None:
-            probe_values = win.agg(F.percentile_approx("x", pct, accuracy).alias("q")).first()["q"]
-        cuts, probe_values = sorted(set(probe_values)), None
-        counts = _probe_counts(win, cuts)
-        prev_le = 0
-        for i, c in enumerate(cuts):
-            lt, le = counts[i]
-            if below + le >= k:
-                if below + lt < k:
-                    return float(c)
-                hi, below, size = c, below + prev_le, lt - prev_le
-                break
-            lo, prev_le = c, le
-        else:
-            below, size = below + prev_le, size - prev_le
+    return [float(q) for q in row]
+
+
+def exact_quantile(df: DataFrame, col: str, p: float, rows_per_range: int = 1_000_000) -> float:
+    """A single quantile; see ``exact_quantiles``."""
+    return exact_quantiles(df, col, [p], rows_per_range)[0]

@@ -254,6 +254,10 @@ ORACLE: dict[str, str] = {
                avg(delivery_delay) AS avg_delay_days
         FROM f_orders GROUP BY purchase_season ORDER BY purchase_season"""),
     "s1_read_orders": _with("SELECT * FROM v_orders"),
+    "s2_read_items": _with("SELECT * FROM v_items"),
+    "s2_read_payments": _with("SELECT * FROM v_payments"),
+    "s2_read_products": _with("SELECT * FROM v_products"),
+    "s2_read_reviews": _with("SELECT * FROM v_reviews"),
     "s4_preview_orders": _with("SELECT * FROM v_orders ORDER BY order_id LIMIT 5"),
     "p1_describe_order_features": _with(_DESCRIBE),
     "p1_describe_products": _with(_describe_sql("v_products")),
@@ -387,7 +391,9 @@ ORACLE: dict[str, str] = {
     "e3_roc_points": _with(f""", {_CUM.strip()}
         SELECT score AS threshold, cum_pos AS tp, cum_neg AS fp,
                cum_pos / total_pos AS tpr, cum_neg / total_neg AS fpr
-        FROM c, t"""),
+        FROM c, t
+        UNION ALL
+        SELECT NULL, 0, 0, 0 / total_pos, 0 / total_neg FROM t WHERE EXISTS (SELECT 1 FROM c)"""),
     "e4_auc": _with(f""", {_CUM.strip()}
         SELECT CAST(sum(CAST(neg AS HUGEINT) * (2 * (cum_pos - pos) + pos)) AS DOUBLE)
                / (2.0 * CAST(max(total_pos) AS DOUBLE) * CAST(max(total_neg) AS DOUBLE)) AS auc

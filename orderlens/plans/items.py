@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.expressions import fixed_sum, flag, photo_bucket
-from orderlens.operators.joins import MAX_BROADCAST_BYTES, join_dimension
 from orderlens.operators.quantile import exact_quantile
 
 ITEM_FEATURES = ["order_id", "total_items", "total_price", "total_shipping_cost", "order_weight",
@@ -17,18 +16,16 @@ ITEM_FEATURES = ["order_id", "total_items", "total_price", "total_shipping_cost"
 SHIPPING_QUANTILE = 0.9
 
 
-def item_aggregates(items: DataFrame, product_f: DataFrame,
-                    max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+def item_aggregates(items: DataFrame, product_f: DataFrame) -> DataFrame:
     """F7/F8 + J1: items joined to their product, summed per order.
 
-    The product side is broadcast only when its estimated size is under
-    ``max_broadcast_bytes``; otherwise the join sort-merges on
-    ``product_id`` and AQE splits a hot product's partition. The per-order
+    The join carries no hint: AQE broadcasts the product side when its
+    measured size allows it and otherwise splits a hot product's partition. The per-order
     aggregate is partially computed before its shuffle, and its output stays
     hash-partitioned on ``order_id`` for the base-table join. Sums are exact
     fixed-point sums, so totals do not depend on partitioning.
     """
-    joined = join_dimension(items, product_f, "product_id", "inner", max_broadcast_bytes)
+    joined = items.join(product_f, "product_id")
     agg = joined.groupBy("order_id").agg(
         F.count("order_item_id").alias("total_items"),
         fixed_sum("price").alias("total_price"),
@@ -46,7 +43,7 @@ def fit_shipping_threshold(aggregates: DataFrame, p: float = SHIPPING_QUANTILE,
     """the ``p`` quantile of the per-order shipping totals.
 
     ``rel_err == 0`` gives the exact (``percentile_disc``) value through the
-    multi-pass distributed search; ``rel_err > 0`` uses Spark's bounded
+    distributed rank search; ``rel_err > 0`` uses Spark's bounded
     ``approxQuantile`` sketch with that relative error.
     """
     if rel_err > 0:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -83,18 +84,33 @@ def work_root(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="orderlens-ckpt-"))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
     Cuts the lineage so downstream stages (many model fits, several metrics)
     read a fixed table instead of recomputing the feature joins, and a lost
     executor only costs a re-read of files on shared storage.
 
-    The write is rebalanced: AQE sizes its partitions to the advisory
+    With ``rebalance`` the write is rebalanced: AQE sizes its partitions to the advisory
     partition size, so a small table becomes one file (one task per model
     iteration later) and a large one many evenly sized files.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/orderlens/{name}-{uuid.uuid4().hex}"
-    df.hint("rebalance").write.mode("overwrite").parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def stage(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
+    """Compute ``df`` once before it is read many times (fits, metrics).
+
+    With a shared checkpoint folder the table is written there and read
+    back, which also cuts the lineage: a lost executor costs a re-read, not a
+    recomputation of the joins. A session that names no folder gets a
+    persisted copy instead (recomputed from lineage if lost).
+    """
+    if checkpoint_root(df.sparkSession, required=False):
+        return materialize(df, name, rebalance)
+    out = (df.hint("rebalance") if rebalance else df).persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out

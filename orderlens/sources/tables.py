@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.schemas import TABLES
@@ -15,23 +16,37 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
                fmt: str = "csv", null_value: str = NA) -> DataFrame:
     """Read one headered CSV (or Parquet) table with a declared schema.
 
-    Text that does not parse as the declared type becomes null (PERMISSIVE
-    mode) instead of failing the job, so a stray marker in a numeric or
-    timestamp column is a missing value, as ``NA`` is.
+    Columns are found by their header names (in any case), so files may order them in any way
+    and hold further ones, which are not returned; a missing column is an
+    error. All files of a folder must share one header. Text that does not
+    parse as the declared type becomes null (PERMISSIVE mode) instead of
+    failing the job, as ``NA`` does; ``unparsed_counts`` counts such cells.
     """
-    if fmt == "csv":
-        reader = (spark.read.option("header", "true")
-                  .option("nullValue", null_value)
-                  .option("mode", "PERMISSIVE"))
-        if schema is not None:
-            reader = reader.schema(schema)
-        else:
-            reader = reader.option("inferSchema", "true")
-        return reader.csv(path)
-    reader = spark.read
-    if schema is not None and fmt != "parquet":
-        reader = reader.schema(schema)
-    return reader.format(fmt).load(path)
+    if fmt != "csv":
+        df = spark.read.format(fmt).load(path)
+        return df if schema is None else df.select(*[F.col(f.name).cast(f.dataType) for f in _pick(df.columns, schema, path)])
+    reader = (spark.read.option("header", "true").option("nullValue", null_value).option("mode", "PERMISSIVE"))
+    if schema is None:
+        return reader.option("inferSchema", "true").csv(path)
+    header = spark.read.option("header", "true").csv(path).columns       # reads the first line only
+    declared = {f.name.lower(): f for f in _pick(header, schema, path)}
+    in_file = T.StructType([declared.get(name.lower(), T.StructField(name, T.StringType())) for name in header])
+    return reader.schema(in_file).option("enforceSchema", "false").csv(path).select(*schema.names)
+
+
+def _pick(columns: list[str], schema: T.StructType, path: str) -> list[T.StructField]:
+    missing = sorted({n.lower() for n in schema.names} - {c.lower() for c in columns})
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    return list(schema.fields)
+
+
+def unparsed_counts(spark: SparkSession, path: str, schema: T.StructType, null_value: str = NA) -> DataFrame:
+    """Cells per declared column that hold text which is not of the declared type (one row, one pass)."""
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    raw = read_table(spark, path, text, null_value=null_value)
+    return raw.agg(*[F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name)
+                     for f in schema.fields])
 
 
 def load_sources(spark: SparkSession, paths: dict[str, str], fmt: str = "csv",

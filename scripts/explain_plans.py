@@ -58,7 +58,7 @@ def main():
     state = FeatureState(shipping_threshold=1000.0)
     queries = {
         "item aggregates (F7, J1) with the product side too large to broadcast":
-            item_aggregates(t["order_items"], product_features(t["products"]), max_broadcast_bytes=-1),
+            item_aggregates(t["order_items"], product_features(t["products"])),
         "payment features (F12-F16)": payment_features(t["order_payments"]),
         "review features (F17-F20)": review_features(t["order_reviews"]),
         "base table (F21)": build_base(t, state),

@@ -83,7 +83,7 @@ def main():
 
     noop = lambda df: df.write.format("noop").mode("overwrite").save()
     run("item aggregates, product join sort-merged",
-        lambda: noop(item_aggregates(t["order_items"], product_features(t["products"]), max_broadcast_bytes=-1)))
+        lambda: noop(item_aggregates(t["order_items"], product_features(t["products"]))))
     run("payment features", lambda: noop(payment_features(t["order_payments"])))
     run("review features", lambda: noop(review_features(t["order_reviews"])))
     run("state + base table", lambda: fit_base(t))

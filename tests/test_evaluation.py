@@ -57,7 +57,7 @@ def test_auc_matches_brute_force(spark, kind, expect):
 def test_roc_and_gains(spark):
     pairs = make("ties", 400, 5)
     want = brute_curve(pairs)
-    roc = ev.roc_points(scored(spark, pairs)).collect()
+    roc = ev.roc_points(scored(spark, pairs)).where("threshold is not null").collect()     # without the origin
     assert len(roc) == len(want)
     for r in roc:
         tp, fp, tpr, fpr, _ = want[r["threshold"]]
@@ -106,7 +106,7 @@ def test_report_matches_single_metrics(spark):
     assert rep["auc"].first()["auc"] == ev.auc(df).first()["auc"]
     assert rep["accuracy"].first()["accuracy"] == ev.accuracy(df).first()["accuracy"]
     assert [tuple(r) for r in rep["confusion"].collect()] == [tuple(r) for r in ev.confusion_matrix(df).collect()]
-    key = lambda r: r["threshold"]
+    key = lambda r: (r["threshold"] is not None, r["threshold"])
     assert sorted(rep["roc"].collect(), key=key) == sorted(ev.roc_points(df).collect(), key=key)
     assert sorted(rep["gains"].collect(), key=key) == sorted(ev.gains_curve(df).collect(), key=key)
 
@@ -115,7 +115,7 @@ def test_single_class_metrics_are_null_not_errors(spark):
     df = scored(spark, [(1.0, 0.2), (1.0, 0.7), (1.0, 0.7)])
     assert ev.auc(df).first()["auc"] is None
     roc = ev.roc_points(df).collect()
-    assert all(r["fpr"] is None for r in roc) and max(r["tpr"] for r in roc) == 1.0
+    assert all(r["fpr"] is None for r in roc) and max(r["tpr"] for r in roc) == 1.0 and min(r["tpr"] for r in roc) == 0.0
     gains = ev.gains_curve(scored(spark, [(0.0, 0.1), (0.0, 0.3)])).collect()
     assert all(r["gain"] is None for r in gains)
 
@@ -128,3 +128,20 @@ def test_curve_independent_of_range_count(spark):
     many = running_totals(counts, "score", ["pos", "neg"], rows_per_range=37)
     key = lambda r: r["score"]
     assert sorted(one.collect(), key=key) == sorted(many.collect(), key=key)
+
+
+def test_accuracy_null_rule_and_unexpected_class(spark):
+    df = spark.createDataFrame([(1.0, 1.0, 0.5), (None, 1.0, 0.5)], "label double, prediction double, score double")
+    assert ev.accuracy(df).first()["accuracy"] == 0.5
+    assert ev.evaluation_report(df)["accuracy"].first()["accuracy"] == 0.5
+    for bad in (2.0, None):
+        odd = spark.createDataFrame([(1.0, bad)], "label double, prediction double")
+        with pytest.raises(Exception, match="outside the given classes"):
+            ev.confusion_matrix(odd).collect()
+
+
+def test_roc_starts_at_the_origin(spark):
+    roc = ev.roc_points(scored(spark, [(1.0, 0.9), (0.0, 0.2)])).collect()
+    assert len(roc) == 3
+    start = [r for r in roc if r["threshold"] is None]
+    assert [(r["tp"], r["fp"], r["tpr"], r["fpr"]) for r in start] == [(0, 0, 0.0, 0.0)]

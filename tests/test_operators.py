@@ -24,7 +24,7 @@ def disc(values, p):
 def test_quantile_small(spark, n, p):
     vals = [float((i * 7919) % 101) for i in range(n)]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    assert exact_quantile(df, "x", p, max_exact_rows=5, probes=4, accuracy=100) == disc(vals, p)
+    assert exact_quantile(df, "x", p, rows_per_range=5) == disc(vals, p)
 
 
 def test_quantile_hot_value_and_nulls(spark):
@@ -32,12 +32,12 @@ def test_quantile_hot_value_and_nulls(spark):
     vals = [5.0] * 400 + [rnd.uniform(0, 10) for _ in range(800)]     # a third of rows share one value
     df = spark.createDataFrame([(v,) for v in vals] + [(None,)] * 50, "x double")
     for p in (0.05, 0.3, 0.34, 0.5, 0.66, 0.9, 0.999):
-        assert exact_quantile(df, "x", p, max_exact_rows=10, probes=3, accuracy=50) == disc(vals, p)
+        assert exact_quantile(df, "x", p, rows_per_range=10) == disc(vals, p)
 
 
 def test_quantile_all_equal_and_empty(spark):
     df = spark.createDataFrame([(3.0,)] * 100, "x double")
-    assert exact_quantile(df, "x", 0.9, max_exact_rows=5) == 3.0
+    assert exact_quantile(df, "x", 0.9, rows_per_range=5) == 3.0
     with pytest.raises(ValueError):
         exact_quantile(spark.createDataFrame([], "x double"), "x", 0.9)
 
@@ -143,3 +143,41 @@ def test_describe_matches_spark_describe(spark):
         assert ours[c]["mean"] == pytest.approx(float(theirs["mean"][c]), rel=1e-12)
         assert ours[c]["stddev"] == pytest.approx(float(theirs["stddev"][c]), rel=1e-12)
         assert ours[c]["min"] == float(theirs["min"][c]) and ours[c]["max"] == float(theirs["max"][c])
+
+
+def test_csv_columns_are_found_by_header_name(spark, tmp_path):
+    from orderlens.sources.tables import unparsed_counts
+    (tmp_path / "items.csv").write_text("seller_id,shipping_cost,price,product_id,Order_Item_Id,order_id\ns1,2.5,10.5,p1,1,o1\ns2,x,7,p2,NA,o2\n")
+    df = read_table(spark, str(tmp_path / "items.csv"), schemas.ORDER_ITEMS)
+    assert df.schema == schemas.ORDER_ITEMS
+    assert sorted(map(tuple, df.collect())) == [("o1", 1, "p1", 10.5, 2.5), ("o2", None, "p2", 7.0, None)]
+    assert unparsed_counts(spark, str(tmp_path / "items.csv"), schemas.ORDER_ITEMS).first().asDict() == {
+        "order_id": 0, "order_item_id": 0, "product_id": 0, "price": 0, "shipping_cost": 1}
+    (tmp_path / "short.csv").write_text("order_id,price\no1,1\n")
+    with pytest.raises(ValueError, match="product_id"):
+        read_table(spark, str(tmp_path / "short.csv"), schemas.ORDER_ITEMS)
+
+
+def test_running_totals_special_values(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(None, 1), (nan, 2), (inf, 4), (0.5, 8), (-inf, 16)], "v double, n long")
+    got = [(r["n"], r["cum_n"]) for r in running_totals(df, "v", ["n"], rows_per_range=1).collect()]
+    assert sorted(got) == [(1, 31), (2, 2), (4, 6), (8, 14), (16, 30)]         # NaN first, null last
+    big = spark.createDataFrame([(2**53 + k, 1) for k in range(40)], "v long, n long")
+    out = running_totals(big, "v", ["n"], descending=False, rows_per_range=3)
+    assert out.schema["v"].dataType.simpleString() == "bigint"
+    assert {r["v"]: r["cum_n"] for r in out.collect()} == {2**53 + k: k + 1 for k in range(40)}
+
+
+def test_quantile_nan_and_infinity(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(x,) for x in (nan, 1.0, 3.0, 2.0, 0.5)], "x double")
+    assert exact_quantile(df, "x", 0.5) == 2.0
+    ends = spark.createDataFrame([(x,) for x in (-inf, 1.0, inf)], "x double")
+    assert [exact_quantile(ends, "x", p) for p in (0.1, 0.5, 1.0)] == [-inf, 1.0, inf]
+
+
+def test_split_weights_are_not_rounded(spark):
+    from orderlens.ml.matrix import split
+    n = {r["split"]: r["count"] for r in split(spark.range(40_000), "id", (0.995, 0.005)).groupBy("split").count().collect()}
+    assert 120 <= n["validation"] <= 280 and sum(n.values()) == 40_000

@@ -21,7 +21,7 @@ def test_quantile_is_percentile_disc(spark, vals, p):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     s = sorted(vals)
     want = s[min(len(s), max(1, math.ceil(p * len(s)))) - 1]
-    assert exact_quantile(df, "x", p, max_exact_rows=7, probes=3, accuracy=20) == want
+    assert exact_quantile(df, "x", p, rows_per_range=7) == want
 
 
 @SETTINGS
