@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 #: The character classes, each taken from what the ones before leave; the rest is one more class.
 CLASSES = (("lower", r"\p{Ll}+"), ("space", r"[\x20\x09-\x0D]+"), ("upper", r"\p{Lu}+"), ("digit", r"\p{Nd}+"),
            ("punct", r"\p{P}+"), ("symbol", r"\p{S}+"))
@@ -40,6 +42,14 @@ def _bare(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^\p{P}+|\p{P}+$", ""))
 
 
+def common_words(text: Column, known: list[str]) -> Column:
+    """The words of ``text``, bare as above, that are among ``known``, found in one pass over the whole text."""
+    edge, end = r"(?<![^\x20\x09-\x0D])", r"(?![^\x20\x09-\x0D])"
+    bare = F.lower(F.regexp_replace(text, rf"{edge}\p{{P}}+|\p{{P}}+{end}", ""))
+    quoted = "|".join("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in known)
+    return F.regexp_extract_all(bare, F.lit(f"{edge}(?:{quoted}){end}"), F.lit(0))
+
+
 CLASS_COLUMNS = [f"n_{name}" for name, _ in CLASSES] + ["n_other"]
 
 
@@ -51,8 +61,9 @@ def references(docs: DataFrame, k: int = 12, text_col: str = "text", lang_col: s
     """
     d = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
     chars = class_counts(d).groupBy("lang").agg(*[F.sum(c).alias(c) for c in CLASS_COLUMNS])
-    counts = d.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")) \
-        .groupBy("lang", _bare(F.col("word")).alias("word")).agg(F.sum("n").alias("n"))
+    # staged, as totals and top words both read it; one row per distinct word of a language
+    counts = stage(d.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")) \
+        .groupBy("lang", _bare(F.col("word")).alias("word")).agg(F.sum("n").alias("n")), "quality-words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n_words"))
     top = counts.where("word <> ''").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))) \
         .where(F.col("r") <= k).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
@@ -107,7 +118,7 @@ def quality_rules(docs: DataFrame, refs: list[dict] | None = None, max_distance:
     d = d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     if refs:
         known = sorted({w for r in refs for w in r["words"]})
-        d = d.withColumn("_common", F.filter(F.transform("words", _bare), lambda w: w.isin(known)))
+        d = d.withColumn("_common", common_words(F.col("text"), known))
         d = d.withColumn("_counts", F.array(*[F.size("_common") - F.size(F.array_remove("_common", F.lit(w))) for w in known]))
         place = {w: k for k, w in enumerate(known)}
         shares = F.array(*[F.col(c) / F.greatest(F.length("text"), F.lit(1)) for c in CLASS_COLUMNS])

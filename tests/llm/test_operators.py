@@ -136,3 +136,12 @@ def test_language_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.language_id(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id")
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
+
+
+def test_common_words_in_one_pass(spark):
+    from orderlens.llm import quality
+    known = ["a.b", "\\E|x", "the", "und"]
+    df = spark.createDataFrame([("The (the) other the, und\tUND! a.b axb --\\E|x the the",), ("",)], "text string")
+    got = [r[0] for r in df.select(quality.common_words(F.col("text"), known)).collect()]
+    want = [w for w in ["the", "the", "other", "the", "und", "und", "a.b", "axb", "\\e|x", "the the"] if w in known]
+    assert got == [want, []]
