@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,10 +143,11 @@ def identify(docs: DataFrame, model: ByteTagger | None, id_col: str = "doc_id",
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).alias("_text"))
     schema = d.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    names = schema.fieldNames()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["_text"].array]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:       # Arrow, not pandas: a null would turn a batch's integers into doubles
+            texts = [t or "" for t in batch.column("_text").to_pylist()]
             letters = [any(map(str.isalpha, t)) for t in texts]
             raw = [t.encode("utf-8", "replace") if ok else b"" for t, ok in zip(texts, letters)]
             if model is None or not any(letters):
@@ -156,9 +157,10 @@ def identify(docs: DataFrame, model: ByteTagger | None, id_col: str = "doc_id",
                 best = p.argmax(axis=1)
                 lang = [model.labels[k] if ok else UNKNOWN for k, ok in zip(best, letters)]
                 score = np.where(letters, p.max(axis=1), 0.0).clip(0, 1)
-            yield batch.drop(columns="_text").assign(lang_pred=lang, score=score)
+            kept = [batch.column(c) for c in names[:-2]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
 
-    return d.mapInPandas(run, schema)
+    return d.mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, units: int = 8, per_label: int = 400, id_col: str = "doc_id", text_col: str = "text",

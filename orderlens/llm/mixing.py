@@ -129,10 +129,13 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", t
     """The documents as the mix takes them: ``copies`` whole rows, and one more row with the words of the extra blocks
     (joined by spaces) if there are any; a document that is not taken has no row. Ids must be unique; all columns of
     ``docs`` are kept."""
-    m = mixed.select(F.col("doc_id").alias("_d"), F.col("copies").alias("_copies"), F.col("extra").alias("_extra")).where("_copies > 0 or size(_extra) > 0")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("_extra", lambda x: F.slice("_words", x["start"].cast("int") + 1, (x["stop"] - x["start"]).cast("int")))), " ")
-    whole = F.array_repeat(F.col(text_col), F.col("_copies").cast("int"))
-    both = F.when(F.size("_extra") == 0, whole).otherwise(F.concat(whole, F.array(part)))
-    d = docs.join(m, F.col(id_col).cast("long").eqNullSafe(F.col("_d"))).withColumn("_words", F.when(F.size("_extra") > 0, words))
-    return d.withColumn("_text", F.explode(both)).withColumn(text_col, F.col("_text")).select(*docs.columns)
+    m = mixed.select(F.col("doc_id").alias("mix_id"), "copies", "extra").where("copies > 0 or size(extra) > 0")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct("*").alias("row"))     # no name of docs can clash
+    old = F.col("row")[text_col]
+    d = rows.join(m, F.col("id").eqNullSafe(F.col("mix_id"))) \
+        .withColumn("words", F.when(F.size("extra") > 0, F.regexp_extract_all(old, F.lit(WORD), F.lit(0))))
+    part = F.array_join(F.flatten(F.transform("extra", lambda x: F.slice("words", x["start"].cast("int") + 1, (x["stop"] - x["start"]).cast("int")))), " ")
+    whole = F.array_repeat(old, F.col("copies").cast("int"))
+    both = F.when(F.size("extra") == 0, whole).otherwise(F.concat(whole, F.array(part)))
+    return d.select("row", F.explode(both).alias("text")) \
+        .select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
