@@ -30,6 +30,7 @@ from orderlens.plans.payments import payment_aggregates, payment_features
 from orderlens.plans.products import product_features
 from orderlens.plans.reviews import latest_reviews, response_times, review_features
 from orderlens.plans.state import fit_feature_state
+from orderlens.session import stage
 from orderlens.sources import driver_views as dv
 from orderlens.sources.sinks import preview
 
@@ -42,17 +43,23 @@ def _tables(spark, sf, with_reviews=True):
     return dv.order_tables(spark, sf, with_reviews)
 
 
+def _item_aggs(spark, sf):
+    """The per-order item aggregates, staged: the quantile and the base table both read them."""
+    return stage(item_aggregates(dv.order_items_view(spark, sf), product_features(dv.products_view(spark, sf))), "item_aggregates")
+
+
 def _item_f(spark, sf):
-    aggs = item_aggregates(dv.order_items_view(spark, sf), product_features(dv.products_view(spark, sf)))
+    aggs = _item_aggs(spark, sf)
     return item_features(aggs, fit_shipping_threshold(aggs))
 
 
 def _base(spark, sf, complete_only=True, with_reviews=True):
     tables = _tables(spark, sf)
-    state = fit_feature_state(tables)
+    aggs = _item_aggs(spark, sf)
+    state = fit_feature_state(tables, item_aggs=aggs, response_mean=False)
     if not with_reviews:
         tables = {k: v for k, v in tables.items() if k != "order_reviews"}
-    return build_base(tables, state, complete_only=complete_only)
+    return build_base(tables, state, complete_only=complete_only, item_aggs=aggs)
 
 
 def _matrix_split(spark, sf):
@@ -136,6 +143,18 @@ def p1_describe_reviews(spark, sf):
     return q.describe_table(dv.order_reviews_view(spark, sf), digits=6)
 
 
+def p1_describe_text_products(spark, sf):
+    return q.describe_text(dv.products_view(spark, sf))
+
+
+def p1_describe_text_orders(spark, sf):
+    return q.describe_text(dv.orders_view(spark, sf))
+
+
+def p1_describe_text_payments(spark, sf):
+    return q.describe_text(payment_features(dv.order_payments_view(spark, sf)))
+
+
 def p2_null_counts_orders(spark, sf):
     return q.null_counts(dv.orders_view(spark, sf))
 
@@ -382,7 +401,7 @@ def r2_cap_outliers(spark, sf):
 
 def r4_class_weights(spark, sf):
     from orderlens.ml.extras import class_weights
-    return class_weights(_base(spark, sf), LABEL).select(KEY, LABEL, "weight")
+    return class_weights(stage(_base(spark, sf), "weights_base"), LABEL).select(KEY, LABEL, "weight")
 
 
 def r6_outcome_by_delay(spark, sf):
@@ -501,7 +520,7 @@ def s3_write_predictions(spark, sf):
 
 
 def r1_interactions(spark, sf):
-    base = split(_base(spark, sf), KEY)
+    base = split(stage(_base(spark, sf), "interactions_base"), KEY)
     train = base.filter(F.col("split") == "train").drop("split")
     m = fit_matrix(train, LABEL, exclude=[KEY], interactions=[("delivery_delay", "total_shipping_cost")])
     from pyspark.ml.functions import vector_to_array
@@ -533,6 +552,9 @@ SQL_CHECKED: dict[str, Query] = {
     "p1_describe_items": p1_describe_items,
     "p1_describe_payments": p1_describe_payments,
     "p1_describe_reviews": p1_describe_reviews,
+    "p1_describe_text_products": p1_describe_text_products,
+    "p1_describe_text_orders": p1_describe_text_orders,
+    "p1_describe_text_payments": p1_describe_text_payments,
     "p2_null_counts_orders": p2_null_counts_orders,
     "p2_null_counts_items": p2_null_counts_items,
     "p2_null_counts_payments": p2_null_counts_payments,

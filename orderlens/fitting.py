@@ -37,7 +37,7 @@ class FittedScorer:
         self.matrix.model.write().overwrite().save(f"{path}/formula")
         self.model.write().overwrite().save(f"{path}/model")
         meta = {"kind": self.kind, "formula": self.matrix.formula,
-                "constant_columns": self.matrix.constant_columns}
+                "constant_columns": self.matrix.constant_columns, "levels": self.matrix.levels}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
              .write.mode("overwrite").text(f"{path}/meta")
 
@@ -49,7 +49,8 @@ class FittedScorer:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         model_cls = {"gbt": GBTClassificationModel, "lr": LogisticRegressionModel,
                      "rf": RandomForestClassificationModel}[meta["kind"]]
-        matrix = MatrixModel(meta["formula"], RFormulaModel.load(f"{path}/formula"), meta["constant_columns"])
+        matrix = MatrixModel(meta["formula"], RFormulaModel.load(f"{path}/formula"), meta["constant_columns"],
+                             meta.get("levels", {}))
         return cls(FeatureState.load(spark, f"{path}/state"), matrix, model_cls.load(f"{path}/model"),
                    meta["kind"])
 

@@ -14,6 +14,7 @@ from orderlens.ml import evaluation as ev
 from orderlens.ml.models import (coefficients, feature_importance, fit_model, make_estimator,
                                  prediction_counts, predictions)
 from orderlens.ml.tuning import GBT_GRID, best_params, grid, tune
+from orderlens.operators.cleaning import drop_empty_rows
 from orderlens.operators.quality import duplicate_count, null_counts, null_counts_long
 from orderlens.plans.base import KEY
 from orderlens.sources.sinks import write_predictions
@@ -64,6 +65,8 @@ def run_flow(train_tables: dict[str, DataFrame], holdout_tables: dict[str, DataF
              params: dict | None = None, predictions_path: str | None = None) -> FlowResult:
     """Fit everything on the labelled tables and score the holdout tables.
 
+    Rows without any value are dropped from every table first.
+
     ``params`` maps a model kind to parameter overrides (defaults are
     Spark's, as in the reference). With ``tune_gbt`` a cross-validated grid
     search (the reference's 2x2x2 grid unless ``tune_grid``) runs first and
@@ -71,6 +74,7 @@ def run_flow(train_tables: dict[str, DataFrame], holdout_tables: dict[str, DataF
     defaults unless ``params`` says otherwise, as the reference does.
     """
     params = params or {}
+    train_tables = {name: drop_empty_rows(df) for name, df in train_tables.items()}
     profiles = {name: null_counts(df) for name, df in train_tables.items()}
     state, base = fit_base(train_tables)
     profiles["base_nulls"] = null_counts_long(base)
@@ -94,7 +98,7 @@ def run_flow(train_tables: dict[str, DataFrame], holdout_tables: dict[str, DataF
     fitted = FittedScorer(state, matrix, best, "gbt" if "gbt" in models else kinds[0])
     result.scorer = fitted
     if holdout_tables is not None:
-        holdout_scored = score_tables(fitted, holdout_tables)
+        holdout_scored = score_tables(fitted, {name: drop_empty_rows(df) for name, df in holdout_tables.items()})
         result.predictions = predictions(holdout_scored)
         result.prediction_counts = prediction_counts(holdout_scored)
         if predictions_path:

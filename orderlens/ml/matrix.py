@@ -2,8 +2,8 @@
 
 The formula is fitted once, on training rows, and the fitted model is applied
 to every other table (validation, holdout), so all of them get the same
-one-hot layout. Unseen category levels are kept as an extra level instead of
-failing the job.
+one-hot layout. Unseen category levels and nulls count as the reference level
+(all zeros) instead of failing the job.
 """
 
 from __future__ import annotations
@@ -21,21 +21,29 @@ class MatrixModel:
     formula: str
     model: RFormulaModel
     constant_columns: list[str] = field(default_factory=list)
+    #: Levels of every text column in the formula, by descending frequency; the last one is the reference level.
+    levels: dict[str, list[str]] = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
         return apply_matrix(self, df)
 
 
-def _constant_text_columns(df: DataFrame, candidates: list[str]) -> list[str]:
-    """Text columns with a single value: one-hot encoding needs two levels.
+def text_levels(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """The levels of text columns by descending frequency, equally frequent ones in alphabetical order.
 
-    One pass, ``min == max`` per column (no distinct counts, no Expand).
+    One job; what reaches the driver is one row per level, as many as the one-hot vector has slots.
     """
-    if not candidates:
-        return []
-    row = df.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(candidates)],
-                 *[F.max(c).alias(f"hi{i}") for i, c in enumerate(candidates)]).first()
-    return [c for i, c in enumerate(candidates) if row[f"lo{i}"] == row[f"hi{i}"]]
+    if not columns:
+        return {}
+    counts = df.select(*columns).unpivot([], columns, "column", "level").where("level is not null") \
+        .groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
+    found = sorted(counts.collect(), key=lambda r: (-r["n"], r["level"]))
+    return {c: [r["level"] for r in found if r["column"] == c] for c in columns}
+
+
+def _known_levels(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    """Unseen levels and nulls of the given columns as the reference level."""
+    return df.withColumns({c: F.when(F.col(c).isin(known), F.col(c)).otherwise(F.lit(known[-1])) for c, known in levels.items()})
 
 
 def fit_matrix(train: DataFrame, label: str, exclude: list[str] | None = None,
@@ -43,22 +51,27 @@ def fit_matrix(train: DataFrame, label: str, exclude: list[str] | None = None,
     """M1: ``label ~ . - exclude`` (plus ``a:b`` interaction terms, R1).
 
     Text columns are one-hot encoded (levels by descending frequency, the
-    last dropped), numbers are used as they are.
+    last dropped), numbers are used as they are; a null or NaN number fails the
+    job. Text columns with fewer than two levels are left out.
     """
     exclude = list(exclude or [])
     text = [f.name for f in train.schema.fields
             if isinstance(f.dataType, T.StringType) and f.name not in exclude and f.name != label]
-    constant = _constant_text_columns(train, text)
+    levels = text_levels(train, text)
+    constant = [c for c in text if len(levels[c]) < 2]
+    levels = {c: known for c, known in levels.items() if c not in constant}
     terms = " ".join(f"- {c}" for c in exclude + constant)
     inter = " ".join(f"+ {a}:{b}" for a, b in (interactions or []))
     formula = f"{label} ~ . {terms} {inter}".strip()
-    rf = RFormula(formula=formula, handleInvalid="keep")
-    return MatrixModel(formula=formula, model=rf.fit(train), constant_columns=constant)
+    model = RFormula(formula=formula).fit(_known_levels(train, levels))
+    return MatrixModel(formula=formula, model=model, constant_columns=constant, levels=levels)
 
 
 def apply_matrix(matrix: MatrixModel, df: DataFrame) -> DataFrame:
-    """Add ``features`` (and ``label`` when the label column is present)."""
-    return matrix.model.transform(df)
+    """Add ``features`` (and ``label`` when the label column is present); the other columns stay as they are."""
+    own = {f"_own_{c}": F.col(c) for c in matrix.levels}
+    out = matrix.model.transform(_known_levels(df.withColumns(own), matrix.levels))
+    return out.withColumns({c: F.col(f"_own_{c}") for c in matrix.levels}).drop(*own)
 
 
 # Fixed value: the reference's split seed.

@@ -37,6 +37,23 @@ def describe_table(df: DataFrame, cols: list[str] | None = None, digits: int | N
     return long
 
 
+def text_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+
+
+def describe_text(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """P1 for text columns: ``(column_name, count, min, max)``, count, least and greatest value of each.
+
+    One pass; a table without text columns gives no rows.
+    """
+    cols = text_columns(df) if cols is None else cols
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, count long, min string, max string")
+    wide = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))])
+    rows = ", ".join(f"'{c}', n{i}, lo{i}, hi{i}" for i, c in enumerate(cols))
+    return wide.selectExpr(f"stack({len(cols)}, {rows}) as (column_name, count, min, max)")
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """One row, one ``bigint`` null count per column."""
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])

@@ -233,6 +233,10 @@ def _describe_sql(view: str) -> str:
            max(CAST({c} AS DOUBLE)) AS max FROM {view}""" for c in _VIEW_COLUMNS[view][1])
 
 
+def _describe_text_sql(view: str, *columns: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS count, min({c}) AS min, max({c}) AS max FROM {view}" for c in columns)
+
+
 def _null_counts_sql(view: str) -> str:
     return "SELECT " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}"
                                  for c in _VIEW_COLUMNS[view][0]) + f" FROM {view}"
@@ -264,6 +268,9 @@ ORACLE: dict[str, str] = {
     "p1_describe_items": _with(_describe_sql("v_items")),
     "p1_describe_payments": _with(_describe_sql("v_payments")),
     "p1_describe_reviews": _with(_describe_sql("v_reviews")),
+    "p1_describe_text_products": _with(_describe_text_sql("v_products", "product_category_name")),
+    "p1_describe_text_orders": _with(_describe_text_sql("v_orders", "order_status")),
+    "p1_describe_text_payments": _with(_describe_text_sql("f_payments", "primary_payment_type", "installment_category", "payment_complexity_category")),
     "p2_null_counts_orders": _with(_null_counts_sql("v_orders")),
     "p2_null_counts_items": _with(_null_counts_sql("v_items")),
     "p2_null_counts_payments": _with(_null_counts_sql("v_payments")),

@@ -7,6 +7,7 @@ and the bench (which own their session) fill that setting in when it is unset.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark import StorageLevel
@@ -69,19 +70,24 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return root
 
 
+_local_root: list[str] = []
+
+
 def work_root(spark: SparkSession) -> str:
     """Folder for job outputs that must outlive a task (stream state, sinks).
 
     The cluster's checkpoint folder; a local-mode session without one gets a
-    fresh temporary folder (tests only, never on a cluster).
+    temporary folder (never on a cluster). The session itself stays as it is.
     """
     root = checkpoint_root(spark, required=False)
     if root:
         return root
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-    import tempfile
-    return ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="orderlens-ckpt-"))
+    if not _local_root:
+        _local_root.append(tempfile.mkdtemp(prefix="orderlens-work-"))
+    return _local_root[0]
 
 
 def materialize(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:

@@ -280,3 +280,18 @@ def test_scorer_save_and_load(spark, tmp_path):
     a = sorted(score_tables(fitted, holdout).select(KEY, "probability").collect())
     b = sorted(score_tables(again, holdout).select(KEY, "probability").collect())
     assert a == b and len(a) > 0
+
+
+def test_one_level_per_category_is_dropped(spark, staged):
+    _, base = staged
+    m = fit_matrix(base, LABEL, exclude=[KEY])
+    mx = apply_matrix(m, base)
+    texts = [c for c, kind in base.dtypes if kind == "string" and c != KEY and c not in m.constant_columns]
+    levels = {c: base.select(c).distinct().count() for c in texts}
+    numbers = [c for c, kind in base.dtypes if kind != "string" and c not in (KEY, LABEL)]
+    assert {c: len(known) for c, known in m.levels.items()} == levels
+    assert mx.first()["features"].size == len(numbers) + sum(n - 1 for n in levels.values())
+    assert mx.select(texts).exceptAll(base.select(texts)).isEmpty()
+    column = "primary_payment_type"
+    rows = [apply_matrix(m, base.limit(1).withColumn(column, F.lit(v).cast("string"))).first()["features"] for v in ("crypto", None, m.levels[column][-1])]
+    assert rows[0] == rows[1] == rows[2]

@@ -181,3 +181,9 @@ def test_split_weights_are_not_rounded(spark):
     from orderlens.ml.matrix import split
     n = {r["split"]: r["count"] for r in split(spark.range(40_000), "id", (0.995, 0.005)).groupBy("split").count().collect()}
     assert 120 <= n["validation"] <= 280 and sum(n.values()) == 40_000
+
+
+def test_describe_text(spark):
+    df = spark.createDataFrame([("b", 1, None), ("a", 2, None), (None, 3, None)], "x string, n int, y string")
+    assert [tuple(r) for r in q.describe_text(df).collect()] == [("x", 2, "a", "b"), ("y", 0, None, None)]
+    assert q.describe_text(df.select("n")).count() == 0
