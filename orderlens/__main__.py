@@ -1,14 +1,15 @@
 """Run the whole analysis on folders of CSV files.
 
-    python -m orderlens --train DIR [--holdout DIR] --out DIR [--tune] [--save-model DIR]
-    python -m orderlens --score DIR --model DIR --out DIR
+    python -m orderlens --train DIR [--holdout DIR] --out DIR [--tune] [--save-model DIR] [--infer-types]
+    python -m orderlens --score DIR --model DIR --out DIR [--infer-types]
 
 ``DIR`` holds ``products.csv``, ``orders.csv``, ``order_items.csv``,
 ``order_payments.csv`` and (training only) ``order_reviews.csv`` (a file or a
 folder of part files each). Results are written as Parquet under ``--out``:
 metrics, importance, coefficients, confusion, roc, gains and predictions.
 ``--save-model`` keeps the fitted state, formula and model; ``--score`` applies
-a saved model to new tables without refitting anything.
+a saved model to new tables without refitting anything. ``--infer-types`` reads the
+files with the types that their cells fit instead of the declared ones.
 """
 
 from __future__ import annotations
@@ -48,21 +49,22 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
     ap.add_argument("--save-model", help="folder for the fitted state, formula and model")
     ap.add_argument("--score", help="tables to score with --model (no fitting)")
     ap.add_argument("--model", help="folder written by --save-model")
+    ap.add_argument("--infer-types", action="store_true", help="no declared schema: types that all cells fit")
     args = ap.parse_args(argv)
     spark = spark or SparkSession.builder.appName("orderlens").getOrCreate()
     if args.score:
         if not args.model:
             ap.error("--score needs --model")
         scorer = FittedScorer.load(spark, args.model)
-        scored = score_tables(scorer, load_sources(spark, _paths(args.score, False)))
+        scored = score_tables(scorer, load_sources(spark, _paths(args.score, False), infer=args.infer_types))
         write_predictions(predictions(scored), os.path.join(args.out, "predictions"))
         summary = {"scored": args.score, "model": args.model, "kind": scorer.kind}
         print(json.dumps(summary))
         return summary
     if not args.train:
         ap.error("--train or --score is required")
-    train = load_sources(spark, _paths(args.train, True))
-    holdout = load_sources(spark, _paths(args.holdout, False)) if args.holdout else None
+    train = load_sources(spark, _paths(args.train, True), infer=args.infer_types)
+    holdout = load_sources(spark, _paths(args.holdout, False), infer=args.infer_types) if args.holdout else None
     res = run_flow(train, holdout, tune_gbt=args.tune,
                    predictions_path=os.path.join(args.out, "predictions") if holdout else None)
     outputs = {"metrics": res.metrics, "importance": res.importance, "coefficients": res.coefficients,

@@ -80,36 +80,42 @@ def complexity_bucket(max_sequential: str | Column) -> Column:
     return bucketize(max_sequential, *COMPLEXITY_BUCKETS, least=1)
 
 
-def fixed_sum_parts(c: str | Column, scale: int = 6) -> tuple[Column, Column]:
-    """The two ``bigint`` partial sums behind ``fixed_sum``: whole parts and
-    fractions in units of ``10**-scale``. Partial sums of groups add up, so a
-    two-level aggregation stays exact."""
-    unit = 10 ** scale
-    x = _col(c)
-    whole = F.floor(x)
-    frac = F.rint((x - whole) * F.lit(float(unit))).cast("long")
-    return F.sum(whole), F.sum(frac)
+def fixed_sum_parts(c: str | Column) -> list[Column]:
+    """The partial sums behind ``fixed_sum``: whole parts, seven and then eight decimals after the point, as ``bigint``s, and
+    the values that are no finite numbers, as a double. Partial sums of groups add up
+    (``fixed_sum_merged``), so a two-level aggregation stays exact."""
+    x = _col(c).cast("double")
+    finite = F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+    whole = F.floor(finite)
+    high = (finite - whole) * F.lit(1e7)
+    low = F.rint((high - F.floor(high)) * F.lit(1e8)).cast("long")
+    return [F.sum(whole), F.sum(F.floor(high)), F.sum(low), F.sum(F.when(finite.isNull(), x))]
+
+
+def fixed_sum_merged(parts: Sequence[str]) -> list[Column]:
+    """The partial sums of a group of partial sums, by the columns that hold them."""
+    return [F.sum(p) for p in parts]
+
 
+def combine_fixed(whole: Column, high: Column, low: Column, special: Column) -> Column:
+    """The double nearest to the total of the parts; NaN or an infinity when a value is one."""
+    def units(c: Column, unit: str, scale: int) -> Column:
+        return c.cast("decimal(20,0)") * F.lit(unit).cast(f"decimal({scale},{scale})")
 
-def combine_fixed(whole: Column, frac: Column, scale: int = 6) -> Column:
-    """The double value of ``whole + frac * 10**-scale``, combined exactly."""
-    unit = 10 ** scale
-    units = whole.cast("decimal(38,0)") * F.lit(unit) + frac.cast("decimal(38,0)")
-    return units.cast("double") / F.lit(float(unit))
+    total = (whole.cast("decimal(20,0)") + units(high, "1e-7", 7)).cast("decimal(30,7)") + units(low, "1e-15", 15)
+    return F.coalesce(special, total.cast("double"))
 
 
-def fixed_sum(c: str | Column, scale: int = 6) -> Column:
-    """Exact sum of decimal quantities (``scale`` decimals), returned as double.
+def fixed_sum(c: str | Column) -> Column:
+    """Sum of doubles that does not depend on the order of the rows, returned as the nearest double.
 
-    Each value splits into its whole part and its fraction in units of
-    ``10**-scale``; both are summed as ``bigint`` (hash-aggregate friendly and
-    independent of partitioning and merge order, which a ``double`` sum is
-    not). Whole parts overflow only past ~9.2e18 in value and fractions only
-    past ~9.2e12 rows per group, so a key holding a third of a very large
-    table still sums exactly. The two sums are combined once per group.
+    Each value splits into its whole part and 15 decimals after the point, which are summed as ``bigint``s
+    (hash-aggregate friendly and independent of partitioning and merge order, which a ``double`` sum is
+    not); a value is off by 5e-16 at most, which is less than a double of 8 or more can tell. Whole parts overflow (an
+    error, never a wrong sum) past 9.2e18 in value and decimals past 9e10 rows per group. NaN and infinities
+    give what a sum of doubles gives.
     """
-    whole, frac = fixed_sum_parts(c, scale)
-    return combine_fixed(whole, frac, scale)
+    return combine_fixed(*fixed_sum_parts(c))
 
 
 def first_by(value: str | Column, order: str | Column) -> Column:

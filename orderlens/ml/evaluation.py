@@ -97,6 +97,23 @@ def roc_points(df: DataFrame | None = None, label: str = "label", score: str = "
     )
 
 
+def roc_corners(df: DataFrame | None = None, label: str = "label", score: str = "score",
+                counts: DataFrame | None = None, rows_per_range: int = 1_000_000) -> DataFrame:
+    """E3 without the points that a drawn curve does not need: ``(threshold, tp, fp, tpr, fpr)``.
+
+    A point is left out when the step after it equals the step before it (as many positives and as many negatives), so that
+    it lies in the middle of a straight line; the first and the last point, and (0, 0) with a null threshold, always stay.
+    The step after a point is that of the next score, also where that score lies in the next value range. Pass
+    staged ``score_counts`` to share them.
+    """
+    counts, staged = (score_counts(df, label, score), False) if counts is None else (counts, True)
+    c = running_totals(counts, "score", ["pos", "neg"], descending=True, rows_per_range=rows_per_range,
+                       following=["pos", "neg"], staged=staged)
+    first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+    bend = F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+    return roc_points(curve=c.where(first | bend))
+
+
 def auc(df: DataFrame | None = None, label: str = "label", score: str = "score",
         curve: DataFrame | None = None) -> DataFrame:
     """Exact area under the ROC curve (ties as diagonal segments).
@@ -146,7 +163,7 @@ def evaluation_report(scored: DataFrame, label: str = "label", score: str = "sco
         F.sum(F.when(F.col("label") == 1.0, F.col("n")).otherwise(F.lit(0))).alias("pos"),
         F.sum(F.when(F.col("label") != 1.0, F.col("n")).otherwise(F.lit(0))).alias("neg"),
     ).withColumn("rows", F.col("pos") + F.col("neg")), "score_counts")
-    curve = stage(running_totals(counts, "score", ["pos", "neg", "rows"], descending=True), "curve")
+    curve = stage(running_totals(counts, "score", ["pos", "neg", "rows"], descending=True, staged=True), "curve")
     return {
         "accuracy": acc,
         "confusion": confusion,

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from orderlens.ml.matrix import fold_column
 from orderlens.ml.models import MODEL_SEED
@@ -35,6 +39,38 @@ def tune(estimator, param_maps: list, train: DataFrame, key: str = "order_id", f
     return cv.fit(data)
 
 
+def fold_metrics(estimator, param_maps: list, train: DataFrame, key: str = "order_id", folds: int = 2,
+                 parallelism: int = 1) -> DataFrame:
+    """M7 in full: ``fold, point, params, rows, accuracy``, one row per fold and grid point, and their means (fold null).
+
+    The folds are those of ``tune``. All grid points of a fold score its held-out rows in one pass, side by side; the
+    scores of all folds become (fold, point, label, prediction) rows and one aggregation by (fold, point) evaluates them.
+    A mean is the plain mean over the folds, as the cross-validator takes it.
+    """
+    data = train.withColumn("_fold", fold_column(key, folds))
+    spark, label = train.sparkSession, estimator.getLabelCol()
+    jobs = [(fold, point) for fold in range(folds) for point in range(len(param_maps))]
+    fit = inheritable_thread_target(spark)(lambda job: estimator.fit(data.where(F.col("_fold") != job[0]), param_maps[job[1]]))
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        models = dict(zip(jobs, pool.map(fit, jobs)))
+    scored = None
+    for fold in range(folds):
+        held = data.where(F.col("_fold") == fold).select("_fold", label, estimator.getFeaturesCol())
+        for point in range(len(param_maps)):
+            model = models[fold, point].copy()
+            model.setPredictionCol(f"_p{point}").setRawPredictionCol("").setProbabilityCol("")
+            held = model.transform(held)
+        part = held.select(F.col("_fold").alias("fold"), F.col(label).alias("label"), F.posexplode(
+            F.array(*[f"_p{point}" for point in range(len(param_maps))])).alias("point", "prediction"))
+        scored = part if scored is None else scored.unionByName(part)
+    hit = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    per_fold = scored.groupBy("fold", "point").agg(F.count(F.lit(1)).alias("rows"), hit.alias("accuracy"))
+    means = per_fold.groupBy("point").agg(F.lit(None).cast("int").alias("fold"), F.sum("rows").alias("rows"), F.avg("accuracy").alias("accuracy"))
+    names = spark.createDataFrame([(k, ", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name))) for k, m in enumerate(param_maps)],
+                                  "point int, params string")
+    return per_fold.unionByName(means).join(names, "point").select("fold", "point", "params", "rows", "accuracy")
+
+
 def best_params(cv_model: CrossValidatorModel, names: list[str] | None = None) -> dict:
     """M8: the best model's values of the tuned parameters."""
     best = cv_model.bestModel

@@ -5,8 +5,8 @@ The driver registers its Parquet tables as views (``part``, ``orders``,
 tables and every feature step in plain SQL, independently of the Spark code.
 Dialect notes: ``date_diff('day', start, end)`` is Spark's
 ``datediff(end, start)``; a double is truncated with ``trunc`` before an
-integer cast (DuckDB rounds, Spark truncates); exact sums use the same
-fixed-point rule as ``fixed_sum``.
+integer cast (DuckDB rounds, Spark truncates); sums of doubles are DuckDB's
+compensated ones, rounded as a whole.
 """
 
 from __future__ import annotations
@@ -98,10 +98,10 @@ f_orders AS (
 f_item_sums AS (
   SELECT i.order_id,
          count(i.order_item_id) AS total_items,
-         sum(CAST(round(i.price * 1000000.0) AS BIGINT)) / 1000000.0 AS total_price,
-         sum(CAST(round(i.shipping_cost * 1000000.0) AS BIGINT)) / 1000000.0 AS total_shipping_cost,
-         sum(CAST(round(p.product_weight_kg * 1000000.0) AS BIGINT)) / 1000000.0 AS order_weight,
-         sum(CAST(round(p.product_vol_cm3 * 1000000.0) AS BIGINT)) / 1000000.0 AS order_size,
+         round(fsum(i.price), 6) AS total_price,
+         round(fsum(i.shipping_cost), 6) AS total_shipping_cost,
+         round(fsum(p.product_weight_kg), 6) AS order_weight,
+         round(fsum(p.product_vol_cm3), 6) AS order_size,
          count(DISTINCT p.product_category_name) AS num_distinct_products_category,
          avg(p.product_photos_qty) AS avg_photo_per_order
   FROM v_items i JOIN f_products p ON i.product_id = p.product_id
@@ -121,7 +121,7 @@ f_items AS (
   FROM f_item_aggs),
 f_pay_aggs AS (
   SELECT order_id,
-         round(sum(CAST(round(payment_value * 1000000.0) AS BIGINT)) / 1000000.0, 2) AS total_payment_value,
+         round(fsum(payment_value), 2) AS total_payment_value,
          count(DISTINCT payment_type) AS num_payment_types,
          max(payment_sequential) AS num_payment_sequential,
          max(payment_installments) AS max_installments,

@@ -12,6 +12,9 @@ ITEM_FEATURES = ["order_id", "total_items", "total_price", "total_shipping_cost"
                  "order_size", "num_distinct_products_category", "average_item_price",
                  "high_shipping_cost_flag", "photo_per_order_category"]
 
+#: Totals are reported to so many decimals: more than prices, weights and volumes have, fewer than doubles get wrong.
+DECIMALS = 6
+
 # Fixed values of the shipping rule: the 90th percentile of the order totals.
 SHIPPING_QUANTILE = 0.9
 
@@ -23,15 +26,15 @@ def item_aggregates(items: DataFrame, product_f: DataFrame) -> DataFrame:
     measured size allows it and otherwise splits a hot product's partition. The per-order
     aggregate is partially computed before its shuffle, and its output stays
     hash-partitioned on ``order_id`` for the base-table join. Sums are exact
-    fixed-point sums, so totals do not depend on partitioning.
+    and rounded as a whole, so totals do not depend on partitioning.
     """
     joined = items.join(product_f, "product_id")
     agg = joined.groupBy("order_id").agg(
         F.count("order_item_id").alias("total_items"),
-        fixed_sum("price").alias("total_price"),
-        fixed_sum("shipping_cost").alias("total_shipping_cost"),
-        fixed_sum("product_weight_kg").alias("order_weight"),
-        fixed_sum("product_vol_cm3").alias("order_size"),
+        F.round(fixed_sum("price"), DECIMALS).alias("total_price"),
+        F.round(fixed_sum("shipping_cost"), DECIMALS).alias("total_shipping_cost"),
+        F.round(fixed_sum("product_weight_kg"), DECIMALS).alias("order_weight"),
+        F.round(fixed_sum("product_vol_cm3"), DECIMALS).alias("order_size"),
         F.count_distinct("product_category_name").alias("num_distinct_products_category"),
         F.avg("product_photos_qty").alias("avg_photo_per_order"),
     )
@@ -57,8 +60,7 @@ def fit_shipping_threshold(aggregates: DataFrame, p: float = SHIPPING_QUANTILE,
 def item_features(aggregates: DataFrame, shipping_threshold: float) -> DataFrame:
     """high-shipping flag against the fitted threshold, photo bucket."""
     return aggregates.select(
-        "order_id", "total_items", "total_price", "total_shipping_cost", "order_weight", "order_size",
-        "num_distinct_products_category", "average_item_price",
+        *ITEM_FEATURES[:-2],
         flag(F.col("total_shipping_cost") > F.lit(float(shipping_threshold))).alias("high_shipping_cost_flag"),
         photo_bucket("avg_photo_per_order").alias("photo_per_order_category"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.expressions import (combine_fixed, complexity_bucket, contains_value, first_by,
+from orderlens.functions.expressions import (combine_fixed, complexity_bucket, contains_value, first_by, fixed_sum_merged,
                                              fixed_sum_parts, flag, installment_bucket)
 from orderlens.operators.cleaning import filter_positive
 
@@ -32,18 +32,18 @@ def payment_aggregates(payments: DataFrame) -> DataFrame:
     computes the distinct type count, the membership flags and the primary
     type (the non-null type of the lowest payment sequence number, ties to the
     smaller type), which makes the reference's order-dependent ``first``
-    deterministic. Exact sums carry their two ``bigint`` parts across levels.
+    deterministic. Exact sums carry their parts across levels.
     """
     kept = filter_positive(payments, "payment_installments")
-    whole, frac = fixed_sum_parts("payment_value")
+    sums = [f"_s{k}" for k in range(4)]
     per_type = kept.groupBy("order_id", "payment_type").agg(
-        whole.alias("_whole"), frac.alias("_frac"),
+        *[part.alias(name) for name, part in zip(sums, fixed_sum_parts("payment_value"))],
         F.min("payment_sequential").alias("_first_seq"),
         F.max("payment_sequential").alias("_last_seq"),
         F.max("payment_installments").alias("_max_inst"),
     )
     return per_type.groupBy("order_id").agg(
-        F.round(combine_fixed(F.sum("_whole"), F.sum("_frac")), 2).alias("total_payment_value"),
+        F.round(combine_fixed(*fixed_sum_merged(sums)), 2).alias("total_payment_value"),
         F.count("payment_type").alias("num_payment_types"),
         F.max("_last_seq").alias("num_payment_sequential"),
         F.max("_max_inst").alias("max_installments"),

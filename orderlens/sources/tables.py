@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.schemas import TABLES
+from orderlens.sources.inference import read_inferred
 
 # Fixed value: the missing-value marker written in the source CSVs.
 NA = "NA"
@@ -14,7 +15,8 @@ NA = "NA"
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
                fmt: str = "csv", null_value: str = NA) -> DataFrame:
-    """Read one headered CSV (or Parquet) table with a declared schema.
+    """Read one headered CSV (or Parquet) table with a declared schema, or without one with the types
+    that all its cells fit (``orderlens.sources.inference``).
 
     Columns are found by their header names (in any case), so files may order them in any way
     and hold further ones, which are not returned; a missing column is an
@@ -27,7 +29,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         return df if schema is None else df.select(*[F.col(f.name).cast(f.dataType) for f in _pick(df.columns, schema, path)])
     reader = (spark.read.option("header", "true").option("nullValue", null_value).option("mode", "PERMISSIVE"))
     if schema is None:
-        return reader.option("inferSchema", "true").csv(path)
+        return read_inferred(spark, path, null_value)
     header = spark.read.option("header", "true").csv(path).columns       # reads the first line only
     declared = {f.name.lower(): f for f in _pick(header, schema, path)}
     in_file = T.StructType([declared.get(name.lower(), T.StructField(name, T.StringType())) for name in header])
@@ -50,8 +52,8 @@ def unparsed_counts(spark: SparkSession, path: str, schema: T.StructType, null_v
 
 
 def load_sources(spark: SparkSession, paths: dict[str, str], fmt: str = "csv",
-                 null_value: str = NA) -> dict[str, DataFrame]:
-    """Named input-path set -> named DataFrames with the declared schemas.
+                 null_value: str = NA, infer: bool = False) -> dict[str, DataFrame]:
+    """Named input-path set -> named DataFrames with the declared schemas, or with ``infer`` the inferred ones.
 
     ``paths`` maps table names (``products``, ``orders``, ``order_items``,
     ``order_payments``, ``order_reviews``) to files or folders. A holdout set
@@ -61,5 +63,5 @@ def load_sources(spark: SparkSession, paths: dict[str, str], fmt: str = "csv",
     for name, path in paths.items():
         if name not in TABLES:
             raise KeyError(f"unknown table {name!r}; expected one of {sorted(TABLES)}")
-        out[name] = read_table(spark, path, TABLES[name], fmt=fmt, null_value=null_value)
+        out[name] = read_table(spark, path, None if infer else TABLES[name], fmt=fmt, null_value=null_value)
     return out
