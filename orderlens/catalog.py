@@ -8,6 +8,7 @@ DuckDB SQL for every query that SQL can express.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,18 +82,33 @@ def _curve_input(scored):
 
 # ---------------------------------------------------------------- sources / sinks
 
-def _read_back_csv(spark, sf, name):
-    """The view written as CSV (columns reversed, one more column) and read by its header names."""
+def _new_folder(spark, name):
     import uuid
 
     from orderlens.session import work_root
-    from orderlens.sources.tables import NA, read_table
-    path = f"{work_root(spark).rstrip('/')}/orderlens/csv-{name}-{uuid.uuid4().hex}"
+    return f"{work_root(spark).rstrip('/')}/orderlens/{name}-{uuid.uuid4().hex}"
+
+
+def _write_csv(spark, df, name):
+    from orderlens.sources.tables import NA
+    path, micros = _new_folder(spark, f"csv-{name}"), "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    df.write.options(header="true", nullValue=NA, timestampFormat=micros, timestampNTZFormat=micros).csv(path)
+    return path
+
+
+def _read_back_csv(spark, sf, name):
+    """The view written as CSV (columns reversed, one more column) and read by its header names."""
+    from orderlens.sources.tables import read_table
     view = _tables(spark, sf)[name]
-    micros = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-    view.select(F.lit("x").alias("further"), *reversed(view.columns)) \
-        .write.options(header="true", nullValue=NA, timestampFormat=micros, timestampNTZFormat=micros).csv(path)
-    return read_table(spark, path, view.schema)
+    return read_table(spark, _write_csv(spark, view.select(F.lit("x").alias("further"), *reversed(view.columns)), name), view.schema)
+
+
+def s1_infer_types(spark, sf):
+    """All five tables written as CSV and read without a schema: the counts behind each inferred type."""
+    from orderlens.sources.inference import infer_types, raw_cells
+    parts = [infer_types(raw_cells(spark, _write_csv(spark, view, name))).select(F.lit(name).alias("table_name"), "*")
+             for name, view in _tables(spark, sf).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def s1_read_orders(spark, sf):
@@ -122,9 +138,7 @@ def s4_preview_orders(spark, sf):
 # ---------------------------------------------------------------- profiling
 
 def p1_describe_order_features(spark, sf):
-    return q.describe_table(order_features(dv.orders_view(spark, sf)),
-                            ["approval_time", "carrier_delivery_time", "customer_delivery_time",
-                             "delivery_delay", "delivery_days", "purchase_month"], digits=6)
+    return q.describe_table(order_features(dv.orders_view(spark, sf)), digits=6)
 
 
 def p1_describe_products(spark, sf):
@@ -195,6 +209,11 @@ def p6_duplicate_count_payments(spark, sf):
     return q.duplicate_count(dv.order_payments_view(spark, sf), ["order_id", "payment_sequential"])
 
 
+def p6_duplicate_count_products(spark, sf):
+    """Products that are equal in all but their id."""
+    return q.duplicate_count(dv.products_view(spark, sf).drop("product_id"))
+
+
 def p6_duplicate_count_base(spark, sf):
     return q.duplicate_count(_base(spark, sf))
 
@@ -202,8 +221,9 @@ def p6_duplicate_count_base(spark, sf):
 # ---------------------------------------------------------------- cleaning
 
 def c1_drop_empty_rows(spark, sf):
-    return cl.drop_empty_rows(dv.products_view(spark, sf)
-                              .select("product_category_name", "product_photos_qty"))
+    """Whole rows: every 23rd product has lost all its values."""
+    p = dv.products_view(spark, sf)
+    return cl.drop_empty_rows(p.select(*[F.when(F.col("product_id") % 23 != 0, F.col(c)).alias(c) for c in p.columns]))
 
 
 def c2_drop_sentinel(spark, sf):
@@ -229,6 +249,12 @@ def c6_dedupe(spark, sf):
     return cl.dedupe(dv.order_payments_view(spark, sf).select("order_id", "payment_type"))
 
 
+def c6_dedupe_orders(spark, sf):
+    """Whole rows: a third of the orders arrive twice."""
+    o = dv.orders_view(spark, sf)
+    return cl.dedupe(o.unionByName(o.where(F.col("order_id") % 3 == 0)))
+
+
 def c7_drop_incomplete(spark, sf):
     return cl.drop_incomplete(dv.products_view(spark, sf))
 
@@ -382,6 +408,10 @@ def e3_roc_points(spark, sf):
     return ev.roc_points(dv.scored_events(spark, sf))
 
 
+def e3_roc_corners(spark, sf):
+    return ev.roc_corners(dv.scored_events(spark, sf))
+
+
 def e4_auc(spark, sf):
     return ev.auc(dv.scored_events(spark, sf))
 
@@ -399,6 +429,49 @@ def r2_cap_outliers(spark, sf):
     return cap_outliers(aggs, caps)
 
 
+def r2_cap_by_category(spark, sf):
+    """Item prices within the 5th and 95th percentile of their category."""
+    from orderlens.ml.extras import cap_outliers_by, fit_caps_by
+    items = stage(j1_items_products(spark, sf).select("order_id", "order_item_id", "product_category_name", "price"), "items_by_category")
+    caps = fit_caps_by(items, "product_category_name", "price", 0.05, 0.95)
+    return cap_outliers_by(items, caps, "product_category_name", "price")
+
+
+def a10_sketch_quantiles(spark, sf):
+    """Quantiles of the shipping totals from a sketch that took in three batches one after the other."""
+    from orderlens.operators.sketch import QuantileSketch, rank_check
+    aggs = stage(f7_item_aggregates(spark, sf).select("order_id", "total_shipping_cost"), "sketch_input")
+    state = QuantileSketch()
+    for batch in range(3):
+        state = state.add(aggs.where(F.col("order_id") % 3 == batch), "total_shipping_cost")
+    return rank_check(aggs, "total_shipping_cost", {p: state.quantile(spark, p) for p in (0.1, 0.5, 0.9, 0.99)})
+
+
+def r4_stratified_sample(spark, sf):
+    """As many orders of each outcome as the rarer one has."""
+    from orderlens.ml.extras import stratified_sample
+    base = stage(_base(spark, sf), "sample_base")
+    return stratified_sample(base.select(KEY, LABEL), LABEL, KEY)
+
+
+def r6_rank_factors(spark, sf):
+    from orderlens.plans.insights import rank_factors
+    return rank_factors(_base(spark, sf), LABEL, (KEY,))
+
+
+def r5_stream_base(spark, sf):
+    """The holdout base rows from three raw streams in time slices, one row per finished order."""
+    from orderlens.streaming.raw import STREAMS, base_stream, land, land_later_order, stamped, write_stream
+    tables, root = _tables(spark, sf), _new_folder(spark, "raw-stream")
+    state = fit_feature_state(tables, response_mean=False)
+    rows = {name: stage(df, f"stamped-{name}") for name, df in stamped(tables).items()}
+    land(rows, root, 0, 3, 3)
+    land_later_order(rows, root, days=400)
+    stream = base_stream(spark, root, {name: rows[name].schema for name in STREAMS}, tables["products"], state, files_per_trigger=4)
+    write_stream(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 def r4_class_weights(spark, sf):
     from orderlens.ml.extras import class_weights
     return class_weights(stage(_base(spark, sf), "weights_base"), LABEL).select(KEY, LABEL, "weight")
@@ -436,6 +509,23 @@ def m1_matrix(spark, sf):
     return tr.unionByName(va).select(KEY, "label", vector_to_array("features").alias("features"))
 
 
+def m1_matrix_slots(spark, sf):
+    """The filled slots of every order, layout fitted on the training part; every 11th order has a payment type never seen there."""
+    from orderlens.ml.slots import apply_slots, fit_slots
+    base = stage(_base(spark, sf), "slots_base")
+    model = fit_slots(split(base, KEY).where("split = 'train'").drop("split"), LABEL, [KEY])
+    unseen = base.withColumn("primary_payment_type", F.when(F.col(KEY) % 11 == 0, "unseen").otherwise(F.col("primary_payment_type")))
+    return apply_slots(model, unseen, [KEY]).select(KEY, F.explode(F.arrays_zip("slots", "values")).alias("s")) \
+        .select(KEY, F.col("s.slots").alias("slot"), F.col("s.values").alias("value"))
+
+
+def m3_gradient(spark, sf):
+    """The log-likelihood's gradient at the fitted logistic regression: 32 components near zero."""
+    from orderlens.ml.models import log_likelihood_gradient
+    _, tr, _ = _matrix_split(spark, sf)
+    return log_likelihood_gradient(fit_model("lr", tr), tr)
+
+
 def m3_lr_scores(spark, sf):
     _, _, scored = _scored(spark, sf, "lr")
     return scored.select(KEY, "label", ev.positive_probability().alias("score"), "prediction")
@@ -481,6 +571,14 @@ def m7_cv_gbt(spark, sf):
     return spark.createDataFrame(rows, "param string, value double")
 
 
+def m7_fold_metrics(spark, sf):
+    """The reference's grid: accuracy of each fold and grid point, and the means."""
+    from orderlens.ml.tuning import GBT_GRID, fold_metrics
+    _, tr, _ = _matrix_split(spark, sf)
+    est = make_estimator("gbt")
+    return fold_metrics(est, grid(est, **GBT_GRID), tr, folds=2, parallelism=8)
+
+
 def m9_lr_coefficients(spark, sf):
     model, tr, _ = _scored(spark, sf, "lr")
     return coefficients(model, tr)
@@ -613,6 +711,16 @@ SQL_CHECKED: dict[str, Query] = {
     "r6_outcome_by_shipping": r6_outcome_by_shipping,
     "r6_outcome_by_items": r6_outcome_by_items,
     "r6_outcome_by_voucher": r6_outcome_by_voucher,
+    "s1_infer_types": s1_infer_types,
+    "p6_duplicate_count_products": p6_duplicate_count_products,
+    "c6_dedupe_orders": c6_dedupe_orders,
+    "e3_roc_corners": e3_roc_corners,
+    "m1_matrix_slots": m1_matrix_slots,
+    "r5_stream_base": r5_stream_base,
+    "a10_sketch_quantiles": a10_sketch_quantiles,
+    "r4_stratified_sample": r4_stratified_sample,
+    "r6_rank_factors": r6_rank_factors,
+    "r2_cap_by_category": r2_cap_by_category,
 }
 
 ROWS_ONLY: dict[str, Query] = {
@@ -631,6 +739,8 @@ ROWS_ONLY: dict[str, Query] = {
     "r1_interactions": r1_interactions,
     "r3_stacking": r3_stacking,
     "r5_stream_scores": r5_stream_scores,
+    "m3_gradient": m3_gradient,
+    "m7_fold_metrics": m7_fold_metrics,
 }
 
 

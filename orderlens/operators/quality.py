@@ -18,23 +18,30 @@ def describe_table(df: DataFrame, cols: list[str] | None = None, digits: int | N
     """Count, mean, stddev, min, max per numeric column, in long form.
 
     One pass with partial aggregation for all columns together; the one-row
-    result is unpivoted into ``(column, count, mean, stddev, min, max)``.
+    result becomes ``(column_name, count, mean, stddev, min, max, min_exact, max_exact)``. All minima are taken
+    in the column's own type: ``min`` and ``max`` show them as doubles, ``min_exact`` and ``max_exact`` those of integers and
+    decimals as text, so that a key above 2**53 keeps every digit and a decimal its scale (null for floating columns, which need none).
     ``digits`` rounds mean and stddev (floating sums differ in the last bits
     between merge orders).
     """
     cols = cols or numeric_columns(df)
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    wide = df.agg(*aggs)
-    rows = ", ".join(f"'{c}', n{i}, a{i}, s{i}, lo{i}, hi{i}" for i, c in enumerate(cols))
-    long = wide.selectExpr(
-        f"stack({len(cols)}, {rows}) as (column_name, count, mean, stddev, min, max)")
-    if digits is not None:
-        long = long.withColumns({"mean": F.round("mean", digits), "stddev": F.round("stddev", digits)})
-    return long
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, count long, mean double, stddev double, min double, max double, min_exact string, max_exact string")
+
+    def floating(name):
+        return isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
+
+    def rounded(c):
+        return c if digits is None else F.round(c, digits)
+
+    rows = []
+    for name in cols:
+        own = F.col(f"`{name}`")
+        x = own.cast("double")
+        rows.append(F.struct(F.lit(name).alias("column_name"), F.count(own).alias("count"), rounded(F.avg(x)).alias("mean"),
+                             rounded(F.stddev_samp(x)).alias("stddev"), F.min(own).cast("double").alias("min"), F.max(own).cast("double").alias("max"),
+                             *[(F.lit(None) if floating(name) else f(own)).cast("string").alias(f"{n}_exact") for n, f in (("min", F.min), ("max", F.max))]))
+    return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 def text_columns(df: DataFrame) -> list[str]:

@@ -200,13 +200,14 @@ c AS (SELECT score, pos, neg, pos + neg AS rows,
 t AS (SELECT sum(pos) AS total_pos, sum(neg) AS total_neg, sum(pos + neg) AS total_rows FROM g)
 """
 
-_DESCRIBE_COLS = ["approval_time", "carrier_delivery_time", "customer_delivery_time",
-                  "delivery_delay", "delivery_days", "purchase_month"]
+_DESCRIBE_COLS = ["order_id", "approval_time", "carrier_delivery_time", "customer_delivery_time", "delivery_delay",
+                  "late_delivery_flag", "delivery_days", "purchase_month", "purchase_year"]
 
 _DESCRIBE = " UNION ALL ".join(
     f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg(CAST({c} AS DOUBLE)), 6) AS mean,
        round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS stddev, min(CAST({c} AS DOUBLE)) AS min,
-       max(CAST({c} AS DOUBLE)) AS max FROM f_orders""" for c in _DESCRIBE_COLS)
+       max(CAST({c} AS DOUBLE)) AS max, CAST(min({c}) AS VARCHAR) AS min_exact, CAST(max({c}) AS VARCHAR) AS max_exact
+       FROM f_orders""" for c in _DESCRIBE_COLS)
 
 # Columns of the order-table views: (all columns, numeric columns).
 _VIEW_COLUMNS = {
@@ -230,7 +231,9 @@ def _describe_sql(view: str) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg(CAST({c} AS DOUBLE)), 6) AS mean,
            round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS stddev, min(CAST({c} AS DOUBLE)) AS min,
-           max(CAST({c} AS DOUBLE)) AS max FROM {view}""" for c in _VIEW_COLUMNS[view][1])
+           max(CAST({c} AS DOUBLE)) AS max, CASE WHEN typeof(any_value({c})) NOT IN ('DOUBLE', 'FLOAT') THEN CAST(min({c}) AS VARCHAR) END AS min_exact,
+           CASE WHEN typeof(any_value({c})) NOT IN ('DOUBLE', 'FLOAT') THEN CAST(max({c}) AS VARCHAR) END AS max_exact FROM {view}"""
+        for c in _VIEW_COLUMNS[view][1])
 
 
 def _describe_text_sql(view: str, *columns: str) -> str:
@@ -252,6 +255,69 @@ def _outcome(col: str) -> str:
                     FROM f_base GROUP BY {col} ORDER BY {col}""")
 
 
+def _infer_sql() -> str:
+    """Cells of every column that fit each type, by patterns and ``try_cast``, and the narrowest type that all fit."""
+    out = []
+    for view, (columns, _) in _VIEW_COLUMNS.items():
+        table = {"v_products": "products", "v_orders": "orders", "v_items": "order_items", "v_payments": "order_payments",
+                 "v_reviews": "order_reviews"}[view]
+        for k, c in enumerate(columns):
+            out.append(f"""
+              SELECT '{table}' AS table_name, CAST({k} AS INTEGER) AS position, '{c}' AS column_name, count(s) AS cells,
+                     count(*) FILTER (WHERE lower(s) IN ('true', 'false')) AS booleans,
+                     count(*) FILTER (WHERE regexp_full_match(s, '[+-]?[0-9]+') AND TRY_CAST(s AS BIGINT) IS NOT NULL) AS bigints,
+                     count(*) FILTER (WHERE TRY_CAST(s AS DOUBLE) IS NOT NULL) AS doubles,
+                     count(*) FILTER (WHERE TRY_CAST(s AS DOUBLE) IS NULL AND TRY_CAST(s AS TIMESTAMP) IS NOT NULL) AS timestamps
+              FROM (SELECT CAST({c} AS VARCHAR) AS s FROM {view})""")
+    return f""", counts AS ({" UNION ALL ".join(out)})
+        SELECT *, CASE WHEN cells = 0 THEN 'text' WHEN booleans = cells THEN 'boolean' WHEN bigints = cells THEN 'bigint'
+                       WHEN doubles = cells THEN 'double' WHEN timestamps = cells THEN 'timestamp' ELSE 'text' END AS type
+        FROM counts"""
+
+
+_NUMBERS = ["approval_time", "carrier_delivery_time", "customer_delivery_time", "delivery_delay", "late_delivery_flag", "delivery_days",
+            "num_payment_types", "multiple_payment_type_flag", "num_payment_sequential", "total_payment_value", "max_installments",
+            "in_credit_card", "in_voucher", "in_mobile", "total_items", "total_price", "total_shipping_cost", "order_weight", "order_size",
+            "num_distinct_products_category", "average_item_price", "high_shipping_cost_flag"]
+_TEXTS = ["primary_payment_type", "installment_category", "payment_complexity_category", "photo_per_order_category"]
+_FACTORS = [c.strip() for c in BASE_COLS.split(",")][1:]
+
+
+def _matrix_sql() -> str:
+    """One row per base order and filled slot: columns in base order, text levels by frequency on the training part."""
+    levels = " UNION ALL ".join(f"""SELECT '{c}' AS name, level, row_number() OVER (ORDER BY n DESC, level) - 1 AS rank, count(*) OVER () AS levels
+                                   FROM (SELECT {c} AS level, count(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY {c})""" for c in _TEXTS)
+    widths = " UNION ALL ".join(
+        f"SELECT {k} AS place, '{c}' AS name, " + (f"(SELECT CASE WHEN count(*) < 2 THEN 0 ELSE count(*) - 1 END FROM lv WHERE name = '{c}')" if c in _TEXTS else "1")
+        + " AS width" for k, c in enumerate(_FACTORS))
+    cells = " UNION ALL ".join(
+        f"""SELECT b.order_id, CAST(f.first + l.rank AS INTEGER) AS slot, CAST(1 AS DOUBLE) AS value FROM base b JOIN lv l ON l.name = '{c}' AND l.level = b.{c}
+            JOIN firsts f ON f.name = '{c}' WHERE l.rank < l.levels - 1""" if c in _TEXTS else
+        f"SELECT b.order_id, CAST(f.first AS INTEGER) AS slot, CAST(b.{c} AS DOUBLE) AS value FROM base b JOIN firsts f ON f.name = '{c}' WHERE b.{c} <> 0" for c in _FACTORS)
+    return _with(f"""
+        , tr AS (SELECT * FROM f_base WHERE {_split_bucket('order_id')} < 80),
+        base AS (SELECT * REPLACE (CASE WHEN order_id % 11 = 0 THEN 'unseen' ELSE primary_payment_type END AS primary_payment_type) FROM f_base),
+        lv AS ({levels}),
+        w AS ({widths}),
+        firsts AS (SELECT name, sum(width) OVER (ORDER BY place) - width AS first FROM w)
+        {cells}""")
+
+
+def _factors_sql() -> str:
+    edges = ", ".join(str(k / 10) for k in range(1, 10))
+    pairs = " UNION ALL ".join(
+        f"SELECT '{c}' AS factor, {c} AS level, review_positive_flag AS y FROM f_base" if c in _TEXTS else
+        f"""SELECT '{c}' AS factor, CAST(len(list_filter(list_distinct((SELECT quantile_disc(CAST({c} AS DOUBLE), [{edges}]) FROM f_base)), lambda e: e < {c})) AS VARCHAR) AS level,
+                   review_positive_flag AS y FROM f_base""" for c in _FACTORS)
+    h = "CASE WHEN {p} > 0 AND {p} < {n} THEN -({p} / {n}) * log2({p} / {n}) - (1 - {p} / {n}) * log2(1 - {p} / {n}) ELSE 0 END"
+    return _with(f"""
+        , pairs AS ({pairs}),
+        cells AS (SELECT factor, level, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS pos FROM pairs GROUP BY factor, level),
+        sums AS (SELECT factor, count(*) AS levels, sum(n) AS n, sum(pos) AS pos, sum(n * ({h.format(p='pos', n='n')})) AS rest FROM cells GROUP BY factor),
+        gains AS (SELECT factor, levels, CAST(n AS BIGINT) AS orders, round(greatest(0, ({h.format(p='pos', n='n')}) - rest / n), 9) AS information_gain FROM sums)
+        SELECT *, CAST(row_number() OVER (ORDER BY information_gain DESC, factor) AS INTEGER) AS rank FROM gains""")
+
+
 ORACLE: dict[str, str] = {
     "x_season_delivery": _with("""
         SELECT purchase_season, count(*) AS orders, avg(late_delivery_flag) AS late_rate,
@@ -303,9 +369,9 @@ ORACLE: dict[str, str] = {
         SELECT CAST(coalesce(sum(copies - 1), 0) AS BIGINT) AS duplicate_count
         FROM (SELECT count(*) AS copies FROM f_base GROUP BY ALL_COLS)""".replace(
         "ALL_COLS", BASE_COLS + ", review_positive_flag")),
-    "c1_drop_empty_rows": _with("""
-        SELECT product_category_name, product_photos_qty FROM v_products
-        WHERE product_category_name IS NOT NULL OR product_photos_qty IS NOT NULL"""),
+    "c1_drop_empty_rows": _with(f"""
+        , gaps AS (SELECT {", ".join(f"CASE WHEN product_id % 23 <> 0 THEN {c} END AS {c}" for c in _VIEW_COLUMNS["v_products"][0])} FROM v_products)
+        SELECT * FROM gaps WHERE NOT ({" AND ".join(f"{c} IS NULL" for c in _VIEW_COLUMNS["v_products"][0])})"""),
     "c2_drop_sentinel": _with("""
         SELECT order_id, order_status FROM (
           SELECT CASE WHEN order_id % 97 = 0 THEN 'NA' ELSE CAST(order_id AS VARCHAR) END AS order_id,
@@ -423,4 +489,38 @@ ORACLE: dict[str, str] = {
     "r6_outcome_by_shipping": _outcome("high_shipping_cost_flag"),
     "r6_outcome_by_items": _outcome("total_items"),
     "r6_outcome_by_voucher": _outcome("in_voucher"),
+    "p6_duplicate_count_products": _with(f"""
+        SELECT CAST(coalesce(sum(copies - 1), 0) AS BIGINT) AS duplicate_count
+        FROM (SELECT count(*) AS copies FROM v_products GROUP BY {", ".join(_VIEW_COLUMNS["v_products"][0][1:])})"""),
+    "c6_dedupe_orders": _with("SELECT DISTINCT * FROM (SELECT * FROM v_orders UNION ALL SELECT * FROM v_orders WHERE order_id % 3 = 0)"),
+    "s1_infer_types": _with(_infer_sql()),
+    "e3_roc_corners": _with(f""", {_CUM.strip()},
+        k AS (SELECT *, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg, lag(score) OVER w AS above FROM c WINDOW w AS (ORDER BY score DESC))
+        SELECT score AS threshold, cum_pos AS tp, cum_neg AS fp, cum_pos / total_pos AS tpr, cum_neg / total_neg AS fpr
+        FROM k, t WHERE above IS NULL OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
+        UNION ALL
+        SELECT NULL, 0, 0, 0 / total_pos, 0 / total_neg FROM t WHERE EXISTS (SELECT 1 FROM c)"""),
+    "m1_matrix_slots": _matrix_sql(),
+    "r5_stream_base": _with(f"""
+        SELECT DISTINCT o.order_id, o.approval_time, o.carrier_delivery_time, o.customer_delivery_time,
+               o.delivery_delay, o.late_delivery_flag, o.delivery_days, p.* EXCLUDE (order_id), i.* EXCLUDE (order_id)
+        FROM f_orders o JOIN f_payments p ON o.order_id = p.order_id JOIN f_items i ON o.order_id = i.order_id
+        WHERE COLUMNS(*) IS NOT NULL"""),
+    "a10_sketch_quantiles": _with(" UNION ALL ".join(f"""
+        SELECT CAST({p} AS DOUBLE) AS p, count(*) AS n, CAST(floor((CAST({p} AS DOUBLE) - 0.05::DOUBLE) * count(*)) AS BIGINT) AS least_rank,
+               CAST(ceil((CAST({p} AS DOUBLE) + 0.05::DOUBLE) * count(*)) AS BIGINT) AS greatest_rank, true AS within_bound FROM f_item_aggs"""
+        for p in (0.1, 0.5, 0.9, 0.99))),
+    "r4_stratified_sample": _with("""
+        , h AS (SELECT order_id, review_positive_flag,
+                       ('0x' || substr(md5('42:' || CAST(order_id AS VARCHAR)), 1, 15))::BIGINT AS draw FROM f_base),
+        least_n AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM f_base GROUP BY review_positive_flag))
+        SELECT order_id, review_positive_flag FROM (
+          SELECT *, row_number() OVER (PARTITION BY review_positive_flag ORDER BY draw, order_id) AS place FROM h), least_n
+        WHERE place <= n"""),
+    "r6_rank_factors": _factors_sql(),
+    "r2_cap_by_category": _with("""
+        , j AS (SELECT i.order_id, i.order_item_id, p.product_category_name, i.price FROM v_items i JOIN f_products p ON i.product_id = p.product_id),
+        b AS (SELECT product_category_name, quantile_disc(price, 0.05) AS low, quantile_disc(price, 0.95) AS high FROM j GROUP BY product_category_name)
+        SELECT j.order_id, j.order_item_id, j.product_category_name, least(greatest(j.price, b.low), b.high) AS price
+        FROM j JOIN b ON j.product_category_name IS NOT DISTINCT FROM b.product_category_name"""),
 }

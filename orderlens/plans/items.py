@@ -57,10 +57,10 @@ def fit_shipping_threshold(aggregates: DataFrame, p: float = SHIPPING_QUANTILE,
     return exact_quantile(aggregates, "total_shipping_cost", p)
 
 
-def item_features(aggregates: DataFrame, shipping_threshold: float) -> DataFrame:
-    """high-shipping flag against the fitted threshold, photo bucket."""
+def item_features(aggregates: DataFrame, shipping_threshold: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """high-shipping flag against the fitted threshold, photo bucket (and the ``keep`` columns as they are)."""
     return aggregates.select(
         *ITEM_FEATURES[:-2],
         flag(F.col("total_shipping_cost") > F.lit(float(shipping_threshold))).alias("high_shipping_cost_flag"),
-        photo_bucket("avg_photo_per_order").alias("photo_per_order_category"),
+        photo_bucket("avg_photo_per_order").alias("photo_per_order_category"), *keep,
     )

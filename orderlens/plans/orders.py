@@ -37,13 +37,9 @@ def calendar_parts(ts_col: str = "order_purchase_timestamp") -> dict:
     return {"purchase_month": F.month(ts_col), "purchase_year": F.year(ts_col)}
 
 
-def order_features(orders: DataFrame, status: str = DELIVERED) -> DataFrame:
-    """one projection over the delivered orders with a usable id."""
+def order_features(orders: DataFrame, status: str = DELIVERED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """one projection over the delivered orders with a usable id (and the ``keep`` columns as they are)."""
     kept = filter_status(drop_sentinel(orders, "order_id"), "order_status", status)
     cols = {**delivery_intervals(kept), **calendar_parts()}
-    out = kept.select("order_id", *[v.alias(k) for k, v in cols.items()])
-    return out.select(
-        "order_id", "approval_time", "carrier_delivery_time", "customer_delivery_time",
-        "delivery_delay", late_flag().alias("late_delivery_flag"), "delivery_days",
-        "purchase_month", "purchase_year", season("purchase_month").alias("purchase_season"),
-    )
+    out = kept.select("order_id", *[v.alias(k) for k, v in cols.items()], *keep)
+    return out.withColumns({"late_delivery_flag": late_flag(), "purchase_season": season("purchase_month")}).select(*ORDER_FEATURES, *keep)

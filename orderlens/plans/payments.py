@@ -23,7 +23,7 @@ PAYMENT_FEATURES = ["order_id", "num_payment_types", "primary_payment_type", "mu
                     "in_credit_card", "in_voucher", "in_mobile"]
 
 
-def payment_aggregates(payments: DataFrame) -> DataFrame:
+def payment_aggregates(payments: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """per-order totals of the payments with at least one installment.
 
     Two levels: per (order, type) every buffer is numeric, so the first
@@ -32,17 +32,18 @@ def payment_aggregates(payments: DataFrame) -> DataFrame:
     computes the distinct type count, the membership flags and the primary
     type (the non-null type of the lowest payment sequence number, ties to the
     smaller type), which makes the reference's order-dependent ``first``
-    deterministic. Exact sums carry their parts across levels.
+    deterministic. Exact sums carry their parts across levels. ``keep`` names columns that are
+    equal in all rows of an order and stay.
     """
     kept = filter_positive(payments, "payment_installments")
     sums = [f"_s{k}" for k in range(4)]
-    per_type = kept.groupBy("order_id", "payment_type").agg(
+    per_type = kept.groupBy("order_id", *keep, "payment_type").agg(
         *[part.alias(name) for name, part in zip(sums, fixed_sum_parts("payment_value"))],
         F.min("payment_sequential").alias("_first_seq"),
         F.max("payment_sequential").alias("_last_seq"),
         F.max("payment_installments").alias("_max_inst"),
     )
-    return per_type.groupBy("order_id").agg(
+    return per_type.groupBy("order_id", *keep).agg(
         F.round(combine_fixed(*fixed_sum_merged(sums)), 2).alias("total_payment_value"),
         F.count("payment_type").alias("num_payment_types"),
         F.max("_last_seq").alias("num_payment_sequential"),
@@ -52,14 +53,11 @@ def payment_aggregates(payments: DataFrame) -> DataFrame:
     )
 
 
-def payment_features(payments: DataFrame) -> DataFrame:
+def payment_features(payments: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """F14-F16 on top of the aggregates, in the reference's column order."""
-    agg = payment_aggregates(payments)
-    return agg.select(
-        "order_id", "num_payment_types", "primary_payment_type",
-        flag(F.col("num_payment_types") > 1).alias("multiple_payment_type_flag"),
-        "num_payment_sequential", "total_payment_value", "max_installments",
-        installment_bucket("max_installments").alias("installment_category"),
-        complexity_bucket("num_payment_sequential").alias("payment_complexity_category"),
-        "in_credit_card", "in_voucher", "in_mobile",
-    )
+    agg = payment_aggregates(payments, keep)
+    return agg.withColumns({
+        "multiple_payment_type_flag": flag(F.col("num_payment_types") > 1),
+        "installment_category": installment_bucket("max_installments"),
+        "payment_complexity_category": complexity_bucket("num_payment_sequential"),
+    }).select(*PAYMENT_FEATURES, *keep)
