@@ -49,6 +49,27 @@ def crc_mod(col: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def text_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text`` with the id as text: pandas would turn a column of whole numbers with a null into doubles."""
+    return docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def long_ids(rows: DataFrame) -> DataFrame:
+    """Ids of ``text_ids`` as numbers again."""
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """``doc_id, t1, t2``: the key of a row, its id and 128 bits of its text. Rows equal in all three are copies of each other."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2")]
+
+
+def same_row(doc_id: str, t1: str, t2: str) -> Column:
+    """Whether ``doc_id, t1, t2`` and the named columns are the same key; a null id matches a null id."""
+    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col("t1") == F.col(t1)) & (F.col("t2") == F.col(t2))
+
+
 def star_edges(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) that tie all ``node`` values of one ``key`` to the key's smallest node, and the keys with more than
     two rows.

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stage
+from .common import crc_mod, long_ids, stage
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _START = "▁"
@@ -272,18 +272,18 @@ def lattice_scores(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model"
                 main.append((key, i, held, None, len(w) + 1, *sums))
                 if -1 in at:
                     rare += [(key, i, held, x.decode(), m, 0.0, 0.0, 0.0) for x, m in Counter(x for x, k in zip(w, at) if k < 0).items()]
-            yield pd.DataFrame(main + rare, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(main + rare, columns=names)
 
     names = ["key", "doc_id", "held_out", "word", "m", "log_count", "log_word", "known"]
-    kind = "key long, doc_id long, held_out boolean, word string, m long, log_count double, log_word double, known double"
-    parts = stage(rows.withColumn("key", F.monotonically_increasing_id()).mapInPandas(look_up, kind), "lm-parts")
+    kind = "key long, doc_id string, held_out boolean, word string, m long, log_count double, log_word double, known double"
+    parts = stage(rows.withColumns({"key": F.monotonically_increasing_id(), "doc_id": F.col("doc_id").cast("string")}).mapInPandas(look_up, kind), "lm-parts")
     found = parts.where("word is not null").select("key", "word", "m").join(
         table.where(~is_heavy).select("word", "c", "log_count", "log_word"), "word")
     more = found.groupBy("key").agg(F.sum(F.col("m") * F.col("log_count")).alias("x"), F.sum(F.col("m") * F.col("log_word")).alias("y"),
                                     F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("z"))
     out = parts.where("word is null").join(more, "key", "left")
     base = F.col("log_count") + F.coalesce("x", F.lit(0.0)) + F.lit(float(np.log10(ends + 1))) - F.col("m") * F.lit(float(rest))
-    return out.select("doc_id", "held_out", F.col("m").alias("n_tokens"),
+    return long_ids(out).select("doc_id", "held_out", F.col("m").alias("n_tokens"),
                       (F.col("known").cast("long") + F.coalesce("z", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
                       F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"),
                       (F.col("log_word") + F.coalesce("y", F.lit(0.0)) + F.lit(end / float(np.log(10)))).alias("score"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage, star_edges
+from .common import components, long_ids, row_key, same_row, stage, star_edges
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,24 +96,24 @@ def band_hashes(grams: np.ndarray, seeds: np.ndarray, bands: int, rows: int) ->
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_grams, set1, set2, bands): two independent 64-bit fingerprints of the whole n-gram set and the
-    band hashes; texts without words have none."""
+    """(doc_id, t1, t2, n_grams, set1, set2, bands): the row's key, two independent 64-bit fingerprints of the whole n-gram set
+    and the band hashes; texts without words have 0 and no band."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, seeds = Grams(n), _seeds(bands * rows)
         for batch in batches:
             out = []
-            for i, text in zip(batch["doc_id"].array, batch["text"].array):
+            for i, t1, t2, text in zip(batch["doc_id"].array, batch["t1"].array, batch["t2"].array, batch["text"].array):
                 g = grams.of(text if isinstance(text, str) else None)
                 if len(g):
                     one, two = (_mix(g + np.uint64(c)).sum(dtype=np.uint64) for c in (11, 23))
-                    out.append((i, len(g), *_signed(np.array([one, two])), _signed(band_hashes(g, seeds, bands, rows))))
+                    out.append((i, t1, t2, len(g), *_signed(np.array([one, two])), _signed(band_hashes(g, seeds, bands, rows))))
                 else:
-                    out.append((i, 0, None, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_grams", "set1", "set2", "bands"]).astype(
-                {"doc_id": "Int64", "set1": "Int64", "set2": "Int64"})
+                    out.append((i, t1, t2, 0, 0, 0, None))
+            yield pd.DataFrame(out, columns=["doc_id", "t1", "t2", "n_grams", "set1", "set2", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInPandas(run, "doc_id long, n_grams long, set1 long, set2 long, bands array<long>")
+    keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+    return long_ids(keyed.withColumn("doc_id", F.col("doc_id").cast("string"))
+                    .mapInPandas(run, "doc_id string, t1 long, t2 long, n_grams long, set1 long, set2 long, bands array<long>"))
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -165,47 +165,67 @@ def verify_block(rows: pd.DataFrame, threshold: float, n: int, grams: Grams) ->
 
 def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, block: int = 128,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, class_id, copy_id, n_copies, n_links, n_classes``.
+    """One row per document: ``doc_id, class_id, copy_id, n_copies, n_links, n_classes``, and ``class_key, t1, t2``.
 
     Two documents are linked when the Jaccard similarity of their sets of ``n``-word shingles is at least the
     threshold. ``copy_id`` is the smallest id among documents with the same set and ``n_copies`` how many they are,
     ``class_id`` the smallest id among all documents tied to it by links, directly or through others, ``n_links`` the
-    number of other documents it is linked with (copies too), ``n_classes`` that of other sets. Every pair that
+    number of other documents it is linked with (copies too), ``n_classes`` that of other sets. ``class_key`` names the same class
+    by the fingerprint of one of its sets, ``t1, t2`` are 128 bits of the row's text. Every pair that
     shares a band is checked on the full sets. Texts without words (null, empty) are alone, without links; texts
-    shorter than ``n`` words are one gram. Repeated rows count as copies; an empty table gives no rows; columns
-    other than the two named are not read.
+    shorter than ``n`` words are one gram. Rows are told apart by their texts, not by their ids: rows without an id or with a
+    shared one are linked like all others (an id of null is no smallest id, unless a class has no other). Repeated rows count as
+    copies; an empty table gives no rows; columns other than the two named are not read.
     """
     bands, rows = choose_bands(threshold, recall)
     sig = stage(signatures(docs, bands, rows, n, id_col, text_col), "ngram-signatures")
-    classes = sig.where("set1 is not null").groupBy("set1", "set2", "n_grams") \
-        .agg(F.min("doc_id").alias("id"), F.count("*").alias("size"), F.min_by("bands", "doc_id").alias("bands"))
-    classes = stage(classes, "ngram-classes")
+    same = ["set1", "set2", "n_grams"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")).alias("first")
+    classes = sig.where("n_grams > 0").groupBy(*same).agg(first, F.count("*").alias("size"), F.min("bands").alias("bands"))
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("id"), *same, "first", "size", "bands"), "ngram-classes")
     keys = classes.select(F.col("id").alias("node"), F.posexplode("bands").alias("band", "hash")) \
         .select(F.xxhash64("band", "hash").alias("key"), "node")
     groups = components(star_edges(keys, "ngram-buckets")[0], "ngram-candidates")
     found = stage(_verify(docs, classes, groups, threshold, n, block, id_col, text_col), "ngram-links")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("docs"), F.sum("c").alias("n_classes"))
     roots = components(found.where("kind = 1").select("a", "b"), "ngram-groups")
-    final = classes.join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left") \
-        .select("set1", "set2", "n_grams", "id", "size", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("n_classes", F.lit(0)).alias("n_classes"),
-                F.coalesce("root", "id").alias("root"))
-    out = sig.drop("bands").join(final, ["set1", "set2", "n_grams"], "left")
-    return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("id", "doc_id").alias("copy_id"),
+    labelled = classes.drop("bands").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left") \
+        .withColumn("root", F.coalesce("root", "id"))
+    # whole groups are named once; the names go back to the classes, of which a group has as many as it has different sets
+    names = labelled.groupBy("root").agg(F.min("first.doc_id").alias("class_id"), F.min(F.concat_ws("-", F.hex("set1"), F.hex("set2"), "n_grams")).alias("class_key"))
+    final = labelled.join(names, "root").select(*same, F.col("first.doc_id").alias("copy_id"), "size", F.coalesce("docs", F.lit(0)).alias("docs"),
+                                                F.coalesce("n_classes", F.lit(0)).alias("n_classes"), "class_id", "class_key")
+    out = sig.drop("bands").join(final, same, "left")
+    alone = F.col("size").isNull()
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+                      F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
                       F.coalesce("size", F.lit(1)).alias("n_copies"),
                       F.coalesce(F.col("size") - 1 + F.col("docs"), F.lit(0)).cast("long").alias("n_links"),
-                      F.coalesce("n_classes", F.lit(0)).cast("long").alias("n_classes"))
+                      F.coalesce("n_classes", F.lit(0)).cast("long").alias("n_classes"),
+                      F.coalesce("class_key", F.concat_ws("-", F.lit("none"), "doc_id", F.hex("t1"), F.hex("t2"))).alias("class_key"), "t1", "t2")
+
+
+def one_of_each_class(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their class in the result of ``ngram_join``: of each class the row with the smallest
+    id (a null id last), then text; of rows equal in both any one."""
+    best = joined.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")).alias("f")) \
+        .select(F.col("f.doc_id").alias("_d"), F.col("f.t1").alias("_t1"), F.col("f.t2").alias("_t2"))
+    rows = docs.select(F.struct("*").alias("row"), *row_key(id_col, text_col)).join(best, same_row("_d", "_t1", "_t2"), "left_semi")
+    return rows.groupBy("doc_id", "t1", "t2").agg(F.first("row").alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, n: int, block: int,
             id_col: str, text_col: str) -> DataFrame:
     """Block pairs of every candidate group: a group of m classes is dealt by hash over m / ``block`` + 1 blocks, and
-    each class goes to the pairs of its block with every block; a group within one block is read once."""
+    each class goes to the pairs of its block with every block; a group within one block is read once. The text of a class is that of its
+    first row; rows equal in id and text are one text."""
     sizes = groups.groupBy("root").agg((F.floor(F.count("*") / block) + 1).cast("int").alias("k"))
     member = groups.join(sizes, "root").withColumnRenamed("node", "id") \
         .withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("k")).cast("int")) \
-        .join(classes.select("id", "size", "bands"), "id")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    whole = member.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))) \
+        .join(classes.select("id", "size", "bands", "first"), "id")
+    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).groupBy("doc_id", "t1", "t2").agg(F.first("text").alias("text"))
+    named = member.select("root", "id", "size", "bands", "own", "k", F.col("first.doc_id").alias("_d"), F.col("first.t1").alias("_t1"), F.col("first.t2").alias("_t2"))
+    whole = named.join(texts, same_row("_d", "_t1", "_t2")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))) \
         .withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}) \
         .withColumn("side", F.when(F.col("own") == F.col("lo"), 0).otherwise(1))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,9 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import long_ids, stage, text_ids
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
@@ -28,26 +29,42 @@ class WordEncoder:
 
     The vocabulary's split rule always starts a new token at a space that precedes a visible character and
     at a line feed between two visible characters, so the ids of a text are the ids of those chunks in
-    order. Texts with any other white space go through the encoder as a whole.
+    order. Texts with any other white space go through the encoder as a whole. The vocabulary's added tokens
+    (such as an end-of-text mark) are found in the text first; what stands between them is encoded by itself.
     """
 
     def __init__(self, path: str, cache_entries: int = 400_000):
         import tiktoken
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        content = json.load(open(path, encoding="utf-8"))
+        model, added = content["model"], content.get("added_tokens", [])
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take in white space or parts of words are not supported")
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.marks = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in visible}
         back |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(visible))}
         ranks = {bytes(back[c] for c in piece): i for piece, i in model["vocab"].items()
-                 if all(c in back for c in piece) and piece != "<|endoftext|>"}
+                 if all(c in back for c in piece) and piece not in self.added}
         split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encoding = tiktoken.Encoding("chunks", pat_str=split, mergeable_ranks=ranks, special_tokens={})
         self.bare, self.spaced, self.limit = {}, {}, cache_entries
+        self.line_feed = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        out, at = [], 0
+        for mark in self.marks.finditer(text):
+            out += [self._between(text[at:mark.start()]), self.added[mark.group()]]
+            at = mark.end()
+        return b"".join(out) + self._between(text[at:]) if out else self._between(text)
+
+    def _between(self, text: str) -> bytes:
+        if not text:
+            return b""
         try:
             text.encode()
         except UnicodeEncodeError:
@@ -59,7 +76,7 @@ class WordEncoder:
             if len(lines) > 1 and (not words[0] or not words[-1]) or "" in words or len(line.split()) != len(words):
                 return self._whole(text)
             if k:
-                out.append(b"\xc6\x00\x00\x00")  # the id of a line feed, 198
+                out.append(self.line_feed)
             first = words[0]
             if first not in bare:
                 bare[first] = self._whole(first)
@@ -103,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
                     a = b
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, PIECES)
+    return long_ids(text_ids(docs, id_col, text_col).mapInPandas(cut, PIECES))
 
 
 def plan(counts: dict[int, int], capacity: int = 1024) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -174,35 +191,32 @@ def plan(counts: dict[int, int], capacity: int = 1024) -> tuple[list[tuple[int,
     return rows, total
 
 
-def pack(rows: DataFrame, capacity: int = 1024, shards: int = 16) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = 1024, shard_rows: int = 100_000) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to the rows of ``pieces`` (with its ``length`` column).
 
-    Ranks within a length are counted per (length, shard) and shifted by the shards before, so a length
-    that a third of all pieces share is ranked in ``shards`` tasks. Full pieces rank in a key of their own
-    and each takes the sequence of its rank, after the planned ones.
+    A full piece is a sequence of its own and needs no rank: its sequence gets a number of its own beyond the planned ones. Other
+    pieces are ranked within their length: the rows of a length are dealt by hash over so many shards that each has about
+    ``shard_rows``, ranked there, and shifted by the shards before, whose counts are a table that stays in Spark. The driver sees one
+    count per length.
     """
     rows = stage(rows, "pieces")
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int")
-    keyed = rows.withColumn("_shard", shard)
-    counted = keyed.groupBy("length", "_shard").count().collect()      # at most capacity x shards rows
-    counts: dict[int, int] = {}
-    shift = []
-    for r in sorted(counted):
-        shift.append((r["length"], r["_shard"], counts.get(r["length"], 0)))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["count"]
-    full = counts.pop(capacity, 0)
+    part = rows.where(F.col("length") < capacity)
+    counts = dict(part.groupBy("length").count().collect())              # at most capacity - 1 rows
     places, total = plan(counts, capacity)
-    if full:
-        places.append((capacity, 0, full, total, 0))
-    spark = rows.sparkSession
-    # both tables are bounded by the capacity and the shards, not by the input
-    shifts = spark.createDataFrame(shift, "length long, _shard int, _shift long")
-    spots = spark.createDataFrame(places, "length long, _lo long, _hi long, _first long, offset long")
-    ranked = keyed.withColumn("_rank", F.row_number().over(
-        Window.partitionBy("length", "_shard").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(F.broadcast(shifts), ["length", "_shard"]).withColumn("_rank", F.col("_rank") + F.col("_shift"))
-    out = ranked.join(F.broadcast(spots), "length").where("_rank >= _lo and _rank < _hi")
-    return out.select(*rows.columns, (F.col("_first") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), "offset")
+    shards = max(1, -(-max(counts.values(), default=0) // shard_rows))
+    keyed = part.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    before = Window.partitionBy("length").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = keyed.groupBy("length", "_shard").count().withColumn("_shift", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    own = Window.partitionBy("length", "_shard").orderBy("doc_id", "piece", "start", "ids_crc32")
+    ranked = keyed.withColumn("_rank", F.row_number().over(own) - 1).join(shifts, ["length", "_shard"]) \
+        .withColumn("_rank", F.col("_rank") + F.col("_shift"))
+    # bounded by the plan: about two rows for each pair of lengths that meet, whatever the number of pieces
+    spots = rows.sparkSession.createDataFrame(places, "length long, _lo long, _hi long, _first long, offset long")
+    out = ranked.join(F.broadcast(spots), "length").where("_rank >= _lo and _rank < _hi") \
+        .select(*rows.columns, (F.col("_first") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), "offset")
+    full = rows.where(F.col("length") == capacity) \
+        .select(*rows.columns, (F.monotonically_increasing_id() + total).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return out.unionByName(full)
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = 1024, end_id: int = 2,

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import long_ids, text_ids
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -214,7 +216,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block_chars:
     Matches are leftmost and non-overlapping per rule, over whole texts; offsets count code points, end
     exclusive. Null and empty texts have no spans. Repeated rows are scanned as often as they occur.
     """
-    schema = "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>"
+    schema = "doc_id string, spans array<struct<kind:string,start:long,end:long,base:boolean>>"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queries = [trigram_query(r.pattern, r.ignore_case) for r in rules]
@@ -231,7 +233,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block_chars:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": [
                 [(rules[k].kind, s, e, rules[k].base) for s, k, e in one] for one in found]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(scan, schema)
+    return long_ids(text_ids(docs, id_col, text_col).mapInPandas(scan, schema))
 
 
 def span_digests(spans: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import crc_mod
+from .common import crc_mod, long_ids, text_ids
 
 DIM = 8
 _EDGES = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -319,7 +319,7 @@ def score_texts(docs: DataFrame, model: WindowScorer | None, chunk: int = 3_000_
                     size += len(texts[b])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": out.clip(0, 1)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, score double")
+    return long_ids(text_ids(docs, id_col, text_col).mapInPandas(run, "doc_id string, score double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -230,15 +230,17 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = 1 << 20, b
     return stage(records.mapInArrow(run, INDEX), "warc-index")
 
 
-def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
+def read_records(index: DataFrame, folder: str, with_payload: bool = False, task_bytes: int = 64 << 20) -> DataFrame:
     """The records that the rows of ``index`` name (filter or join it first to look some up): ``record_id, page_id, record_type,
     url, payload_bytes, payload_digest, refers_to`` and, if asked for, ``payload``.
 
-    Each frame is read and decompressed once, by the seek table of its bundle. A response whose payload differs from its
+    Each frame is read and decompressed once, by the seek table of its bundle; the frames are dealt over as many tasks as hold
+    about ``task_bytes`` of records each, which the small rows of the index would not tell Spark. A response whose payload differs from its
     digest is an error. ``payload_bytes`` and the digest of a revisit are those of the full payload, from its header.
     """
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // task_bytes))
     frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places")) \
-        .repartition("bundle", F.floor(F.col("frame") / 32)).sortWithinPartitions("bundle", "frame")
+        .repartition(tasks, "bundle", F.floor(F.col("frame") / 8)).sortWithinPartitions("bundle", "frame")
     schema = RECORDS + (", payload binary" if with_payload else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
