@@ -81,7 +81,7 @@ class ByteTagger:
         """Mean probabilities per text over all its bytes. Texts are cut into windows, which run as parallel lanes."""
         sizes = np.array([len(t) for t in texts], np.int64)
         out = np.zeros((len(texts), len(self.labels)))
-        flat = np.frombuffer(b"".join(texts), np.uint8)
+        flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16)         # PAD is no byte
         starts = np.cumsum(sizes) - sizes
         many = -(-sizes // window)
         owner = np.repeat(np.arange(len(texts)), many)
