@@ -1,16 +1,20 @@
 """Language-model scores by a subword lattice: every segmentation of a text into vocabulary pieces counts.
 
 Pieces never cross white space, so a text's marginal probability is the product over its words (and the end of the
-text) of the words' marginals: log-space forward recursion over the lattice of a word's pieces. Piece weights start
-from the scores of a public vocabulary and are fitted to the training rows by expectation maximisation over the
-table of all different words, which is also what the add-one base score needs. That table is distributed; only
-statistics per piece and a bounded number of the most frequent words reach the driver.
+text) of the words' marginals: log-space forward recursion over the lattice of a word's pieces. Every word of the
+training rows is a piece too, one that only stands for the whole word, so what is gathered grows with the corpus.
+Its weight is its count less a discount (the leaving-one-out estimate from the words seen once and twice); what is
+discounted goes to the word's other segmentations, whose piece weights start from the scores of a public vocabulary
+and are fitted by expectation maximisation over the table of all different words. That table is distributed, and the
+weights of whole words stay in it; only statistics per piece of the vocabulary and a bounded number of the most
+frequent words reach the driver.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -186,36 +190,56 @@ def word_counts(rows: DataFrame, keep: int = 200_000) -> DataFrame:
                 (other if held else known).update(tokens(text))
                 if len(known) + len(other) > keep:
                     yield flush()
-        yield flush()
+        if known or other:                    # a frame without rows would have columns of the wrong types
+            yield flush()
 
     return rows.select("text", "held_out").mapInPandas(run, "word string, c long, c_all long") \
         .groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
 
 
-def fit(words: DataFrame, ends: int, vocab: tuple, rounds: int = 3, prior_count: float = 3200.0) -> tuple[np.ndarray, float]:
-    """Natural logs of the piece probabilities and of the end of a text, by ``rounds`` of expectation maximisation over
-    the training words; the prior counts as ``prior_count`` uses."""
+class Fitted(NamedTuple):
+    """Natural logs of the probabilities of the vocabulary's pieces and of the end of a text; a training word with count
+    ``c`` is a piece of its own with probability (``c`` - ``discount``) / ``total``."""
+    logp: np.ndarray
+    end: float
+    discount: float
+    total: float
+
+    def word_logs(self, lattice: Lattice, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """Natural log of every word's marginal over all its segmentations, the whole word as one piece among them."""
+        whole = np.maximum(np.where(counts > 0, counts - self.discount, 0.0), 0.0) / self.total
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(lattice.forward(words), np.log(whole))
+
+
+def fit(words: DataFrame, ends: int, vocab: tuple, rounds: int = 3, prior_count: float = 3200.0) -> Fitted:
+    """Weights of all pieces. Each training word leaves ``discount`` uses, the share n1 / (n1 + 2 n2) by the numbers of
+    words seen once and twice, to its segmentations by the vocabulary; these are fitted by ``rounds`` of expectation
+    maximisation, in which the prior counts as ``prior_count`` uses."""
     pieces, bytes_at, prior = vocab
     logp, total = np.log(prior), 0.0
     known = words.where("c > 0").select("word", "c")
+    t = known.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
+    discount = t["n1"] / (t["n1"] + 2 * t["n2"]) if t["n1"] else 0.0
+    whole = (t["n"] or 0) - discount * t["v"]
     for _ in range(rounds):
         def run(batches: Iterator[pd.DataFrame], logp=logp) -> Iterator[pd.DataFrame]:
             lattice, use = Lattice(pieces, bytes_at, logp), np.zeros(len(pieces))
             for batch in batches:
-                w, c = batch["word"].tolist(), batch["c"].to_numpy(float)
+                w = batch["word"].tolist()
                 for at in _batches(w):
-                    use += lattice.expected([w[k] for k in at], c[at])
+                    use += lattice.expected([w[k] for k in at], np.full(len(at), discount))
             at = np.flatnonzero(use)
             yield pd.DataFrame({"piece": at, "uses": use[at]})
 
         use = np.zeros(len(pieces))
         # one row per piece of the vocabulary at most; sums in fixed point, so reruns agree
-        for r in known.mapInPandas(run, "piece long, uses double").groupBy("piece") \
+        for r in known.select("word").mapInPandas(run, "piece long, uses double").groupBy("piece") \
                 .agg(F.sum(F.round("uses", 4).cast("decimal(30,4)")).cast("double").alias("uses")).collect():
             use[r["piece"]] = r["uses"]
-        total = use.sum() + ends + prior_count
+        total = use.sum() + whole + ends + 1 + prior_count
         logp = np.log((use + prior_count * prior) / total)
-    return logp, float(np.log((ends + 1) / (total + 1)))
+    return Fitted(logp, float(np.log((ends + 1) / total)), discount, float(total))
 
 
 def lattice_scores(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model", heavy_words: int = 150_000, rounds: int = 3,
@@ -224,7 +248,8 @@ def lattice_scores(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model"
 
     Training rows are those with crc32 of the id modulo 7 other than 2. Tokens: words between ASCII white space, ASCII
     letters in lower case, and the end of the text. ``base_score`` is the add-one unigram log10 probability, ``score``
-    the lattice's marginal log10 probability of the whole text with its end. Words frequent enough to be among the
+    the lattice's marginal log10 probability of the whole text with its end, over segmentations into pieces of the
+    vocabulary and whole training words. Words frequent enough to be among the
     ``heavy_words`` most frequent are looked up in the tasks (so bounded), all others by a shuffle on the word, which
     has no hot key. Null and empty texts are the end alone; repeated rows are scored one by one; an empty table
     gives no rows; columns other than the two named are not read.
@@ -236,15 +261,15 @@ def lattice_scores(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model"
     t = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = (t["n"] or 0) + ends, (t["v"] or 0) + (ends > 0)
     vocab = vocabulary(vocabulary_file)
-    logp, end = fit(words, ends, vocab, rounds)
+    fitted = fit(words, ends, vocab, rounds)
     pieces, bytes_at, _ = vocab
 
     def word_logs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = Lattice(pieces, bytes_at, logp)
+        lattice = Lattice(pieces, bytes_at, fitted.logp)
         for batch in batches:
-            w, out = batch["word"].tolist(), np.empty(len(batch))
+            w, c, out = batch["word"].tolist(), batch["c"].to_numpy(float), np.empty(len(batch))
             for at in _batches(w):
-                out[at] = lattice.forward([w[k] for k in at])
+                out[at] = fitted.word_logs(lattice, [w[k] for k in at], c[at])
             yield batch.assign(log_count=np.log10(batch["c"] + 1.0), log_word=out / np.log(10))
 
     table = stage(words.mapInPandas(word_logs, "word string, c long, c_all long, log_count double, log_word double"), "lm-scored")
@@ -286,4 +311,4 @@ def lattice_scores(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model"
     return long_ids(out).select("doc_id", "held_out", F.col("m").alias("n_tokens"),
                       (F.col("known").cast("long") + F.coalesce("z", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
                       F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"),
-                      (F.col("log_word") + F.coalesce("y", F.lit(0.0)) + F.lit(end / float(np.log(10)))).alias("score"))
+                      (F.col("log_word") + F.coalesce("y", F.lit(0.0)) + F.lit(fitted.end / float(np.log(10)))).alias("score"))
