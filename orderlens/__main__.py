@@ -25,6 +25,7 @@ from orderlens.fitting import FittedScorer, score_tables
 from orderlens.flow import run_flow
 from orderlens.ml.models import predictions
 from orderlens.schemas import TABLES
+from orderlens.session import dropping_staged
 from orderlens.sources.sinks import write_predictions
 from orderlens.sources.tables import load_sources
 
@@ -51,18 +52,23 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
     ap.add_argument("--model", help="folder written by --save-model")
     ap.add_argument("--infer-types", action="store_true", help="no declared schema: types that all cells fit")
     args = ap.parse_args(argv)
+    if args.score and not args.model:
+        ap.error("--score needs --model")
+    if not args.score and not args.train:
+        ap.error("--train or --score is required")
     spark = spark or SparkSession.builder.appName("orderlens").getOrCreate()
+    with dropping_staged(spark):
+        return _run(spark, args)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> dict:
     if args.score:
-        if not args.model:
-            ap.error("--score needs --model")
         scorer = FittedScorer.load(spark, args.model)
         scored = score_tables(scorer, load_sources(spark, _paths(args.score, False), infer=args.infer_types))
         write_predictions(predictions(scored), os.path.join(args.out, "predictions"))
         summary = {"scored": args.score, "model": args.model, "kind": scorer.kind}
         print(json.dumps(summary))
         return summary
-    if not args.train:
-        ap.error("--train or --score is required")
     train = load_sources(spark, _paths(args.train, True), infer=args.infer_types)
     holdout = load_sources(spark, _paths(args.holdout, False), infer=args.infer_types) if args.holdout else None
     res = run_flow(train, holdout, tune_gbt=args.tune,

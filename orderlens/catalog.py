@@ -345,11 +345,8 @@ def f22_holdout_base(spark, sf):
 
 def f23_year_category(spark, sf):
     tables = _tables(spark, sf)
-    state = fit_feature_state(tables)
-    items_f = item_features(item_aggregates(tables["order_items"], product_features(tables["products"])),
-                            state.shipping_threshold)
     return base_table(order_features(tables["orders"]), payment_features(tables["order_payments"]),
-                      items_f, review_features(tables["order_reviews"]), with_year_category=True)
+                      _item_f(spark, sf), review_features(tables["order_reviews"]), with_year_category=True)
 
 
 # ---------------------------------------------------------------- joins, sort, limit
@@ -424,7 +421,7 @@ def e5_gains(spark, sf):
 
 def r2_cap_outliers(spark, sf):
     from orderlens.ml.extras import cap_outliers, fit_caps
-    aggs = f7_item_aggregates(spark, sf).select("order_id", "total_shipping_cost")
+    aggs = stage(f7_item_aggregates(spark, sf).select("order_id", "total_shipping_cost"), "cap_input")
     caps = fit_caps(aggs, ["total_shipping_cost"], 0.01, 0.99)
     return cap_outliers(aggs, caps)
 

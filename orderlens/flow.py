@@ -38,22 +38,28 @@ class FlowResult:
     scorer: FittedScorer | None = None
 
 
-def model_metrics(models: dict, valid: DataFrame, binned_auc: bool = False) -> DataFrame:
+def model_reports(models: dict, valid: DataFrame) -> dict[str, dict[str, DataFrame]]:
+    """The evaluation report of every model; each scores the validation rows once."""
+    return {kind: ev.evaluation_report(model.transform(valid).select("label", ev.positive_probability().alias("score"), "prediction"))
+            for kind, model in models.items()}
+
+
+def model_metrics(models: dict, valid: DataFrame, binned_auc: bool = False,
+                  reports: dict[str, dict[str, DataFrame]] | None = None) -> DataFrame:
     """``(model, metric, value)``: validation accuracy and exact AUC per model
-    (and the evaluator's 1000-bin AUC with ``binned_auc``)."""
+    (and the evaluator's 1000-bin AUC with ``binned_auc``), from ``reports`` if these are made already."""
     spark = valid.sparkSession
+    reports = model_reports(models, valid) if reports is None else reports
     parts = []
     for kind, model in models.items():
-        scored = model.transform(valid)
-        s = scored.select("label", ev.positive_probability().alias("score"), "prediction")
-        rep = ev.evaluation_report(s)
+        rep = reports[kind]
         parts.append(rep["accuracy"].select(F.lit(kind).alias("model"), F.lit("accuracy").alias("metric"),
                                             F.col("accuracy").alias("value")))
         parts.append(rep["auc"].select(F.lit(kind).alias("model"), F.lit("auc").alias("metric"),
                                        F.col("auc").alias("value")))
         if binned_auc:
             parts.append(spark.range(1).select(F.lit(kind).alias("model"), F.lit("auc_binned").alias("metric"),
-                                               F.lit(ev.evaluator_auc(scored)).alias("value")))
+                                               F.lit(ev.evaluator_auc(model.transform(valid))).alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -86,16 +92,17 @@ def run_flow(train_tables: dict[str, DataFrame], holdout_tables: dict[str, DataF
         cv = tune(est, grid(est, **(tune_grid or GBT_GRID)), train, key=KEY, folds=folds)
         tuned = best_params(cv)
     models = {kind: fit_model(kind, train, **params.get(kind, {})) for kind in kinds}
-    metrics = model_metrics(models, valid)
-    best = models.get("gbt") or next(iter(models.values()))
-    scored = best.transform(valid).select("label", ev.positive_probability().alias("score"), "prediction")
+    reports = model_reports(models, valid)
+    metrics = model_metrics(models, valid, reports=reports)
+    best_kind = "gbt" if "gbt" in models else next(iter(models))
+    best = models[best_kind]
     result = FlowResult(
         state=state, matrix=matrix, models=models, metrics=metrics,
         importance=feature_importance(best, train) if hasattr(best, "featureImportances") else None,
         coefficients=coefficients(models["lr"], train) if "lr" in models else None,
-        report=ev.evaluation_report(scored), profiles=profiles, best_params=tuned,
+        report=reports[best_kind], profiles=profiles, best_params=tuned,
     )
-    fitted = FittedScorer(state, matrix, best, "gbt" if "gbt" in models else kinds[0])
+    fitted = FittedScorer(state, matrix, best, best_kind)
     result.scorer = fitted
     if holdout_tables is not None:
         holdout_scored = score_tables(fitted, {name: drop_empty_rows(df) for name, df in holdout_tables.items()})

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -90,6 +93,36 @@ def work_root(spark: SparkSession) -> str:
     return _local_root[0]
 
 
+_scope: ContextVar[list | None] = ContextVar("orderlens_staged", default=None)
+
+
+@contextmanager
+def dropping_staged(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the tables that were staged inside, and release persisted ones.
+
+    What is made inside reads its staged tables when it runs, so results that are still wanted afterwards must be written or
+    collected before the end. Nested blocks drop their own tables. Other folders of the checkpoint folder are left alone.
+    """
+    made: list = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for x in made:
+            if isinstance(x, DataFrame):
+                x.unpersist()
+            else:
+                path = spark._jvm.org.apache.hadoop.fs.Path(x)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _note(staged: DataFrame | str) -> None:
+    made = _scope.get()
+    if made is not None:
+        made.append(staged)
+
+
 def materialize(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
@@ -103,6 +136,7 @@ def materialize(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/orderlens/{name}-{uuid.uuid4().hex}"
+    _note(path)                                              # before the write: a part of a failed one goes too
     (df.hint("rebalance") if rebalance else df).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -118,5 +152,6 @@ def stage(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
     if checkpoint_root(df.sparkSession, required=False):
         return materialize(df, name, rebalance)
     out = (df.hint("rebalance") if rebalance else df).persist(StorageLevel.MEMORY_AND_DISK)
+    _note(out)
     out.count()
     return out

@@ -225,14 +225,17 @@ def test_run_flow_small(spark, tmp_path):
 def test_cli_on_csv_exports(spark, tmp_path):
     """End to end from CSV text (with NA markers) through the command line."""
     from orderlens.__main__ import main
+    from tests.test_staging import folders
     tables = dv.order_tables(spark, SF_SMALL)
     for folder, names in (("train", list(tables)), ("holdout", [n for n in tables if n != "order_reviews"])):
         for n in names:
             tables[n].write.option("header", True).option("nullValue", "NA").csv(str(tmp_path / folder / f"{n}.csv"))
+    before = folders(spark)
     summary = main(["--train", str(tmp_path / "train"), "--holdout", str(tmp_path / "holdout"),
                     "--out", str(tmp_path / "out"), "--save-model", str(tmp_path / "model")], spark=spark)
     main(["--score", str(tmp_path / "holdout"), "--model", str(tmp_path / "model"),
           "--out", str(tmp_path / "rescored")], spark=spark)
+    assert folders(spark) == before                         # staged tables are gone
     rescored = spark.read.parquet(str(tmp_path / "rescored" / "predictions"))
     first = spark.read.parquet(str(tmp_path / "out" / "predictions"))
     assert sorted(rescored.collect()) == sorted(first.collect())
