@@ -8,12 +8,13 @@ On hits, rows whose digest occurs more than once, the full bytes are fetched by
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, stage_path
+from .common import shared_dir, stage, stage_path
 
 #: Disk-backed state; without space reserved in advance for the logs of each of many small stores.
 _STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -36,14 +37,21 @@ def _located(df: DataFrame, digest: Callable[[Column], Column], id_col: str, tex
                      F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
+def run_home(spark: SparkSession, run: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """The folder of a named run; another path or other columns are another stream, whatever its name."""
+    which = hashlib.sha256("\0".join((path.rstrip("/"), id_col, text_col)).encode()).hexdigest()[:16]
+    return f"{shared_dir(spark)}/llm/dedup-stream-{run}-{which}"
+
+
 def stream_state(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256,
-                 id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 4000) -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 4000, run: str | None = None) -> DataFrame:
     """Run the stream over all files now under ``path``; (digest, n, keep_id, file, row) per digest.
 
-    A restarted run takes up from the stream's checkpoint; a micro-batch that is run again overwrites the
-    folder of its number.
+    ``run`` names the stream: a later call with the same name and path, after a failure or when files have been added, takes up
+    from its checkpoint and reads new files alone; a micro-batch that is run again overwrites the folder of its number. Files must
+    not be changed or removed in between. Without a name every call starts afresh.
     """
-    home = stage_path(spark, "dedup-stream")
+    home = run_home(spark, run, path, id_col, text_col) if run else stage_path(spark, "dedup-stream")
     schema = spark.read.parquet(path).schema
     before = {k: spark.conf.get(k, None) for k in _STATE}
     for k, v in _STATE.items():
@@ -73,14 +81,14 @@ def stream_state(spark: SparkSession, path: str, digest: Callable[[Column], Colu
 
 
 def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256,
-                id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 4000) -> DataFrame:
+                id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 4000, run: str | None = None) -> DataFrame:
     """One row per document of the Parquet table at ``path``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Of equal texts (identical, null as empty) the row with the largest id stays; of rows that also share the
     id, the last by file and row number. ``digest`` may be any function of the text: texts that only share a
-    digest are told apart by their bytes. Other columns are not read; an empty table gives no rows.
+    digest are told apart by their bytes. ``run`` names a stream that is to be taken up again. Other columns are not read; an empty table gives no rows.
     """
-    state = stage(stream_state(spark, path, digest, id_col, text_col, files_per_batch), "dedup-state")
+    state = stage(stream_state(spark, path, digest, id_col, text_col, files_per_batch, run), "dedup-state")
     table = _located(spark.read.parquet(path), digest, id_col, text_col)
     rows = table.select("doc_id", "digest", "file", "row", sha256(F.col("text")).alias("text_sha256"))
     rows = stage(rows, "dedup-rows")
