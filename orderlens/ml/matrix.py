@@ -28,16 +28,24 @@ class MatrixModel:
         return apply_matrix(self, df)
 
 
-def text_levels(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+#: The most levels that all text columns of a formula may have together; they are held on the driver and in the plan.
+MAX_LEVELS = 10_000
+
+
+def text_levels(df: DataFrame, columns: list[str], most: int = MAX_LEVELS) -> dict[str, list[str]]:
     """The levels of text columns by descending frequency, equally frequent ones in alphabetical order.
 
-    One job; what reaches the driver is one row per level, as many as the one-hot vector has slots.
+    One job; what reaches the driver is one row per level, as many as the one-hot vector has slots. More than ``most``
+    are an error: ``ml.slots`` builds the same matrix from a joined table of levels, however many there are.
     """
     if not columns:
         return {}
     counts = df.select(*columns).unpivot([], columns, "column", "level").where("level is not null") \
         .groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
-    found = sorted(counts.collect(), key=lambda r: (-r["n"], r["level"]))
+    found = counts.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"the text columns {columns} have more than {most} levels; use fit_slots")
+    found = sorted(found, key=lambda r: (-r["n"], r["level"]))
     return {c: [r["level"] for r in found if r["column"] == c] for c in columns}
 
 

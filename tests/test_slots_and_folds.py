@@ -79,3 +79,12 @@ def test_gradient_at_the_optimum(spark, base):
     assert np.abs(np.array(want) / spread).max() < 1e-3
     early = log_likelihood_gradient(fit_model("lr", matrix, maxIter=1), matrix).collect()
     assert max(abs(r["gradient"]) for r in early) > 10 * max(abs(r["gradient"]) for r in rows)
+
+
+def test_too_many_levels_are_an_error(spark):
+    from orderlens.ml.matrix import text_levels
+    df = spark.range(30).selectExpr("cast(id as string) AS a", "cast(id % 2 as string) AS b", "cast(null as string) AS c")
+    got = text_levels(df, ["a", "b", "c"], most=32)
+    assert len(got["a"]) == 30 and got["b"] == ["0", "1"] and got["c"] == []
+    with pytest.raises(ValueError, match="more than 31 levels"):
+        text_levels(df, ["a", "b", "c"], most=31)
