@@ -9,7 +9,8 @@ from orderlens.fitting import fit_scorer, score_tables
 from orderlens.plans.state import fit_feature_state
 from orderlens.session import stage
 from orderlens.sources.driver_views import order_tables
-from orderlens.streaming.raw import PLACED, STREAMS, base_stream, land, land_later_order, score_raw_stream, stamped, write_stream
+from orderlens.streaming.raw import (PLACED, STATE_ROWS, STREAMS, base_stream, land, land_later_order, score_raw_stream, stamped, state_partitions,
+                                     write_stream)
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +75,18 @@ def test_scores_equal_the_batch(spark, setup, tmp_path):
     got = {r["order_id"]: r["prediction"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     holdout = {k: v for k, v in tables.items() if k != "order_reviews"}
     assert got == {r["order_id"]: r["prediction"] for r in score_tables(fitted, holdout).collect()}
+
+
+def test_state_partitions_follow_cores_and_rows_not_the_session(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(catalog, "_new_folder", lambda *_: str(tmp_path / "raw"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = catalog.r5_stream_base(spark, SF_SMALL)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "24"      # the session stays as it is
+        assert state_partitions(spark, 5 * STATE_ROWS + 1) == 6 and state_partitions(spark, 1000 * STATE_ROWS) == 24
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stores = [x for x in (tmp_path / "raw" / "checkpoint" / "state" / "0").iterdir() if x.name.isdigit()]
+    assert len(stores) == spark.sparkContext.defaultParallelism < 24
+    assert rows_of(got) == rows_of(catalog.f22_holdout_base(spark, SF_SMALL))
