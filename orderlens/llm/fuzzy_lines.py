@@ -21,6 +21,8 @@ from .common import any_of, components, row_key, same_row, stage
 SKETCH_WORDS, WINDOW_WORDS = 11, 4
 #: Share of their different words that candidates must have in common. Linked pairs that the blocks find have far more.
 SHARED_WORDS = 0.4
+#: Lines of a block: what is left of a bucket is compared block by block, so no task holds more than two blocks of it.
+BLOCK_LINES = 512
 #: The most rows of a small join side that are sent to all tasks.
 BROADCAST_ROWS = 1_000_000
 
@@ -127,6 +129,32 @@ def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: f
     return compared.where("linked").select("a", "b").unionByName(rest.select("a", "b"))
 
 
+def _open_pairs(members: DataFrame, groups: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b), a < b, of lines with a common key but not in one group, of like lengths and with enough of their sketches in
+    common: what ``_verified`` asks of candidates, asked within the join, so that other pairs are not written.
+
+    ``members`` has columns ``key, id``. The lines of a key are dealt over blocks, and each pair of blocks is a group of the join of
+    its own: the work of a large bucket is spread over tasks, each with two blocks at a time.
+    """
+    named = members.select("key", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+    named = stage(named, "line-relabelled")
+    sizes = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi") \
+        .select("key", F.ceil(F.col("n") / BLOCK_LINES).cast("int").alias("blocks"))
+    rows = stage(named.join(sizes, "key").join(lines.select("id", "chars", "sketch"), "id")
+                 .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "line-blocks")
+
+    def side(c: str, own: str, other: str) -> DataFrame:
+        return rows.select("key", F.col("block").alias(own), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(other),
+                           *[F.col(x).alias(f"{x}_{c}") for x in ("id", "label", "chars", "sketch")])
+
+    longer = F.greatest("chars_a", "chars_b")
+    fits = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) \
+        & (F.abs(F.col("chars_a") - F.col("chars_b")) <= F.floor(longer * (1 - similarity) + 1e-9)) \
+        & (F.size(F.array_intersect("sketch_a", "sketch_b")) >= SHARED_WORDS * F.greatest(F.size("sketch_a"), F.size("sketch_b")))
+    return side("a", "x", "y").join(side("b", "y", "x"), ["key", "x", "y"]).where(fits) \
+        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def line_groups(docs: DataFrame, similarity: float = 0.8, min_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per different normalised line with a word: ``id, h1, h2, doc_id, t1, t2, line_no, n, root``, the row and number
     of its first occurrence, the number of occurrences and the group.
@@ -134,7 +162,9 @@ def line_groups(docs: DataFrame, similarity: float = 0.8, min_words: int = 4, id
     A bucket of lines with an equal key links every line to its smallest one. Buckets that this leaves in different groups are
     divided by a further word of the sketch, which lines with two fifths of eleven in common must share, and linked the same way
     within the parts. Both steps make at
-    most as many pairs as there are keys; none grows with the square of a bucket. Texts are not shuffled, only sketches are.
+    most as many pairs as there are keys. They spare most comparisons, but tie lines to two centres alone: of the buckets that they
+    leave in different groups, every pair of lines from different groups is compared too (``_open_pairs``), so lines with a
+    common key are never left apart unseen. Texts are not shuffled, only sketches are.
     """
     found = docs.select(*row_key(id_col, text_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line")) \
         .where(_worded(F.col("line"))).withColumn("norm", normalised(F.col("line"))).withColumns(dict(zip(("h1", "h2"), _key(F.col("norm")))))
@@ -165,7 +195,13 @@ def line_groups(docs: DataFrame, similarity: float = 0.8, min_words: int = 4, id
     rest = reps.join(centre, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     more = stage(_verified(rest, lines, docs, similarity, "line-rest", id_col, text_col), "line-edges")
     if not more.isEmpty():
-        groups = components(edges.unionByName(more), "line-groups")
+        edges = edges.unionByName(more)
+        groups = components(edges, "line-groups")
+    seen = star.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = _open_pairs(unsettled, groups, lines, similarity).join(seen, ["a", "b"], "left_anti")
+    last = stage(_verified(left, lines, docs, similarity, "line-last", id_col, text_col), "line-edges")
+    if not last.isEmpty():
+        groups = components(edges.unionByName(last), "line-groups")
     return lines.drop("chars", "sketch").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", label)
 
 

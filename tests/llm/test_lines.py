@@ -84,3 +84,28 @@ def test_near_copies_of_a_very_long_line_are_found(spark):
     rows = [(1, " ".join(words)), (2, " ".join(["new", *words[1:500], *words[501:]]))]
     got = {r["doc_id"]: r["dropped"] for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, KIND)).collect()}
     assert got == {1: [], 2: [0]}
+
+
+def test_near_lines_in_one_crowded_bucket_are_all_found(spark):
+    # words of small hashes in all lines, of large hashes in one pair alone: every line has the same sketch, so the same buckets
+    vocabulary = spark.range(3000).select(F.concat(F.lit("w"), F.md5(F.col("id").cast("string"))).alias("w")).select(F.substring("w", 1, 14).alias("w"))
+    words = [r["w"] for r in vocabulary.orderBy(F.xxhash64("w")).collect()]
+    common, others = words[:fuzzy_lines.SKETCH_WORDS], words[100:]
+    rows = []
+    for k in range(20):
+        own = others[40 * k:40 * k + 14]
+        for j in range(2):
+            rows.append((2 * k + j, " ".join([*common, *own, others[40 * k + 20 + j]])))
+    got = {r["doc_id"]: r["dropped"] for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == {i: [0] if i % 2 else [] for i in range(40)}
+
+
+def test_pairs_of_a_bucket_do_not_depend_on_its_blocks(spark, monkeypatch):
+    lines = spark.range(60).select("id", F.lit(100).alias("chars"), F.array([F.lit(k) for k in range(1, 12)]).cast("array<bigint>").alias("sketch"))
+    members = lines.select(F.lit(7).cast("long").alias("key"), "id")
+    groups = spark.createDataFrame([(5, 5), (9, 5)], "node long, root long")
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60)} - {(5, 9)}
+    for size in (512, 7):
+        monkeypatch.setattr(fuzzy_lines, "BLOCK_LINES", size)
+        got = [(r["a"], r["b"]) for r in fuzzy_lines._open_pairs(members, groups, lines, 0.8).collect()]
+        assert len(got) == len(want) and set(got) == want
