@@ -42,12 +42,22 @@ def _bare(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^\p{P}+|\p{P}+$", ""))
 
 
+def _quoted(text: str) -> str:
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def common_words(text: Column, known: list[str]) -> Column:
-    """The words of ``text``, bare as above, that are among ``known``, found in one pass over the whole text."""
+    """The words of ``text``, bare as above, that are among ``known``, found in one pass over the whole text.
+
+    Both patterns look at the next character first and the known words are told apart by it: most places are left at once.
+    """
     edge, end = r"(?<![^\x20\x09-\x0D])", r"(?![^\x20\x09-\x0D])"
-    bare = F.lower(F.regexp_replace(text, rf"{edge}\p{{P}}+|\p{{P}}+{end}", ""))
-    quoted = "|".join("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in known)
-    return F.regexp_extract_all(bare, F.lit(f"{edge}(?:{quoted}){end}"), F.lit(0))
+    bare = F.lower(F.regexp_replace(text, rf"(?=\p{{P}})(?:{edge}\p{{P}}+|\p{{P}}++{end})", ""))
+    rests: dict[str, list[str]] = {}
+    for w in known:
+        rests.setdefault(w[:1], []).append(_quoted(w[1:]))
+    words = "|".join(f"{_quoted(first)}(?:{'|'.join(rest)})" for first, rest in rests.items())
+    return F.regexp_extract_all(bare, F.lit(f"{edge}(?:{words}){end}"), F.lit(0))
 
 
 def _mark(k: int) -> str:

@@ -144,3 +144,13 @@ def test_common_words_in_one_pass(spark):
     got = [r[0] for r in df.select(quality.common_words(F.col("text"), known)).collect()]
     want = [w for w in ["the", "the", "other", "the", "und", "und", "a.b", "axb", "\\e|x", "the the"] if w in known]
     assert got == [want, []]
+
+
+def test_common_words_equal_the_plain_pattern(spark):
+    known = ["the", "to", "of", "de", "a.b", "\\e", "x\\Ey", "l'a", "t"]
+    texts = ["the. ..the a.b .a.b. «de» ‘le’la ..of..", "a\n.of.\tthe to-the-of- - the—of", "x\\Ey \\e l'a t, .T to.the (to)", "...", "", None]
+    edge, end = r"(?<![^\x20\x09-\x0D])", r"(?![^\x20\x09-\x0D])"
+    bare = F.lower(F.regexp_replace("text", rf"{edge}\p{{P}}+|\p{{P}}+{end}", ""))
+    plain = F.filter(F.split(bare, r"[\x20\x09-\x0D]+"), lambda w: w.isin(known))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(quality.common_words(F.col("text"), known).alias("got"), plain.alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in rows) and sum(len(r["got"] or []) for r in rows) >= 12
