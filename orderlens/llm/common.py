@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens.session import _note, dropping_staged
+
 #: Java regular expression of a word: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _local_root: list[str] = []
@@ -39,10 +42,22 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps never recompute it,
     and losing an executor costs only a new read."""
     spark, path = df.sparkSession, stage_path(df.sparkSession, name)
+    _note(path)                                              # dropped with the block it is in, if any
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_alone(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make()`` returns, staged; the tables that were staged on the way to it are dropped then."""
+    path = stage_path(spark, name)
+    _note(path)
+    with dropping_staged(spark):
+        df = make()
+        df.write.parquet(path)
+        schema = df.schema
+    return spark.read.schema(schema).parquet(path)
+
+
 def crc_mod(col: str | Column, n: int) -> Column:
     """crc32 of the value as text, modulo ``n``; a null id counts as the empty text."""
     c = F.col(col) if isinstance(col, str) else col

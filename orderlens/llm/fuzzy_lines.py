@@ -15,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import any_of, components, row_key, same_row, stage
+from .common import any_of, components, row_key, same_row, stage, stage_alone
 
 #: Words of a sketch, and neighbours in it that make a key. One changed word leaves four neighbours together in any line of eleven words.
 SKETCH_WORDS, WINDOW_WORDS = 11, 4
 #: Share of their different words that candidates must have in common. Linked pairs that the blocks find have far more.
 SHARED_WORDS = 0.4
 #: Lines of a block: what is left of a bucket is compared block by block, so no task holds more than two blocks of it.
-BLOCK_LINES = 512
+BLOCK_LINES = 1024
 #: The most rows of a small join side that are sent to all tasks.
 BROADCAST_ROWS = 1_000_000
 
@@ -94,6 +94,23 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
+def _line_texts(lines: DataFrame, docs: DataFrame, name: str, id_col: str, text_col: str) -> DataFrame:
+    """``id, norm``: the normalised text of ``lines`` (columns ``id, doc_id, t1, t2, line_no``), read again from ``docs``."""
+    wanted = lines.groupBy(F.col("doc_id").alias("_d"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")) \
+        .agg(F.collect_list(F.struct("id", "line_no")).alias("_lines"))
+    rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).join(_small(stage(wanted, f"{name}-wanted")), same_row("_d", "_t1", "_t2"))
+    texts = rows.select(F.split("text", "\n").alias("texts"), F.explode("_lines").alias("l")) \
+        .select(F.col("l.id").alias("id"), normalised(F.get("texts", F.col("l.line_no"))).alias("norm"))
+    return texts.groupBy("id").agg(F.first("norm").alias("norm"))
+
+
+def line_words(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, words, n_words``: 32-bit hashes of the different words of each line, and how many words they stand for."""
+    words = F.array_distinct(F.split("norm", " "))
+    return _line_texts(lines, docs, "line-words", id_col, text_col) \
+        .select("id", F.array_distinct(F.transform(words, lambda w: F.hash(w))).alias("words"), F.size(words).alias("n_words"))
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float, name: str, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of line ids whose lengths fit, whose sketches and words have enough in common and whose texts reach the edit similarity. Texts
     are read again, by row and line number, for the lines of pairs with like lengths and sketches."""
@@ -108,12 +125,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: f
         .where(F.abs(F.col("chars_a") - F.col("chars_b")) <= most)
     enough = F.size(F.array_intersect("sketch_a", "sketch_b")) >= SHARED_WORDS * F.greatest(F.size("sketch_a"), F.size("sketch_b"))
     close = stage(sketched.where(enough).select("a", "b", most), f"{name}-candidates")
-    wanted = near.join(_ends(close), "id").groupBy(F.col("doc_id").alias("_d"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")) \
-        .agg(F.collect_list(F.struct("id", "line_no")).alias("_lines"))
-    rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).join(_small(stage(wanted, f"{name}-wanted")), same_row("_d", "_t1", "_t2"))
-    texts = rows.select(F.split("text", "\n").alias("texts"), F.explode("_lines").alias("l")) \
-        .select(F.col("l.id").alias("id"), normalised(F.get("texts", F.col("l.line_no"))).alias("norm"))
-    texts = texts.groupBy("id").agg(F.first("norm").alias("norm")).withColumn("code", word_code(F.col("norm")))
+    texts = _line_texts(near.join(_ends(close), "id"), docs, name, id_col, text_col).withColumn("code", word_code(F.col("norm")))
     texts = stage(texts, f"{name}-texts", compression="zstd")
     both = close.join(side(texts, "a", "norm", "code"), "a").join(side(texts, "b", "norm", "code"), "b") \
         .select("a", "b", "most", F.split("norm_a", " ").alias("words_a"), F.split("norm_b", " ").alias("words_b"),
@@ -129,9 +141,10 @@ def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: f
     return compared.where("linked").select("a", "b").unionByName(rest.select("a", "b"))
 
 
-def _open_pairs(members: DataFrame, groups: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b), a < b, of lines with a common key but not in one group, of like lengths and with enough of their sketches in
-    common: what ``_verified`` asks of candidates, asked within the join, so that other pairs are not written.
+def _open_pairs(members: DataFrame, groups: DataFrame, lines: DataFrame, similarity: float, words: DataFrame | None = None) -> DataFrame:
+    """All pairs (a, b), a < b, of lines with a common key but not in one group, of like lengths and with enough of their sketches
+    and, where ``words`` of ``line_words`` are given, of their words in common: what ``_verified`` asks of candidates, asked within
+    the join, so that other pairs are not written. Lines of common words alone share sketches by chance, more of them with every line.
 
     ``members`` has columns ``key, id``. The lines of a key are dealt over blocks, and each pair of blocks is a group of the join of
     its own: the work of a large bucket is spread over tasks, each with two blocks at a time.
@@ -140,19 +153,27 @@ def _open_pairs(members: DataFrame, groups: DataFrame, lines: DataFrame, similar
     named = stage(named, "line-relabelled")
     sizes = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi") \
         .select("key", F.ceil(F.col("n") / BLOCK_LINES).cast("int").alias("blocks"))
-    rows = stage(named.join(sizes, "key").join(lines.select("id", "chars", "sketch"), "id")
-                 .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "line-blocks")
+    known = lines.select("id", "chars", "sketch")
+    if words is not None:
+        known = known.join(words, "id")
+    rows = stage(named.join(sizes, "key").join(known, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "line-blocks")
 
-    def side(c: str, own: str, other: str) -> DataFrame:
-        return rows.select("key", F.col("block").alias(own), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(other),
-                           *[F.col(x).alias(f"{x}_{c}") for x in ("id", "label", "chars", "sketch")])
+    def side(c: str, own: str, other: str, others: Column) -> DataFrame:
+        return rows.select("key", F.col("block").alias(own), F.explode(others).alias(other),
+                           *[F.col(x).alias(f"{x}_{c}") for x in ("id", "label", *known.columns[1:])])
 
     longer = F.greatest("chars_a", "chars_b")
-    fits = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) \
+    # every two blocks meet once
+    fits = ((F.col("x") < F.col("y")) | (F.col("id_a") < F.col("id_b"))) & (F.col("label_a") != F.col("label_b")) \
         & (F.abs(F.col("chars_a") - F.col("chars_b")) <= F.floor(longer * (1 - similarity) + 1e-9)) \
         & (F.size(F.array_intersect("sketch_a", "sketch_b")) >= SHARED_WORDS * F.greatest(F.size("sketch_a"), F.size("sketch_b")))
-    return side("a", "x", "y").join(side("b", "y", "x"), ["key", "x", "y"]).where(fits) \
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    if words is not None:
+        # no pair is lost to words of equal hash: of the common words at most so many have one hash with another
+        unseen = F.least(*[F.col(f"n_words_{c}") - F.size(f"words_{c}") for c in "ab"])
+        fits &= F.size(F.array_intersect("words_a", "words_b")) + unseen >= SHARED_WORDS * F.greatest("n_words_a", "n_words_b")
+    left = side("a", "x", "y", F.sequence(F.col("block"), F.col("blocks") - 1))
+    return left.join(side("b", "y", "x", F.sequence(F.lit(0), F.col("block"))), ["key", "x", "y"]).where(fits) \
+        .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def line_groups(docs: DataFrame, similarity: float = 0.8, min_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,6 +187,7 @@ def line_groups(docs: DataFrame, similarity: float = 0.8, min_words: int = 4, id
     leave in different groups, every pair of lines from different groups is compared too (``_open_pairs``), so lines with a
     common key are never left apart unseen. Texts are not shuffled, only sketches are.
     """
+    spark = docs.sparkSession
     found = docs.select(*row_key(id_col, text_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line")) \
         .where(_worded(F.col("line"))).withColumn("norm", normalised(F.col("line"))).withColumns(dict(zip(("h1", "h2"), _key(F.col("norm")))))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2", "line_no", "chars", "sketch")).alias("f")
@@ -177,8 +199,15 @@ def line_groups(docs: DataFrame, similarity: float = 0.8, min_words: int = 4, id
     crowd = stage(buckets.join(_small(crowded), "key"), "line-crowds")
     star = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")) \
         .unionByName(crowd.where("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))).distinct()
-    edges = stage(_verified(star, lines, docs, similarity, "line-star", id_col, text_col), "line-edges")
-    groups = components(edges, "line-groups")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        return stage_alone(spark, "line-edges", lambda: _verified(pairs, lines, docs, similarity, name, id_col, text_col))
+
+    def grouped(links: DataFrame) -> DataFrame:
+        return stage_alone(spark, "line-groups", lambda: components(links, "line-groups"))
+
+    edges = verified(star, "line-star")
+    groups = grouped(edges)
     label = F.coalesce("root", "id")
     members = stage(crowd.select("key", "at", F.col("node").alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left")
                     .select("key", "at", "id", label.alias("label")), "line-members")
@@ -193,15 +222,20 @@ def line_groups(docs: DataFrame, similarity: float = 0.8, min_words: int = 4, id
     reps = parts.groupBy("key", "label").agg(F.max("id").alias("id"))
     centre = reps.groupBy("key").agg(F.max("id").alias("b"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "b")
     rest = reps.join(centre, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    more = stage(_verified(rest, lines, docs, similarity, "line-rest", id_col, text_col), "line-edges")
+    more = verified(rest, "line-rest")
     if not more.isEmpty():
         edges = edges.unionByName(more)
-        groups = components(edges, "line-groups")
+        groups = grouped(edges)
     seen = star.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = _open_pairs(unsettled, groups, lines, similarity).join(seen, ["a", "b"], "left_anti")
-    last = stage(_verified(left, lines, docs, similarity, "line-last", id_col, text_col), "line-edges")
+
+    def open_links() -> DataFrame:
+        words = line_words(lines.join(_small(own), "id", "left_semi"), docs, id_col, text_col)
+        left = _open_pairs(unsettled, groups, lines, similarity, words).join(seen, ["a", "b"], "left_anti")
+        return _verified(left, lines, docs, similarity, "line-last", id_col, text_col)
+
+    last = stage_alone(spark, "line-edges", open_links)
     if not last.isEmpty():
-        groups = components(edges.unionByName(last), "line-groups")
+        groups = grouped(edges.unionByName(last))
     return lines.drop("chars", "sketch").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", label)
 
 
@@ -222,7 +256,8 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4, id
     all their lines with a word are dropped. Null and empty texts have one empty line, an empty table
     gives no rows, other columns are not read.
     """
-    kept = kept_lines(line_groups(docs, similarity, min_words, id_col, text_col)).withColumnsRenamed({"doc_id": "_d", "t1": "_t1", "t2": "_t2"})
+    kept = stage_alone(docs.sparkSession, "line-kept", lambda: kept_lines(line_groups(docs, similarity, min_words, id_col, text_col))) \
+        .withColumnsRenamed({"doc_id": "_d", "t1": "_t1", "t2": "_t2"})
     split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     rows = docs.select(*row_key(id_col, text_col), F.transform(split, lambda x: _worded(x)).alias("worded")) \
         .groupBy("doc_id", "t1", "t2", "worded").agg(F.count("*").alias("copies"))

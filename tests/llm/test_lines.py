@@ -2,11 +2,13 @@
 
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from orderlens.llm import fuzzy_lines
+from orderlens.llm.common import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KIND = "doc_id long, text string"
@@ -109,3 +111,40 @@ def test_pairs_of_a_bucket_do_not_depend_on_its_blocks(spark, monkeypatch):
         monkeypatch.setattr(fuzzy_lines, "BLOCK_LINES", size)
         got = [(r["a"], r["b"]) for r in fuzzy_lines._open_pairs(members, groups, lines, 0.8).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_lines_that_share_common_words_alone_are_not_paired(spark, monkeypatch):
+    # eleven words of small hashes in all lines, thirty of their own in each: one sketch and all its buckets, but two unlike lines each
+    vocabulary = spark.range(6000).select(F.concat(F.lit("w"), F.md5(F.col("id").cast("string"))).alias("w")).select(F.substring("w", 1, 14).alias("w"))
+    words = [r["w"] for r in vocabulary.orderBy(F.xxhash64("w")).collect()]
+    common, others = words[:fuzzy_lines.SKETCH_WORDS], words[100:]
+    rows = [(k, " ".join([*common, *others[30 * k:30 * k + 30]])) for k in range(40)]
+    rows += [(100 + k, " ".join([*common, *others[30 * k:30 * k + 29], "another"])) for k in (3, 17)]
+    asked, verified = {}, fuzzy_lines._verified
+
+    def counted(pairs, lines, docs, similarity, name, *columns):
+        pairs = fuzzy_lines.stage(pairs, "counted")
+        asked[name] = pairs.count()
+        return verified(pairs, lines, docs, similarity, name, *columns)
+
+    monkeypatch.setattr(fuzzy_lines, "_verified", counted)
+    got = {r["doc_id"]: r["n_dropped"] for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == {k: int(k >= 100) for k, _ in rows} and asked["line-last"] <= 2
+
+
+def test_words_of_one_hash_lose_no_pair(spark):
+    # 4 of 10 words are common, two of them with one hash: 3 hashes are
+    sketch = F.array([F.lit(k) for k in range(1, 12)]).cast("array<bigint>")
+    lines = spark.range(2).select("id", F.lit(100).alias("chars"), sketch.alias("sketch"))
+    members, groups = lines.select(F.lit(7).cast("long").alias("key"), "id"), spark.createDataFrame([], "node long, root long")
+    for others, want in ((10, [(0, 1)]), (13, [])):
+        words = spark.createDataFrame([(k, [1, 2, 3, *range(100 * k + 50, 100 * k + 46 + others)], others) for k in range(2)], "id long, words array<int>, n_words int")
+        assert [tuple(r) for r in fuzzy_lines._open_pairs(members, groups, lines, 0.8, words).collect()] == want
+
+
+def test_staged_tables_go_with_the_search(spark):
+    root = Path(shared_dir(spark).removeprefix("file:")) / "llm"
+    before = set(root.glob("*"))
+    rows = [(k, f"one two three four five six seven eight nine line{k % 3} of{k}") for k in range(9)]
+    out = fuzzy_lines.dedup_lines(spark.createDataFrame(rows, KIND))
+    assert {x.name.rpartition("-")[0] for x in set(root.glob("*")) - before} == {"line-kept"} and out.count() == 9
