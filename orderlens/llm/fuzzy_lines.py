@@ -5,15 +5,23 @@ different line the eleven with the smallest hashes are its sketch, and every fou
 windows around it and, if the line is long, seldom lies in the sketch at all. Lines of at most ten different words also carry a key for the
 line without each of its words. Pairs with a common key, like lengths and two fifths of their sketches, then of their different words, in common are
 candidates; those whose edit similarity reaches the threshold are linked;
-lines tied by links, directly or through others, form a group, and one occurrence per group is kept. Built-in functions only.
+lines tied by links, directly or through others, form a group, and one occurrence per group is kept. Edit distances are counted in Python, with the
+columns of the table as bits of one number; all else is built-in functions.
 
 SimHash fingerprints stood in the place of the windows first; the README says what they found and cost.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import any_of, components, row_key, same_row, stage, stage_alone
 
@@ -21,8 +29,8 @@ from .common import any_of, components, row_key, same_row, stage, stage_alone
 SKETCH_WORDS, WINDOW_WORDS = 11, 4
 #: Share of their different words that candidates must have in common. Linked pairs that the blocks find have far more.
 SHARED_WORDS = 0.4
-#: Lines of a block: what is left of a bucket is compared block by block, so no task holds more than two blocks of it.
-BLOCK_LINES = 1024
+#: Lines of a block, and letters on average: what is left of a bucket is compared block by block, so no task holds more than two blocks of it.
+BLOCK_LINES, BLOCK_LETTERS = 1024, 4_000_000
 #: The most rows of a small join side that are sent to all tasks.
 BROADCAST_ROWS = 1_000_000
 
@@ -62,27 +70,41 @@ def line_keys(lines: DataFrame) -> DataFrame:
     return long.unionByName(short.select(F.explode(F.array_distinct(left_out)).alias("key"), F.lit(-1).alias("at"), F.col("id").alias("node")))
 
 
-def word_code(norm: Column) -> Column:
-    """A text with one character for each word of the line, chosen by the word's hash out of 40,000 that no surrogate is among."""
-    code = F.transform(F.split(norm, " "), lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(40_000)) + 0x3400))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
-
-
-def _linked_by_words(most: str) -> Column:
-    """Whether the lines of a pair are at most ``most`` edits apart by a bound from ``edits``, their distance in words.
-
-    The distance in letters costs the square of the length, that in words a fraction. So many words exchanged, put in or left
-    out bound the letters: each at most the longer of the two words and a space. The words at stake are those that the other
-    line lacks and, if these are fewer, the longest words of the line in place of the missing ones; one word more where not all are
-    known makes up for two words that fell on one character.
-    """
-    lengths = "sort_array(transform({}, w -> length(w)), false)"
-    known = "size(own_a) - size(own_b) = size(words_a) - size(words_b) and greatest(size(own_a), size(own_b)) = edits"
-    others = ", ".join(f"slice({lengths.format('words_' + c)}, 1, greatest(edits + 1 - size(own_{c}), 0))" for c in "ab")
-    own = "transform(concat(own_a, own_b), w -> length(w))"
-    total = "aggregate(slice(sort_array({}, false), 1, {}), 0, (x, y) -> x + y + 1)"
-    return F.expr(f"""case when edits < 0 then false when {known} then {total.format(own, "edits")} <= {most}
-        else {total.format(f"concat({own}, {others})", "edits + 1")} <= {most} end""")
+def edits_within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance of two texts is at most ``most`` (Myers: the columns of the table as bits of one number)."""
+    short, long = sorted((a, b), key=len)
+    head, n = 0, len(short)
+    while head < n and short[head] == long[head]:
+        head += 1
+    tail = 0
+    while tail < n - head and short[-1 - tail] == long[-1 - tail]:
+        tail += 1
+    short, long = short[head:n - tail], long[head:len(long) - tail]
+    if len(long) <= most or len(long) - len(short) > most:
+        return len(long) <= most
+    at: dict[str, int] = defaultdict(int)
+    for i, c in enumerate(long):
+        at[c] |= 1 << i
+    full, top = (1 << len(long)) - 1, 1 << len(long) - 1
+    more, less, edits, left = full, 0, len(long), len(short)
+    for c in short:
+        eq = at.get(c, 0)
+        flat = (((eq & more) + more) ^ more) | eq | less
+        up, down = less | (full & ~(flat | more)), more & flat
+        edits += 1 if up & top else -1 if down & top else 0
+        left -= 1
+        if edits - left > most:
+            return False
+        up = up << 1 | 1
+        eq |= less
+        more, less = (down << 1 | ~(eq | up)) & full, up & eq & full
+    return edits <= most
+
+
+@F.pandas_udf(BooleanType())
+def _edits_within(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b, most in batches:
+        yield pd.Series([edits_within(*x) for x in zip(a, b, most)], dtype=bool)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -105,10 +127,10 @@ def _line_texts(lines: DataFrame, docs: DataFrame, name: str, id_col: str, text_
 
 
 def line_words(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, words, n_words``: 32-bit hashes of the different words of each line, and how many words they stand for."""
+    """``id, words, n_words, norm``: 32-bit hashes of the different words of each line, how many words they stand for, and the text."""
     words = F.array_distinct(F.split("norm", " "))
     return _line_texts(lines, docs, "line-words", id_col, text_col) \
-        .select("id", F.array_distinct(F.transform(words, lambda w: F.hash(w))).alias("words"), F.size(words).alias("n_words"))
+        .select("id", F.array_distinct(F.transform(words, lambda w: F.hash(w))).alias("words"), F.size(words).alias("n_words"), "norm")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float, name: str, id_col: str, text_col: str) -> DataFrame:
@@ -125,67 +147,95 @@ def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: f
         .where(F.abs(F.col("chars_a") - F.col("chars_b")) <= most)
     enough = F.size(F.array_intersect("sketch_a", "sketch_b")) >= SHARED_WORDS * F.greatest(F.size("sketch_a"), F.size("sketch_b"))
     close = stage(sketched.where(enough).select("a", "b", most), f"{name}-candidates")
-    texts = _line_texts(near.join(_ends(close), "id"), docs, name, id_col, text_col).withColumn("code", word_code(F.col("norm")))
-    texts = stage(texts, f"{name}-texts", compression="zstd")
-    both = close.join(side(texts, "a", "norm", "code"), "a").join(side(texts, "b", "norm", "code"), "b") \
-        .select("a", "b", "most", F.split("norm_a", " ").alias("words_a"), F.split("norm_b", " ").alias("words_b"),
-                F.expr("levenshtein(code_a, code_b, most)").alias("edits")) \
-        .withColumns({"own_a": F.array_except("words_a", "words_b"), "own_b": F.array_except("words_b", "words_a"),
-                      "one": F.size(F.array_distinct("words_a")), "two": F.size(F.array_distinct("words_b"))})
+    texts = stage(_line_texts(near.join(_ends(close), "id"), docs, name, id_col, text_col), f"{name}-texts", compression="zstd")
+    words = [F.array_distinct(F.split(f"norm_{c}", " ")) for c in "ab"]
     # lines that share a window by chance (common words) share few others: they are no candidates
-    alike = F.col("one") - F.size("own_a") >= SHARED_WORDS * F.greatest("one", "two")
-    # written as they are: a filter here would be moved below and have everything above computed once more for each use
-    compared = stage(both.select("a", "b", "most", alike.alias("alike"), _linked_by_words("most").alias("linked")), f"{name}-compared").where("alike")
-    rest = compared.where("not linked").join(side(texts, "a", "norm"), "a").join(side(texts, "b", "norm"), "b") \
-        .where("levenshtein(norm_a, norm_b, most) >= 0")
-    return compared.where("linked").select("a", "b").unionByName(rest.select("a", "b"))
+    alike = F.size(F.array_intersect(*words)) >= SHARED_WORDS * F.greatest(*[F.size(w) for w in words])
+    both = close.join(side(texts, "a", "norm"), "a").join(side(texts, "b", "norm"), "b").where(alike)
+    return both.where(_edits_within("norm_a", "norm_b", "most")).select("a", "b")
+
+
+def _pairs_of_blocks(similarity: float, worded: bool, texts: bool) -> Callable[[pa.Table], pa.Table]:
+    """The pairs of two blocks of a bucket (or of one with itself) for ``_open_pairs``."""
+
+    def pairs(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["chars"])
+        own = rows[0]["x"] == rows[0]["y"]
+        parent: dict[int, int] = {}
+
+        def find(label: int) -> int:
+            while (up := parent.get(label, label)) != label:
+                parent[label] = label = parent.get(up, up)
+            return label
+
+        sketches: dict[int, list[int]] = defaultdict(list)                 # the rows before with a word hash in their sketch
+        found = []
+        for j, two in enumerate(rows):
+            two["keys"] = set(two["keys"])
+            if worded:
+                two["words"] = set(two["words"])
+            most = math.floor(two["chars"] * (1 - similarity) + 1e-9)
+            common = Counter()
+            for h in two["sketch"]:
+                common.update(sketches[h])
+                sketches[h].append(j)
+            for i, shared in common.most_common():                         # the likeliest first: what they tie need not be compared
+                one = rows[i]
+                if two["chars"] - one["chars"] > most or not own and one["block"] == two["block"] \
+                        or shared < SHARED_WORDS * max(len(one["sketch"]), len(two["sketch"])) or find(one["label"]) == find(two["label"]) \
+                        or (both := sorted(one["keys"] & two["keys"]))[(one["id"] + two["id"]) % len(both)] != two["key"]:     # in one of its buckets alone
+                    continue
+                if worded:
+                    # no pair is lost to words of equal hash: of the common words at most so many have one hash with another
+                    unseen = min(x["n_words"] - len(x["words"]) for x in (one, two))
+                    if len(one["words"] & two["words"]) + unseen < SHARED_WORDS * max(one["n_words"], two["n_words"]):
+                        continue
+                if texts:
+                    if not edits_within(one["norm"], two["norm"], most):
+                        continue
+                    same = set(one["norm"].split(" ")) & set(two["norm"].split(" "))            # different words may have one hash
+                    if len(same) < SHARED_WORDS * max(one["n_words"], two["n_words"]):
+                        continue
+                    parent[find(one["label"])] = find(two["label"])
+                found.append((min(one["id"], two["id"]), max(one["id"], two["id"])))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return pairs
 
 
 def _open_pairs(members: DataFrame, groups: DataFrame, lines: DataFrame, similarity: float, words: DataFrame | None = None) -> DataFrame:
     """All pairs (a, b), a < b, of lines with a common key but not in one group, of like lengths and with enough of their sketches
-    and, where ``words`` of ``line_words`` are given, of their words in common: what ``_verified`` asks of candidates, asked within
-    the join, so that other pairs are not written. Lines of common words alone share sketches by chance, more of them with every line.
+    and, where ``words`` of ``line_words`` are given, of their words in common: what ``_verified`` asks of candidates. Where these
+    have the texts (``norm``) too, the pairs are compared on the spot: of the pairs that reach the similarity those are returned that tie
+    the groups which such pairs tie, at most one fewer than lines for two blocks.
 
-    ``members`` has columns ``key, id``. The lines of a key are dealt over blocks, and each pair of blocks is a group of the join of
-    its own: the work of a large bucket is spread over tasks, each with two blocks at a time.
+    ``members`` has columns ``key, id``. The lines of a key are dealt over blocks, and each pair of blocks is a group of its own:
+    the work of a large bucket is spread over tasks, each with two blocks at a time. Only the pairs found are written; those looked at
+    still grow with the square of a bucket whose lines stay apart.
     """
-    named = members.select("key", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+    named = members.select("key", "id").distinct().join(groups.withColumnRenamed("node", "id"), "id", "left") \
+        .join(lines.select("id", "chars"), "id").select("key", "id", "chars", F.coalesce("root", "id").alias("label"))
     named = stage(named, "line-relabelled")
-    sizes = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi") \
-        .select("key", F.ceil(F.col("n") / BLOCK_LINES).cast("int").alias("blocks"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_LINES, F.sum("chars") / BLOCK_LETTERS)).cast("int").alias("blocks")
+    sizes = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks).where("lo < hi").select("key", "blocks")
     known = lines.select("id", "chars", "sketch")
     if words is not None:
         known = known.join(words, "id")
-    rows = stage(named.join(sizes, "key").join(known, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "line-blocks")
-
-    def side(c: str, own: str, other: str, others: Column) -> DataFrame:
-        return rows.select("key", F.col("block").alias(own), F.explode(others).alias(other),
-                           *[F.col(x).alias(f"{x}_{c}") for x in ("id", "label", *known.columns[1:])])
-
-    longer = F.greatest("chars_a", "chars_b")
-    # every two blocks meet once
-    fits = ((F.col("x") < F.col("y")) | (F.col("id_a") < F.col("id_b"))) & (F.col("label_a") != F.col("label_b")) \
-        & (F.abs(F.col("chars_a") - F.col("chars_b")) <= F.floor(longer * (1 - similarity) + 1e-9)) \
-        & (F.size(F.array_intersect("sketch_a", "sketch_b")) >= SHARED_WORDS * F.greatest(F.size("sketch_a"), F.size("sketch_b")))
-    if words is not None:
-        # no pair is lost to words of equal hash: of the common words at most so many have one hash with another
-        unseen = F.least(*[F.col(f"n_words_{c}") - F.size(f"words_{c}") for c in "ab"])
-        fits &= F.size(F.array_intersect("words_a", "words_b")) + unseen >= SHARED_WORDS * F.greatest("n_words_a", "n_words_b")
-    left = side("a", "x", "y", F.sequence(F.col("block"), F.col("blocks") - 1))
-    return left.join(side("b", "y", "x", F.sequence(F.lit(0), F.col("block"))), ["key", "x", "y"]).where(fits) \
-        .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    buckets = named.join(sizes, "key").groupBy("id", "label").agg(F.collect_list("key").alias("keys"), F.collect_list(F.struct("key", "blocks")).alias("buckets"))
+    rows = stage(buckets.join(known, "id"), "line-blocks")
+    rows = rows.select("*", F.explode("buckets").alias("bucket")).select("*", "bucket.key", F.pmod(F.xxhash64("id"), F.col("bucket.blocks")).cast("int").alias("block"),
+                                                                        F.explode(F.sequence(F.lit(0), F.col("bucket.blocks") - 1)).alias("other")) \
+        .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("bucket", "buckets", "other")      # every two blocks meet once
+    return rows.groupBy("key", "x", "y").applyInArrow(_pairs_of_blocks(similarity, "words" in known.columns, "norm" in known.columns), "a long, b long")
 
 
 def line_groups(docs: DataFrame, similarity: float = 0.8, min_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per different normalised line with a word: ``id, h1, h2, doc_id, t1, t2, line_no, n, root``, the row and number
     of its first occurrence, the number of occurrences and the group.
 
-    A bucket of lines with an equal key links every line to its smallest one. Buckets that this leaves in different groups are
-    divided by a further word of the sketch, which lines with two fifths of eleven in common must share, and linked the same way
-    within the parts. Both steps make at
-    most as many pairs as there are keys. They spare most comparisons, but tie lines to two centres alone: of the buckets that they
-    leave in different groups, every pair of lines from different groups is compared too (``_open_pairs``), so lines with a
-    common key are never left apart unseen. Texts are not shuffled, only sketches are.
+    A bucket of lines with an equal key links every line to its smallest one, at most as many pairs as there are keys. That spares most
+    comparisons, but ties lines to one centre alone: of the buckets that it leaves in different groups, the lines of different
+    groups are compared with each other too (``_open_pairs``) until they are tied, so lines with a common key are never left apart unseen.
     """
     spark = docs.sparkSession
     found = docs.select(*row_key(id_col, text_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line")) \
@@ -209,34 +259,27 @@ def line_groups(docs: DataFrame, similarity: float = 0.8, min_words: int = 4, id
     edges = verified(star, "line-star")
     groups = grouped(edges)
     label = F.coalesce("root", "id")
-    members = stage(crowd.select("key", "at", F.col("node").alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left")
-                    .select("key", "at", "id", label.alias("label")), "line-members")
+    members = stage(crowd.select("key", F.col("node").alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left")
+                    .select("key", "id", label.alias("label")), "line-members")
     open_keys = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     unsettled = stage(members.join(open_keys, "key"), "line-open")
     own = stage(unsettled.select("id").distinct(), "line-open-ids")
-    further = F.when(F.col("at") >= 0, F.array_except("sketch", F.slice("sketch", F.greatest(F.col("at"), F.lit(0)) + 1, WINDOW_WORDS)))
-    parts = unsettled.join(lines.select("id", "sketch").join(_small(own), "id", "left_semi"), "id") \
-        .select("id", "label", "key", F.explode(F.concat(F.array(F.lit(0).cast("long")), F.coalesce(further, F.array().cast("array<bigint>")))).alias("other")) \
-        .select("id", "label", F.xxhash64("key", "other").alias("key"))
-    # the largest line of every group in a part stands for it, tied to the part's largest one: another centre than before
-    reps = parts.groupBy("key", "label").agg(F.max("id").alias("id"))
-    centre = reps.groupBy("key").agg(F.max("id").alias("b"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "b")
-    rest = reps.join(centre, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    more = verified(rest, "line-rest")
-    if not more.isEmpty():
-        edges = edges.unionByName(more)
-        groups = grouped(edges)
-    seen = star.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def open_links() -> DataFrame:
         words = line_words(lines.join(_small(own), "id", "left_semi"), docs, id_col, text_col)
-        left = _open_pairs(unsettled, groups, lines, similarity, words).join(seen, ["a", "b"], "left_anti")
-        return _verified(left, lines, docs, similarity, "line-last", id_col, text_col)
+        return _verified(_open_pairs(unsettled, groups, lines, similarity, words), lines, docs, similarity, "line-last", id_col, text_col)
+
+    def labels(links: DataFrame) -> DataFrame:
+        for c in "ab":
+            links = links.join(groups.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+        return links.select(*[F.coalesce(f"root_{c}", c).alias(c) for c in "ab"])
 
     last = stage_alone(spark, "line-edges", open_links)
-    if not last.isEmpty():
-        groups = grouped(edges.unionByName(last))
-    return lines.drop("chars", "sketch").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", label)
+    out = lines.drop("chars", "sketch").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", label)
+    if last.isEmpty():
+        return out
+    tied = grouped(labels(last)).select(F.col("node").alias("root"), F.col("root").alias("first"))      # the roots of tied groups
+    return out.join(tied, "root", "left").withColumn("root", F.coalesce("first", "root")).drop("first")
 
 
 def kept_lines(groups: DataFrame) -> DataFrame:

@@ -148,3 +148,31 @@ def test_staged_tables_go_with_the_search(spark):
     rows = [(k, f"one two three four five six seven eight nine line{k % 3} of{k}") for k in range(9)]
     out = fuzzy_lines.dedup_lines(spark.createDataFrame(rows, KIND))
     assert {x.name.rpartition("-")[0] for x in set(root.glob("*")) - before} == {"line-kept"} and out.count() == 9
+
+
+def test_alike_lines_of_a_crowd_are_compared_without_writing_their_pairs(spark, monkeypatch):
+    # 25 of 40 words are common to all lines: every pair has words enough in common and too many edits, but for two pairs
+    vocabulary = spark.range(6000).select(F.concat(F.lit("w"), F.md5(F.col("id").cast("string"))).alias("w")).select(F.substring("w", 1, 14).alias("w"))
+    words = [r["w"] for r in vocabulary.orderBy(F.xxhash64("w")).collect()]
+    common, others = words[:25], words[100:]
+    rows = [(k, " ".join([*common, *others[15 * k:15 * k + 15]])) for k in range(40)]
+    rows += [(100 + k, " ".join([*common, *others[15 * k:15 * k + 14], "another"])) for k in (3, 17)]
+    asked, verified = {}, fuzzy_lines._verified
+
+    def counted(pairs, lines, docs, similarity, name, *columns):
+        pairs = fuzzy_lines.stage(pairs, "counted")
+        asked[name] = pairs.count()
+        return verified(pairs, lines, docs, similarity, name, *columns)
+
+    monkeypatch.setattr(fuzzy_lines, "_verified", counted)
+    for size in (1024, 7):
+        monkeypatch.setattr(fuzzy_lines, "BLOCK_LINES", size)
+        got = {r["doc_id"]: r["n_dropped"] for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, KIND)).collect()}
+        assert got == {k: int(k >= 100) for k, _ in rows} and asked["line-last"] <= 2
+
+
+def test_edits_within_counts_as_spark_does(spark):
+    texts = ["", "a", "ab", "banana", "bandana", "a banana and a bandana", "the bandana and no banana", "über die brücke", "uber die bruecke", "🙂 is one letter", "x" * 70, "x" * 65 + "y"]
+    rows = [(a, b, k) for a in texts for b in texts for k in (0, 1, 2, 5, 12, 70)]
+    got = spark.createDataFrame(rows, "a string, b string, k int").select("a", "b", "k", F.expr("levenshtein(a, b)").alias("d")).collect()
+    assert all(fuzzy_lines.edits_within(r["a"], r["b"], r["k"]) == (r["d"] <= r["k"]) for r in got)
